@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import components, fusion, splitting
+from litmill.llm import components, encoding, fusion, leakage, names, splitting, subjects
 from litmill.session import table
 
 
@@ -37,8 +37,33 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "papers"), "paper_id", "documents").drop("boundary")
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_spellings(table(spark, d, "papers"), table(spark, d, "author_registry"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode_corpus(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.find_leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.remove_leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas")).select("doc_id", "subject").distinct()
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    found = subjects.assign_subjects(table(spark, d, "documents"), table(spark, d, "subject_areas"))
+    return found.groupBy("subject").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.sum("share"), 4).alias("weight"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces)
+    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces, p7_found, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
 }
 
 SQL: dict[str, str] = {}
