@@ -42,7 +42,7 @@ _ROMAN = r"(?=[ivxlc])(?:x{0,4}(?:ix|iv|v?i{0,4})|[xl]?x{0,4}(?:ix|iv|v?i{0,4})|
 _NUMBER = rf"(?:[\dlIOoSB|]{{1,4}}|{_ROMAN}|{_ROMAN.upper().replace('(?:', '(?:')})"
 _PAGE = re.compile(rf"[\s\f]*[-–—\[(|]{{0,2}}\s*(?:(?:p|pp|page|pg|seite|s|pag|página)\b\.?\s*)?({_NUMBER})\s*[-–—\])|]{{0,2}}\s*", re.I)
 _NUMBERED = re.compile(r"^[\s\f]*(?:([\dlIO|]{1,4})\s{2,}(\S.*?)|(\S.*?)\s{2,}([\dlIO|]{1,4}))\s*$")
-_TITLE_CHARS = re.compile(r"^[^\W\d_][\w ,.&'’\-:]*$")
+_TITLE_CHARS = re.compile(r"^[^\W_][\w ,.&'’\-:!|$]*$")
 _SMALL_WORDS = {"of", "on", "in", "the", "and", "for", "to", "a", "an", "at", "by", "with", "from", "und", "der", "die", "für", "de", "la", "el", "y"}
 _DIGIT_LETTERS = str.maketrans("01!|5$9", "olilssg")
 
@@ -133,17 +133,15 @@ def is_running_title(line: str) -> bool:
     if m:
         text = m[2] or m[3]
         return bool(re.search(r"[^\W\d_]{2}", text)) and not re.search(r"\d[.,]\d|\d{3}|\s{2,}\d", text) and text[-1] not in ".;:?!"
-    t = t.translate(_DIGIT_LETTERS)
     head = re.sub(r",\s+[^\W\d_]+(?: [^\W\d_]+){0,2}$", "", t)
     if not _TITLE_CHARS.match(head) or head[-1] in ".,;:?!":
         return False
-    ws = [w for w in re.findall(r"[^\W_]+", head)]
-    big = [w for w in ws if w.lower() not in _SMALL_WORDS]
-    if not big or not any(len(w) > 3 for w in big):
+    big = [w for w in re.findall(r"[^\W_]+", head) if w.lower().translate(_DIGIT_LETTERS) not in _SMALL_WORDS]
+    if not any(len(w) > 3 for w in big) or re.search(r"\d\d|\b\d\b", head):
         return False
     if head.isupper():
         return len(head) > 4
-    return len(big) >= 2 and all(w[0].isupper() for w in big)
+    return len(big) >= 2 and all(w[0].isupper() or w[0] in "015" for w in big)
 
 
 #: Kinds of noise, in the order in which a line is tested.
