@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from litmill.llm import components, encoding, fusion, leakage, names, scans, splitting, subjects
+from litmill.llm import components, encoding, fusion, leakage, matching, names, scans, splitting, subjects
 from litmill.session import table
 
 
@@ -37,6 +37,14 @@ def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
     return splitting.split_oversized(table(spark, d, "papers"), "paper_id", "documents").drop("boundary")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_papers(table(spark, d, "papers"), table(spark, d, "resolved")).select("paper_id", "result_no").distinct()
+
+
+def p5_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return matching.match_papers(table(spark, d, "papers"), table(spark, d, "resolved"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return scans.find_noise(table(spark, d, "papers")).distinct()
 
@@ -71,7 +79,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces, p6_found, p6_repaired, p7_found, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces, p5_found, p5_confidence, p6_found, p6_repaired, p7_found, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
 }
 
 SQL: dict[str, str] = {}
