@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,23 +34,59 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint in the folder of spark.checkpoint.dir.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints and tables between stages, from spark.checkpoint.dir of the session.
 
-    The folder is read from the session. Only where the session names none (tests on one machine)
-    a temporary one is set; on a cluster spark.checkpoint.dir has to name a shared folder.
+    Only where the session names none (tests on one machine) a temporary one is made; on a cluster
+    the setting has to name a folder that all executors share.
     """
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    global _temporary
+    _temporary = _temporary or tempfile.mkdtemp(prefix="litmill-")
+    return _temporary
+
+
+_temporary: str | None = None
+
+
+def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Reliable checkpoint in the shared folder: cuts the lineage and survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            named = tempfile.mkdtemp(prefix="litmill-checkpoint-")
-        sc.setCheckpointDir(named)
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager)
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """As checkpoint, as a compressed table that later reads take only the needed columns of.
+
+    For wide intermediate results. The table is deleted when the application ends.
+    """
+    spark = df.sparkSession
+    base = f"{shared_dir(spark)}/litmill-{spark.sparkContext.applicationId}"
+    path = f"{base}/{uuid.uuid4().hex}"
+    if base not in _cleaned:
+        _cleaned.add(base)
+        atexit.register(_delete, spark, base)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_cleaned: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:  # noqa: BLE001 - the application is going down already
+        pass
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
