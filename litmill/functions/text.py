@@ -116,7 +116,7 @@ def jaccard(a: Column, b: Column) -> Column:
 def looks_like_identifier(c: Column) -> Column:
     t = strip(F.coalesce(c, F.lit("")))
     low = F.lower(t)
-    return t.rlike(r"^[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?$") | t.rlike(r"10\.[0-9]{4,9}/[^ \t\n\r\f]+") | low.contains("arxiv:") | low.contains("doi:")
+    return low.rlike(r"^[0-9]{4}\.[0-9]{4,5}(v[0-9]+)?$") | (low.startswith("10.") & low.contains("/")) | low.contains("arxiv:") | low.contains("doi:")
 
 
 def snippet(text: Column, terms: Column, window: int = 360) -> Column:

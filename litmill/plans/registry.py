@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from litmill.plans import catalog, core_queries, library_queries, text_queries  # noqa: F401 - they register their queries
 
-from pyspark.sql import DataFrame, SparkSession
 
-from litmill.plans import core_queries
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-
-def queries() -> dict[str, Query]:
-    return {"p3_found": core_queries.p3_found}
+def queries() -> dict[str, catalog.Query]:
+    return dict(catalog.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(catalog.SQL)
