@@ -58,6 +58,8 @@ _UMLAUTS = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "å": "aa", "ø":
 
 def plain(text: str) -> str:
     """Small letters without marks."""
+    if text.isascii():
+        return text.lower()
     t = unicodedata.normalize("NFKD", text.translate(_STROKES)).casefold()
     return "".join(c for c in t if not unicodedata.combining(c))
 
@@ -153,15 +155,33 @@ def slips(a: str, b: str, most: int = 3) -> int:
         return 0
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before, row = None, list(range(len(b) + 1))
+    i, n = 0, min(len(a), len(b))
+    while i < n and a[i] == b[i]:
+        i += 1
+    j = 0
+    while j < n - i and a[-1 - j] == b[-1 - j]:
+        j += 1
+    a, b = a[i : len(a) - j], b[i : len(b) - j]
+    if not a or not b:
+        return min(len(a) + len(b), most + 1)
+    before, row, low = None, list(range(len(b) + 1)), 0
     for i, x in enumerate(a, 1):
         new = [i]
+        least = i
         for j, y in enumerate(b, 1):
-            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
-            if before and i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                d = min(d, before[j - 2] + 1)
+            d = row[j - 1] + (x != y)
+            if row[j] < d:
+                d = row[j] + 1
+            if new[-1] < d:
+                d = new[-1] + 1
+            if before and j > 1 and x == b[j - 2] and a[i - 2] == y and before[j - 2] < d:
+                d = before[j - 2] + 1
             new.append(d)
-        before, row = row, new
+            if d < least:
+                least = d
+        if least > most and low > most:
+            return most + 1
+        before, row, low = row, new, least
     return min(row[-1], most + 1)
 
 
