@@ -55,7 +55,7 @@ def answers(evidence: DataFrame, graded: DataFrame) -> DataFrame:
     lists = evidence.groupBy("query_id").agg(F.array_sort(F.collect_list(line)).alias("lines"))
     x = graded.select("query_id", "confidence", "band", "decision").join(lists, "query_id", "left")
     bullets = lambda k: F.transform(F.slice(F.coalesce("lines", F.array().cast("array<struct<rank:int,line:string>>")), 1, k), lambda s: s["line"])
-    tail = F.concat(F.lit("Confidence="), F.format_string("%.3f", F.col("confidence")), F.lit(" ("), F.col("band"), F.lit("); decision="), F.col("decision"), F.lit("."))
+    tail = F.concat(F.lit("Confidence="), F.format_string("%.3f", F.round("confidence", 3)), F.lit(" ("), F.col("band"), F.lit("); decision="), F.col("decision"), F.lit("."))
     text = (
         F.when(F.col("decision") == "refuse", F.concat(F.array(*map(F.lit, REFUSAL)), bullets(3), F.array(tail)))
         .when(F.col("decision") == "downgrade", F.concat(F.array(*map(F.lit, DOWNGRADED)), bullets(5), F.array(tail)))

@@ -108,7 +108,7 @@ def _vector_part(block: list, vectors: DataFrame, n: int, exclude_self: bool) ->
             v = np.array(b.column(0).to_pylist(), np.int64)
             e = np.stack(b.column(1).to_numpy(zero_copy_only=False)).astype(np.float64)
             e /= np.maximum(np.linalg.norm(e, axis=1, keepdims=True), 1e-30)
-            d = np.round(1 - q @ e.T, 6)
+            d = np.round(1 - q @ e.T, 6) + 0.0  # no negative zero
             if exclude_self:
                 d[ids[:, None] == v[None, :]] = np.inf
             kept_d, kept_v = np.hstack([kept_d, d]), np.hstack([kept_v, np.broadcast_to(v, d.shape)])
