@@ -81,7 +81,7 @@ def arxiv_id(c: Column) -> Column:
 
 def openalex_id(c: Column) -> Column:
     """The last path segment of an address at openalex.org."""
-    return F.when(F.lower(c).contains("openalex.org"), F.element_at(F.split(F.rtrim(F.lit("/"), c), "/"), -1))
+    return F.when(F.lower(c).contains("openalex.org"), F.element_at(F.split(F.rtrim(c, F.lit("/")), "/"), -1))
 
 
 def normalize_doi(c: Column) -> Column:

@@ -30,11 +30,11 @@ def article_queries(docs: DataFrame, key: str, text: str, n: int = 3) -> DataFra
     """(key, pos, query): n search phrases of each text: three and two words from a seed on weigh more, and each adds a new word."""
     seeds = scored_terms(docs, key, text)
     seed_set = seeds.groupBy(key).agg(F.collect_set("term").alias("seeds"))
-    words = docs.join(seed_set, key).select(key, "seeds", F.transform(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z][a-z]+"), F.lit(0)), F.lower).alias("w"))
+    words = docs.select(key, text).join(seed_set, key).select(key, "seeds", F.transform(F.regexp_extract_all(F.col(text), F.lit("[A-Za-z][a-z]+"), F.lit(0)), F.lower).alias("w"))
     fine = lambda x: ~x.isin(*STOPWORDS, *ACADEMIC_WORDS) & (F.length(x) >= 4)
     grams = words.select(key, "w", "seeds", F.posexplode("w").alias("i", "w1")).where(F.array_contains("seeds", F.col("w1"))).select(key, "w1", F.get("w", F.col("i") + 1).alias("w2"), F.get("w", F.col("i") + 2).alias("w3"))
     two = grams.where(fine(F.col("w2")))
-    count = lambda df, cols, weight, most: df.groupBy(key, *cols).agg(F.count("*").alias("c")).withColumn("phrase", F.concat_ws(" ", *cols)).withColumn("k", F.row_number().over(W.partitionBy(key).orderBy(F.desc("c"), "phrase"))).where(F.col("k") <= most).select(key, (F.col("c") * weight).cast("double").alias("s"), "phrase")
+    count = lambda df, cols, weight, most: df.groupBy(key, *cols).agg(F.count("*").alias("c")).withColumn("phrase", F.concat_ws(" ", *cols)).withColumn("_nth", F.row_number().over(W.partitionBy(key).orderBy(F.desc("c"), "phrase"))).where(F.col("_nth") <= most).select(key, (F.col("c") * weight).cast("double").alias("s"), "phrase")
     candidates = count(two.where(fine(F.col("w3"))), ["w1", "w2", "w3"], 3, 10).unionByName(count(two, ["w1", "w2"], 2, 15)).unionByName(seeds.select(key, F.col("score").alias("s"), F.col("term").alias("phrase")))
     # greedy cover over at most 45 candidates a text
     ordered = candidates.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(F.struct("s", "phrase")))).alias("c"))

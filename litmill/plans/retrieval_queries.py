@@ -137,7 +137,7 @@ def query_expansion(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence(spark: SparkSession, d: str) -> DataFrame:
-    hits = fused(spark, d).join(docs(spark, d), "doc_id", "left")
+    hits = fused(spark, d).join(docs(spark, d), "doc_id")
     return ev.label_evidence(hits.select("query_id", "rank", "doc_id", "distance", "text", F.col("source").alias("title")))
 
 
@@ -159,7 +159,7 @@ def confidence_decision(spark: SparkSession, d: str) -> DataFrame:
 SHORT = f"(CASE WHEN length({{0}}) <= 220 THEN {{0}} ELSE regexp_replace(substr({{0}}, 1, 220), '{WS}+$', '') || '...' END)"
 
 
-@query(sql=f"""{GRADED}, l AS (SELECT query_id, rank, '- [S' || rank || '] ' || {SHORT.format(COLLAPSE.format("coalesce(text, '')"))} AS line FROM e)
+@query(sql=f"""{GRADED}, l AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, '- [S' || row_number() OVER (PARTITION BY query_id ORDER BY rank) || '] ' || {SHORT.format(COLLAPSE.format("coalesce(text, '')"))} AS line FROM e)
 SELECT z.query_id, z.decision, CASE z.decision
  WHEN 'refuse' THEN '{ev.REFUSAL[0]}' || chr(10) || '{ev.REFUSAL[1]}' || chr(10) || string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 3) || chr(10) || 'Confidence=' || printf('%.3f', round(any_value(confidence), 3)) || ' (' || any_value(band) || '); decision=refuse.'
  WHEN 'downgrade' THEN '{ev.DOWNGRADED[0]}' || chr(10) || string_agg(line, chr(10) ORDER BY rank) FILTER (rank <= 5) || chr(10) || 'Confidence=' || printf('%.3f', round(any_value(confidence), 3)) || ' (' || any_value(band) || '); decision=downgrade.'
