@@ -1,11 +1,11 @@
 """Consolidating pairwise matches into groups: connected components by minimum labels.
 
-Each round gives every label the smallest label among itself and its neighbours, shortens the
-resulting pointers by jumping (a pointer to a pointer becomes one pointer), moves all labels and
-all edges along the pointers, and drops edges inside a group and repeated ones. A label that is no
-local minimum disappears, so the labels halve at least and the rounds grow with the logarithm of
-the longest chain. Labels and edges are checkpointed each round; the loop ends when no label
-changes, that is, when no edge between different labels is left.
+Each round gives every label the smallest label among itself and its neighbours and shortens the
+resulting pointers by jumping - a pointer to a pointer becomes one pointer, which halves their
+depth - until all point to local minima. Then all labels and all edges move along the pointers, and
+edges inside a group and repeated ones are dropped. Only local minima remain as labels, at most half
+of them, so rounds and jumps grow with the logarithm of the graph. Each step is checkpointed; the
+loop ends when no label changes, that is, when no edge between different labels is left.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 
 from litmill.session import checkpoint, distinct_names
 
-JUMPS = 2
-
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(id, label) of every id that an edge to another id names; label is the smallest id of its group.
@@ -35,16 +33,23 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
             return labels
         # every end of an edge points to the smallest label around it
         p = e.select("u", "v").union(e.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("to"))
-        for _ in range(JUMPS):
-            q = p.select(F.col("x").alias("to"), F.col("to").alias("far"))
-            p = p.join(q, "to", "left").select("x", F.coalesce("far", "to").alias("to"))
-        p = checkpoint(p)
+        p = _jumped(p)
         labels = checkpoint(labels.join(p, labels.label == p.x, "left").select("id", F.coalesce("to", "label").alias("label")))
         pu, pv = p.toDF("u", "a"), p.toDF("v", "b")
         e = checkpoint(e.join(pu, "u").join(pv, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
+def _jumped(p: DataFrame) -> DataFrame:
+    """Pointers (x, to) with every `to` pointing to itself: jumped two at a time until none moves."""
+    p = checkpoint(p.withColumn("moved", F.lit(True)))
+    while not p.where("moved").isEmpty():
+        q = p.select(F.col("x").alias("to"), F.col("to").alias("next"))
+        once = p.select("x", "to").join(q, "to").select("x", F.col("to").alias("was"), F.col("next").alias("to"))
+        p = checkpoint(once.join(q, "to").select("x", F.col("next").alias("to"), (F.col("next") != F.col("was")).alias("moved")))
+    return p.select("x", "to")
+
+
 def id_key(c):
     """The form in which differently written ids are compared: no white space around, small letters."""
     return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
