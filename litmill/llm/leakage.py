@@ -139,7 +139,7 @@ def _covered(automaton: Automaton, ws: list[str]) -> tuple[dict[int, list[int]],
             spans.append((first, end))
         for no in found:
             at = per.setdefault(no, [0, 0, -least])
-            run[no] = run[no] + 1 if at[2] == end - 1 else least
+            run[no] = run[no] + 1 if no in run and at[2] == end - 1 else least
             at[0] = max(at[0], run[no])
             at[1] += min(end - at[2], least)
             at[2] = end
