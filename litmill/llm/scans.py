@@ -34,6 +34,9 @@ CONFUSIONS = (
     ("c", "e"), ("f", "t"), ("b", "h"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("l", "i"), ("n", "u"), ("o", "c"),
 )
 
+#: No running header is longer, nor has a longer word.
+LONGEST_TITLE, LONGEST_WORD = 150, 30
+
 HYPHENS = "-­¬‐‑"
 _CORE = re.compile(r"[^\W_](?:[\w!|$\-]*[^\W_])?|[!|$1](?=[^\W\d_])[\w!|$\-]*[^\W_]", re.U)
 _LETTERS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
@@ -129,6 +132,8 @@ def is_page_number(line: str) -> bool:
 def is_running_title(line: str) -> bool:
     """A line in the form of a running header: a title in capitals or capitalised words, perhaps with its page number."""
     t = line.strip(" \t\f\r")
+    if len(t) > LONGEST_TITLE or max(map(len, t.split()), default=0) > LONGEST_WORD:
+        return False
     m = _NUMBERED.match(t)
     if m:
         text = m[2] or m[3]
