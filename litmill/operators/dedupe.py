@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litmill.functions.text import extract_year, is_unknown, jaccard, last_names, normalize_title, parse_tags, strip, to_flag, tokens
-from litmill.session import checkpoint
+from litmill.session import materialize
 
 
 def dedupe_results(results: DataFrame, ord_: str) -> DataFrame:
@@ -89,16 +89,16 @@ def group_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(member, group_id): members of groups of linked records; the least member names the group.
 
     Large stars and small stars in turn: each vertex hangs its larger neighbours, then its smaller
-    ones, on its least neighbour, until the links form stars. Every round is checkpointed.
+    ones, on its least neighbour, until the links form stars. Every round is written to the shared checkpoint folder.
     """
-    e = checkpoint(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
+    e = materialize(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v"))
-        nxt = checkpoint(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        nxt = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         same = nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty()
         e = nxt
         if same:

@@ -61,10 +61,12 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, *stale: DataFrame) -> DataFrame:
     """As checkpoint, as a compressed table that later reads take only the needed columns of.
 
-    For wide intermediate results. The table is deleted when the application ends.
+    For wide results and for loops: what is read back carries neither plan nor constraints of the
+    rounds before. The tables behind `stale`, results of earlier calls, are deleted once df is
+    written; the rest are when the application ends.
     """
     spark = df.sparkSession
     base = f"{shared_dir(spark)}/litmill-{spark.sparkContext.applicationId}"
@@ -73,7 +75,12 @@ def materialize(df: DataFrame) -> DataFrame:
         _cleaned.add(base)
         atexit.register(_delete, spark, base)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    for old in stale:
+        if at := getattr(old, "_litmill_path", None):
+            _delete(spark, at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._litmill_path = path
+    return out
 
 
 _cleaned: set[str] = set()
