@@ -4,8 +4,8 @@ Each round gives every label the smallest label among itself and its neighbours
 resulting pointers by jumping - a pointer to a pointer becomes one pointer, which halves their
 depth - until all point to local minima. Then all labels and all edges move along the pointers, and
 edges inside a group and repeated ones are dropped. Only local minima remain as labels, at most half
-of them, so rounds and jumps grow with the logarithm of the graph. Each step is checkpointed; the
-loop ends when no label changes, that is, when no edge between different labels is left.
+of them, so rounds and jumps grow with the logarithm of the graph. Each step is written to the
+shared checkpoint folder; the loop ends when no label changes, that is, when no edge between different labels is left.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.session import checkpoint, distinct_names
+from litmill.session import distinct_names, materialize
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
@@ -26,28 +26,28 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
     on the other. Nothing of the graph is brought to the driver but the count of edges left.
     """
     pairs = distinct_names(edges, a, b).where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
-    e = checkpoint(pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
-    labels = checkpoint(e.select(F.col("u").alias("id")).union(e.select(F.col("v"))).distinct().withColumn("label", F.col("id")))
+    e = materialize(pairs.select(F.least(a, b).alias("u"), F.greatest(a, b).alias("v")).distinct())
+    labels = materialize(e.select(F.col("u").alias("id")).union(e.select(F.col("v"))).distinct().withColumn("label", F.col("id")))
     for _ in range(max_rounds):
         if e.isEmpty():
             return labels
         # every end of an edge points to the smallest label around it
         p = e.select("u", "v").union(e.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("to"))
         p = _jumped(p)
-        labels = checkpoint(labels.join(p, labels.label == p.x, "left").select("id", F.coalesce("to", "label").alias("label")))
-        pu, pv = p.toDF("u", "a"), p.toDF("v", "b")
-        e = checkpoint(e.join(pu, "u").join(pv, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        labels = materialize(labels.join(p.drop("moved"), labels.label == F.col("x"), "left").select("id", F.coalesce("to", "label").alias("label")), labels)
+        pu, pv = (p.select(F.col("x").alias(x), F.col("to").alias(to)) for x, to in (("u", "a"), ("v", "b")))
+        e = materialize(e.join(pu, "u").join(pv, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), e, p)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
 
 def _jumped(p: DataFrame) -> DataFrame:
     """Pointers (x, to) with every `to` pointing to itself: jumped two at a time until none moves."""
-    p = checkpoint(p.withColumn("moved", F.lit(True)))
+    p = materialize(p.withColumn("moved", F.lit(True)))
     while not p.where("moved").isEmpty():
         q = p.select(F.col("x").alias("to"), F.col("to").alias("next"))
         once = p.select("x", "to").join(q, "to").select("x", F.col("to").alias("was"), F.col("next").alias("to"))
-        p = checkpoint(once.join(q, "to").select("x", F.col("next").alias("to"), (F.col("next") != F.col("was")).alias("moved")))
-    return p.select("x", "to")
+        p = materialize(once.join(q, "to").select("x", F.col("next").alias("to"), (F.col("next") != F.col("was")).alias("moved")), p)
+    return p
 
 
 def id_key(c):
