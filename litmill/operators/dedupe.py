@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litmill.functions.text import extract_year, is_unknown, jaccard, last_names, normalize_title, parse_tags, strip, to_flag, tokens
-from litmill.session import materialize
+from litmill.session import materialize, union_all
 
 
 def dedupe_results(results: DataFrame, ord_: str) -> DataFrame:
@@ -52,21 +52,36 @@ def pair_keys(papers: DataFrame, ord_: str) -> DataFrame:
     ).where("norm <> ''")
 
 
+#: Weights of title, authors and year in the combined score, and the boosts of an equal DOI and id.
+TITLE, AUTHORS, YEAR, SAME_DOI, SAME_ID = 0.65, 0.25, 0.10, 0.25, 0.30
+
+
 def candidate_pairs(keys: DataFrame, least: float = 0.0) -> DataFrame:
     """Pairs (a, b), a before b, with the same first character of the title or the same DOI.
 
-    With least > 0 only pairs that can reach that combined score are made: such a pair shares a title
-    word, a DOI, an id or has titles of similar length, so the coarse first-character block is refined
-    by title words. The blocks of the refined join are as fine as the corpus' words.
+    With least > 0 only pairs that can reach that combined score by the Jaccard similarity of their
+    title words are made, all of them: pairs with the same DOI; pairs with the same first character
+    and id; and pairs with the same first character whose titles alone are similar enough. The last
+    share one of the rarest words of both titles (prefix filter), so blocks are as fine as rare
+    words, where the plain blocks are as coarse as the alphabet.
     """
-    a = keys.select(*[F.col(c).alias(f"{c}_a") for c in keys.columns])
-    b = keys.select(*[F.col(c).alias(f"{c}_b") for c in keys.columns])
-    if least > 0:
-        block = lambda df, s: df.withColumn("k", F.explode(F.array_union(F.transform(f"toks_{s}", lambda t: F.concat(F.lit("t:"), F.substring(F.col(f"norm_{s}"), 1, 1), t)), F.array(F.when(F.col(f"doi_{s}") != "", F.concat(F.lit("d:"), F.col(f"doi_{s}")))))))
+    first = F.substring("norm", 1, 1)
+    doi = F.when(F.col("doi") != "", F.concat(F.lit("d:"), F.col("doi")))
+    if least <= 0:
+        blocks = [keys.withColumn("block", F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), first), doi))))]
     else:
-        block = lambda df, s: df.withColumn("k", F.explode(F.array(F.concat(F.lit("c:"), F.substring(F.col(f"norm_{s}"), 1, 1)), F.when(F.col(f"doi_{s}") != "", F.concat(F.lit("d:"), F.col(f"doi_{s}"))))))
-    joined = block(a, "a").join(block(b, "b"), "k").where("ord_a < ord_b").drop("k")
-    return joined.dropDuplicates(["ord_a", "ord_b"])
+        title = max(0.01, (least - AUTHORS - YEAR) / TITLE)
+        df = keys.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
+        ranked = keys.select("ord", F.explode("toks").alias("tok")).join(df, "tok").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
+        # two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 in any common order
+        n = F.size("r")
+        prefix = F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(title) - 1e-9) + 1).cast("int")), lambda x: x["tok"])
+        same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
+        words = keys.join(ranked, "ord").withColumn("block", F.explode(F.transform(prefix, lambda t: F.concat(F.lit("t:"), first, t)))).drop("r")
+        blocks = [words, keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same))))]
+    b = union_all(blocks)
+    side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in keys.columns])
+    return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
 
 
 def score_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
@@ -76,8 +91,8 @@ def score_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
     p = pairs.select("*", title.alias("t"), jaccard(F.col("names_a"), F.col("names_b")).alias("au"), year_similarity(F.col("year_a"), F.col("year_b")).alias("y"))
     same_doi = (F.col("doi_a") != "") & (F.col("doi_a") == F.col("doi_b")) & ~F.col("doi_a").isin("unknown", "none")
     same_cid = (F.col("cid_a") != "") & (F.col("cid_a") == F.col("cid_b"))
-    boost = F.greatest(F.when(same_doi, 0.25).otherwise(0.0), F.when(same_cid, 0.30).otherwise(0.0))
-    total = F.least(F.lit(1.0), 0.65 * F.col("t") + 0.25 * F.col("au") + 0.10 * F.col("y") + boost)
+    boost = F.greatest(F.when(same_doi, SAME_DOI).otherwise(0.0), F.when(same_cid, SAME_ID).otherwise(0.0))
+    total = F.least(F.lit(1.0), TITLE * F.col("t") + AUTHORS * F.col("au") + YEAR * F.col("y") + boost)
     reasons = F.array_compact(F.array(F.when(same_doi, "exact_doi"), F.when(same_cid, "exact_canonical_id"), F.when(F.col("t") >= 0.92, "title_near_exact"), F.when(F.col("au") >= 0.6, "author_overlap"), F.when(F.col("y") >= 0.7, "year_close")))
     return p.select(
         F.col("ord_a").alias("paper_a"), F.col("ord_b").alias("paper_b"), F.round("t", 4).alias("title_similarity"), F.round("au", 4).alias("author_similarity"),

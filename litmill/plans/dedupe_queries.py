@@ -26,7 +26,7 @@ PAIR_KEYS = rf"""n AS (SELECT paper_id AS ord, {NORM_SQL.format('title')} AS nor
  list_distinct(list_filter(list_transform(coalesce(authors, []), lambda a: regexp_replace(lower(CASE WHEN contains(a, ',') THEN string_split(a, ',')[1] ELSE coalesce(list_filter(regexp_split_to_array({STRIP_SQL.format('a')}, '{WS}+'), lambda w: w <> '')[-1], '') END), '[^a-z0-9]', '', 'g')), lambda w: w <> '')) AS names,
  {YEAR_SQL.format('published')} AS year, lower({STRIP_SQL.format("coalesce(doi, '')")}) AS doi, coalesce(canonical_id, '') AS cid FROM papers WHERE {NORM_SQL.format('title')} <> '')"""
 SCORED = f"""c AS (SELECT a.ord AS paper_a, b.ord AS paper_b, a.toks AS ta, b.toks AS tb, a.names AS na, b.names AS nb, a.year AS ya, b.year AS yb, a.doi AS da, b.doi AS db, a.cid AS ca, b.cid AS cb
- FROM n a JOIN n b ON a.ord < b.ord AND (a.doi = b.doi AND a.doi <> '' OR (left(a.norm, 1) = left(b.norm, 1) AND len(list_intersect(a.toks, b.toks)) > 0))),
+ FROM n a JOIN n b ON a.ord < b.ord AND (a.doi = b.doi AND a.doi <> '' OR left(a.norm, 1) = left(b.norm, 1))),
  t AS (SELECT *, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) ELSE 0.0 END AS t, CASE WHEN len(na) > 0 AND len(nb) > 0 THEN len(list_intersect(na, nb)) / (len(na) + len(nb) - len(list_intersect(na, nb))) ELSE 0.0 END AS au,
   CASE WHEN ya > 0 AND yb > 0 THEN CASE abs(ya - yb) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END ELSE 0.0 END AS y, da <> '' AND da = db AND da NOT IN ('unknown', 'none') AS sd, ca <> '' AND ca = cb AS sc FROM c),
  s AS (SELECT *, least(1.0, 0.65 * t + 0.25 * au + 0.10 * y + greatest(CASE WHEN sd THEN 0.25 ELSE 0.0 END, CASE WHEN sc THEN 0.30 ELSE 0.0 END)) AS total FROM t)"""
@@ -46,6 +46,7 @@ def dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dup_pairs_full(spark: SparkSession, d: str) -> DataFrame:
+    """The same candidates scored with the sequence ratio too, which lifts some of them over the threshold."""
     pairs = dd.candidate_pairs(dd.pair_keys(papers(spark, d), "paper_id"), 0.84)
     return dd.score_pairs(pairs).where("combined_score >= 0.84")
 
