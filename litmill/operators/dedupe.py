@@ -133,11 +133,11 @@ def completeness(p: DataFrame) -> Column:
 def merge_groups(papers: DataFrame, group: str, ord_: str) -> DataFrame:
     """One record a group: the most complete one, its doi and venue filled from the first member that knows them, flags OR-ed, tags united."""
     p = papers.where(F.col(group).isNotNull()).withColumn("score", completeness(papers))
-    best = F.struct(F.col("score").alias("s"), F.col(ord_).alias("o"))
     fill = lambda c: F.coalesce(F.min_by(F.when(~is_unknown(F.col(c)), F.col(c)), F.struct((-F.col("score")).alias("s"), F.col(ord_).alias("o"))), F.min_by(c, F.when(~is_unknown(F.col(c)), F.col(ord_))))
     g = p.groupBy(group).agg(
         F.count("*").alias("members"), F.min_by(ord_, F.struct((-F.col("score")).alias("s"), F.col(ord_).alias("o"))).alias("keep"), F.max("score").alias("completeness"),
         fill("doi").alias("doi"), fill("venue").alias("venue"), F.bool_or(to_flag(F.col("is_favorite"))).alias("is_favorite"), F.bool_or(F.coalesce("in_reading_list", F.lit(False))).alias("in_reading_list"),
-        F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(parse_tags(F.col("tags")))))), ", ").alias("tags"),
-    )
-    return g.where("members > 1")
+    ).where("members > 1")
+    tag = p.select(F.col(group).alias("_group"), F.explode(parse_tags(F.col("tags"))).alias("tag")).distinct()
+    tags = tag.groupBy("_group").agg(F.array_join(F.array_sort(F.collect_list("tag")), ", ").alias("tags"))
+    return g.join(tags, F.col(group) == F.col("_group"), "left").withColumn("tags", F.coalesce("tags", F.lit(""))).drop("_group")

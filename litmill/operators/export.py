@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litmill.functions.text import WS, arxiv_id, cite_key, extract_year, parse_tags, sanitize_latex, strings, strip, to_flag
+from litmill.operators.ordering import numbered
 
 
 def _given(c: str, *missing: str) -> Column:
@@ -19,9 +19,8 @@ def _names() -> Column:
 
 def with_cite_keys(papers: DataFrame, ord_: str) -> DataFrame:
     """papers with their cite_key; of equal keys the first stays, the second gets b, the third c and so on."""
-    k = papers.withColumn("base", cite_key(F.col("authors"), F.col("published")))
-    n = F.row_number().over(W.partitionBy("base").orderBy(ord_))
-    return k.withColumn("n", n).withColumn("cite_key", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.char(96 + F.col("n"))))).drop("base", "n")
+    k = numbered(papers.withColumn("base", cite_key(F.col("authors"), F.col("published"))), "base", ord_)
+    return k.withColumn("cite_key", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.char(96 + F.col("n"))))).drop("base", "n")
 
 
 def bibtex(papers: DataFrame, ord_: str) -> DataFrame:

@@ -24,18 +24,18 @@ def roll_up(chunks: DataFrame, ord_: str = "ord") -> DataFrame:
     any is; tags an ordered union without regard to case; parse_* counts the greatest; quality label
     of the row with the greatest score, the earliest among equals. Null titles form one group.
     """
-    c = chunks.withColumn("tag_list", parse_tags(F.col("tags"))).withColumn("q", F.struct(F.coalesce("parse_quality_score", F.lit(-1.0)).alias("s")))
-    each = F.transform("tag_list", lambda t, k: F.struct(F.col(ord_).alias("o"), k.alias("k"), t.alias("t")))
+    c = chunks.withColumn("q", F.struct(F.coalesce("parse_quality_score", F.lit(-1.0)).alias("s")))
+    # a title's tags are made distinct before they are gathered, so a hot title gathers distinct tags only
+    each = c.select("title", F.col(ord_).alias("o"), F.posexplode(parse_tags(F.col("tags"))).alias("k", "t"))
+    once = each.groupBy("title", F.lower("t").alias("low")).agg(F.min(F.struct("o", "k", "t")).alias("x"))
+    tags = once.groupBy(F.col("title").alias("tag_title")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), ", ").alias("tags"))
     g = c.groupBy("title").agg(
         F.min(ord_).alias("first_ord"), F.count("*").alias("chunk_count"), first("doi", ord_).alias("doi"), first("source", ord_).alias("source"), first("published", ord_).alias("published"),
         first_known("venue", ord_).alias("venue"), F.bool_or(to_flag(F.col("is_favorite"))).alias("is_favorite"), F.bool_or(F.coalesce("in_reading_list", F.lit(False))).alias("in_reading_list"),
         F.max(to_int(F.col("parse_pages"))).alias("parse_pages"), F.max(to_int(F.col("parse_ocr_pages"))).alias("parse_ocr_pages"),
         F.max(F.coalesce("parse_quality_score", F.lit(0.0))).alias("parse_quality_score"), F.min_by("parse_quality_label", F.struct((-F.col("q.s")).alias("s"), F.col(ord_))).alias("parse_quality_label"),
-        F.array_sort(F.flatten(F.collect_list(each))).alias("ts"),
     )
-    lows = F.transform("ts", lambda x: F.lower(x["t"]))
-    tags = F.filter(F.transform("ts", lambda x, k: F.when(F.array_position(lows, F.lower(x["t"])) == k + 1, x["t"])), lambda t: t.isNotNull())
-    return g.withColumn("tags", F.array_join(tags, ", ")).drop("ts")
+    return g.join(tags, g.title.eqNullSafe(tags.tag_title), "left").withColumn("tags", F.coalesce("tags", F.lit(""))).drop("tag_title")
 
 
 def filter_library(papers: DataFrame, years: tuple[int, int] | None = None, source: str | None = None, author: str = "", tag: str = "", favorites: bool = False, reading: bool = False) -> DataFrame:
