@@ -32,7 +32,8 @@ def phrase_matches(s: DataFrame, key: str, lowered: bool = False) -> DataFrame:
     with capitals never hit; else case does not matter.
     """
     hits = _hits(F.lower("sentence"), "") if lowered else _hits(F.col("sentence"), "(?i)")
-    return s.select(key, "pos", "sentence", F.explode(hits).alias("h")).select(key, "pos", "sentence", F.col("h.no").alias("no"), F.col("h.match").alias("match"))
+    # explode() would have the optimizer test the array's size first, and so match every phrase twice
+    return s.select(key, "pos", "sentence", F.explode_outer(hits).alias("h")).where("h is not null").select(key, "pos", "sentence", F.col("h.no").alias("no"), F.col("h.match").alias("match"))
 
 
 def phrase_table(spark) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions.rules import EXPANSIONS
 from litmill.functions.text import looks_like_identifier, strip, tokens
+from litmill.session import union_all
 
 
 @dataclass(frozen=True)
@@ -36,38 +39,80 @@ def top_n(df: DataFrame, n: int, *order: Column, by: str = "query_id") -> DataFr
     return df.withColumn("rank", F.row_number().over(W.partitionBy(by).orderBy(*order))).where(F.col("rank") <= n)
 
 
-def bm25_scores(queries: DataFrame, docs: DataFrame, p: Bm25 = Bm25()) -> DataFrame:
-    """(query_id, doc_id, score) of the documents that hold a term of the query; score to 6 places.
-
-    Term counts are taken of query terms only: the explode is cut by a semi-join with the queries'
-    distinct terms before anything is shuffled. Corpus statistics - documents, average length, mean
-    of the raw idfs - are aggregates joined as single rows.
-    """
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    d = docs.select("doc_id", tokens(F.col("text")).alias("ts"))
-    sized = d.select("doc_id", F.size("ts").alias("dl"), "ts")
-    corpus = sized.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    posting = sized.select("doc_id", "dl", F.explode("ts").alias("term"))
-    # the floor for terms of more than half of the documents is a share of the mean idf of all terms
-    df_all = posting.select("doc_id", "term").groupBy("term").agg(F.countDistinct("doc_id").alias("df"))
-    raw = df_all.crossJoin(corpus).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("idf").alias("mean_idf"))
-    idf = raw.join(q.select("term").distinct(), "term", "left_semi").crossJoin(mean).select("term", F.when(F.col("idf") < 0, p.epsilon * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    tf = posting.join(q.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (p.k1 + 1) / (F.col("tf") + p.k1 * (1 - p.b + p.b * F.col("dl") / F.col("avgdl")))
-    return tf.join(idf, "term").join(q, "term").crossJoin(corpus).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
+#: Queries per pass of BM25 over the corpus; their term weights are what a task holds.
+TERM_BLOCK = 256
 
 
 def bm25_top(queries: DataFrame, docs: DataFrame, n: int, p: Bm25 = Bm25()) -> DataFrame:
-    """(query_id, rank, doc_id, score): the n best documents; documents without a term fill up with score 0."""
-    hits = top_n(bm25_scores(queries, docs, p), n, F.desc("score"), F.asc("doc_id"))
+    """(query_id, rank, doc_id, score): the n best documents of each query; score to 6 places.
+
+    A query term counts as often as it is repeated; the idf of a term in more than half of the
+    documents is a share of the mean idf. Documents without a term of the query fill up with score 0.
+    Term statistics are aggregates over all documents. Then the queries go over the documents in
+    blocks: a task scores its documents against a block's term weights as a matrix product and keeps
+    the n best per query, so what is shuffled is tasks * queries * n rows, not a row for each
+    document that shares a stop word with a query.
+    """
+    d = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    terms = d.select(tokens(F.col("text")).alias("ts"))
+    corpus = terms.agg(F.count("*").alias("n"), F.avg(F.size("ts")).alias("avgdl")).first()
+    df = terms.select(F.explode(F.array_distinct("ts")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.select("term", (F.log(F.lit(corpus["n"]) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("idf"))
+    mean = raw.agg(F.avg("idf")).first()[0] or 0.0
+    parts, block = [], {}
+    for r in queries.select("query_id", tokens(F.col("text")).alias("ts")).toLocalIterator():
+        block[r["query_id"]] = Counter(r["ts"])
+        if len(block) == TERM_BLOCK:
+            parts.append(_bm25_part(block, d, raw, mean, corpus["avgdl"] or 1.0, n, p))
+            block = {}
+    if block or not parts:
+        parts.append(_bm25_part(block, d, raw, mean, corpus["avgdl"] or 1.0, n, p))
+    hits = top_n(union_all(parts), n, F.desc("score"), F.asc("doc_id"))
     few = queries.select("query_id").join(hits.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < n)
     # a query short of hits has fewer than n of them, so 2n documents hold enough others
-    first = docs.select("doc_id").orderBy("doc_id").limit(2 * n)
+    first = d.select("doc_id").orderBy("doc_id").limit(2 * n)
     fill = few.select("query_id").crossJoin(first).join(hits.select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0))
     return top_n(hits.drop("rank").unionByName(fill), n, F.desc("score"), F.asc("doc_id"))
 
 
+def _bm25_part(block: dict, docs: DataFrame, raw: DataFrame, mean: float, avgdl: float, n: int, p: Bm25) -> DataFrame:
+    spark = docs.sparkSession
+    wanted = spark.createDataFrame([(t,) for t in sorted({t for c in block.values() for t in c})], "term string")
+    # at most the distinct terms of one block of queries
+    idf = {r["term"]: p.epsilon * mean if r["idf"] < 0 else r["idf"] for r in raw.join(wanted, "term").collect()}
+    at = {t: k for k, t in enumerate(sorted(idf))}
+    weight, has = np.zeros((len(at), len(block))), np.zeros((len(at), len(block)), np.float32)
+    for q, c in enumerate(block.values()):
+        for t, times in c.items():
+            if t in at:
+                weight[at[t], q], has[at[t], q] = times * idf[t], 1
+    shared = spark.sparkContext.broadcast((np.array(list(block), np.int64), at, weight, has))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, at, weight, has = shared.value
+        words = re.compile("[a-z0-9]+").findall
+        best, doc = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                b = batch.slice(start, 512)
+                tf, length = np.zeros((b.num_rows, len(at))), np.zeros((b.num_rows, 1))
+                for k, t in enumerate(b.column(1).to_pylist()):
+                    ts = words(t.lower()) if t else []
+                    length[k] = len(ts)
+                    for w, times in Counter(ts).items():
+                        if w in at:
+                            tf[k, at[w]] = times
+                s = np.round((tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * length / avgdl))) @ weight, 6)
+                s[((tf > 0).astype(np.float32) @ has) == 0] = -np.inf
+                best, doc = np.hstack([best, s.T]), np.hstack([doc, np.broadcast_to(b.column(0).to_numpy(), s.T.shape)])
+                order = np.lexsort((doc, -best), axis=1)[:, :n]
+                best, doc = np.take_along_axis(best, order, 1), np.take_along_axis(doc, order, 1)
+        there = np.isfinite(best)
+        yield pa.RecordBatch.from_arrays([pa.array(np.broadcast_to(ids[:, None], best.shape)[there]), pa.array(doc[there]), pa.array(best[there])], names=["query_id", "doc_id", "score"])
+
+    return docs.mapInArrow(score, "query_id bigint, doc_id bigint, score double")
+
+
 #: Query vectors per pass over the corpus; a block and its partial results are what a task holds.
 QUERY_BLOCK = 1024
 
