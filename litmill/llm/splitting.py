@@ -27,7 +27,7 @@ FLAGS = "(?sU)"
 
 def _up_to(limit: int) -> str:
     """At most `limit` characters that begin and end with something visible."""
-    return rf"\S(?:.{{0,{max(limit - 2, 0)}}}\S)?"
+    return rf"\S(?:.{{0,{limit - 2}}}\S)?" if limit > 1 else r"\S"
 
 
 def piece_pattern(limit: int) -> str:
