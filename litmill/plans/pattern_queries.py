@@ -10,11 +10,11 @@ from litmill.operators import patterns as pt
 from litmill.plans.catalog import query
 from litmill.plans.library_queries import STRIP_SQL
 from litmill.plans.text_queries import WS
-from litmill.session import table
+from litmill.session import spread, table
 
 
 def sentences(spark: SparkSession, d: str, fast: bool = True) -> DataFrame:
-    return pt.sentences(table(spark, d, "documents"), "doc_id", "text", fast)
+    return pt.sentences(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text", fast)
 
 
 def _quoted(s: str) -> str:

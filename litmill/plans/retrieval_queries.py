@@ -11,7 +11,7 @@ from litmill.operators import retrieval as rt
 from litmill.plans.catalog import query
 from litmill.plans.library_queries import STRIP_SQL
 from litmill.plans.text_queries import COLLAPSE, TOKENS, WS
-from litmill.session import table
+from litmill.session import spread, table
 
 N = 5
 
@@ -21,7 +21,7 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", "text", "source")
+    return spread(table(spark, d, "documents").select("doc_id", "text", "source"))
 
 
 def bm25_sql(n: int) -> str:

@@ -10,7 +10,7 @@ from litmill.functions.rules import STOPWORDS
 from litmill.operators import layout
 from litmill.plans.catalog import query
 from litmill.plans.library_queries import MISSING_SQL, STRIP_SQL, YEAR_SQL, papers
-from litmill.session import table
+from litmill.session import spread, table
 from litmill.sources.responses import abstract_of
 
 WS = r"[ \t\n\v\f\r]"
@@ -123,7 +123,7 @@ def parse_quality(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def chunk_counts(spark: SparkSession, d: str) -> DataFrame:
-    c = layout.chunk_texts(table(spark, d, "documents"), "doc_id", "text")
+    c = layout.chunk_texts(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
     return c.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("chunk")).alias("longest"))
 
 
