@@ -28,11 +28,11 @@ CACHE_WORDS = 400_000
 #: Bytes of new words per DuckDB query.
 QUERY_BYTES = 1_000_000
 
-ENCODE = """
-WITH RECURSIVE state(round, w, pos, tok) AS (
-    SELECT 0, w, pos, tok FROM fresh
-  UNION ALL
-    SELECT round + 1, w, pos, CASE WHEN here THEN joined ELSE tok END
+#: A longer word is encoded by itself, keeping one round at a time instead of all of them.
+LONG_WORD = 4096
+
+STEP = """
+    SELECT round + 1 AS round, w, pos, CASE WHEN here THEN joined ELSE tok END AS tok
     FROM (
         SELECT *, coalesce(lag(here) OVER (PARTITION BY w ORDER BY pos), false) AS eaten
         FROM (
@@ -56,6 +56,13 @@ WITH RECURSIVE state(round, w, pos, tok) AS (
         )
     )
     WHERE NOT eaten
+"""
+
+ENCODE = f"""
+WITH RECURSIVE state(round, w, pos, tok) AS (
+    SELECT 0, w, pos, tok FROM fresh
+  UNION ALL
+    {STEP}
 )
 SELECT w, list(tok ORDER BY pos) AS ids
 FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
@@ -96,7 +103,8 @@ class Encoder:
         self.cut = regex.compile(PATTERN).findall
         self.known: dict[str, np.ndarray] = {}
 
-    def _learn(self, words: list[str]) -> None:
+    def _fresh(self, words: list[str]) -> None:
+        """Registers the table `fresh`: each byte of each word as a token with its position."""
         coded = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.fromiter(map(len, coded), np.int64, len(coded))
         start = np.concatenate([[0], np.cumsum(sizes)])
@@ -104,12 +112,29 @@ class Encoder:
         pos = (np.arange(start[-1]) - np.repeat(start[:-1], sizes)).astype(np.int32)
         tok = self.byte_id[np.frombuffer(b"".join(coded), np.uint8)]
         self.db.register("fresh", pa.table({"w": w, "pos": pos, "tok": tok}))
+
+    def _learn(self, words: list[str]) -> None:
+        self._fresh(words)
         ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("fresh")
         flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
         for k, word in enumerate(words):
             self.known[word] = flat[cuts[k] : cuts[k + 1]]
 
+    def _learn_long(self, word: str) -> None:
+        """The rounds of the recursion one by one, for a word whose rounds together would not fit in memory."""
+        self._fresh([word])
+        self.db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT 0 AS round, w, pos, tok FROM fresh")
+        self.db.unregister("fresh")
+        while True:
+            self.db.execute(f"CREATE OR REPLACE TEMP TABLE following AS {STEP}")
+            if not self.db.execute("SELECT count(*) FROM following").fetchall()[0][0]:
+                break
+            self.db.execute("DROP TABLE state")
+            self.db.execute("ALTER TABLE following RENAME TO state")
+        ids = self.db.sql("SELECT tok FROM state ORDER BY pos").to_arrow_table().column("tok").to_numpy()
+        self.known[word] = ids.astype(np.int32)
+
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text; no ids for an empty or null one."""
         if len(self.known) > CACHE_WORDS:
@@ -117,6 +142,9 @@ class Encoder:
         cut = [self.cut(t) if t else [] for t in texts]
         fresh, size = [], 0
         for word in dict.fromkeys(w for words in cut for w in words if w not in self.known):
+            if len(word) > LONG_WORD:
+                self._learn_long(word)
+                continue
             fresh.append(word)
             size += len(word)
             if size > QUERY_BYTES:
