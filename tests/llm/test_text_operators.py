@@ -38,6 +38,13 @@ def test_encoding_of_long_runs(encoder, public, text):
     assert encoder.encode([text]).to_pylist() == [public.encode(text, add_special_tokens=False).ids]
 
 
+@pytest.mark.parametrize("letters,n", [("abcdefghijklmnopqrstuvwxyzäöü", 6000), ("ACGT", 9000), ("a", 20_000), (" ", 20_000)])
+def test_encoding_of_very_long_words(encoder, public, letters, n):
+    rnd = random.Random(5)
+    text = "".join(rnd.choice(letters) for _ in range(n))
+    assert encoder.encode([text]).to_pylist() == [public.encode(text, add_special_tokens=False).ids]
+
+
 def test_encoding_operator(spark):
     df = spark.createDataFrame([(1, "hello world", 5, "k"), (2, "", 5, "k"), (3, None, 5, "k"), (1, "hello world", 5, "k"), (None, "x", 5, "k")], "doc_id bigint, text string, ids int, k string")
     got = sorted(((r.doc_id, r.ids) for r in encoding.encode_corpus(df).collect()), key=repr)
