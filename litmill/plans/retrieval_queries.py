@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from litmill.functions.rules import EXPANSIONS
 from litmill.operators import evidence as ev
 from litmill.operators import retrieval as rt
-from litmill.plans.catalog import query
+from litmill.plans.catalog import SQL, query
 from litmill.plans.library_queries import STRIP_SQL
 from litmill.plans.text_queries import COLLAPSE, TOKENS, WS
 from litmill.session import spread, table
@@ -151,9 +151,10 @@ GRADED = f"""WITH {FUSED}, e AS (SELECT query_id, rank, greatest(0.0, least(1.0,
   n AS evidence_count, round(top, 4) AS top_score, round(mean3, 4) AS mean_top3, strong AS strong_count, titles AS unique_titles FROM y)"""
 
 
-@query(sql=f"{GRADED} SELECT * FROM z")
+@query(sql=f"{GRADED} SELECT * FROM z UNION ALL SELECT item_id, 0.0, 'low', 'refuse', 'no_evidence', 0, 0.0, 0.0, 0, 0 FROM eval_items WHERE item_id NOT IN (SELECT query_id FROM z)")
 def confidence_decision(spark: SparkSession, d: str) -> DataFrame:
-    return ev.confidence(evidence(spark, d))
+    """The decision on every question; one without evidence is refused."""
+    return ev.confidence(evidence(spark, d), asked(spark, d))
 
 
 SHORT = f"(CASE WHEN length({{0}}) <= 220 THEN {{0}} ELSE regexp_replace(substr({{0}}, 1, 220), '{WS}+$', '') || '...' END)"
@@ -204,10 +205,12 @@ def similar_papers(spark: SparkSession, d: str) -> DataFrame:
     return rt.vector_top(m.select(F.col("label").cast("bigint").alias("query_id"), "embedding"), m.select(F.col("label").alias("vec_id"), "embedding"), 3, exclude_self=True)
 
 
-@query(sql="SELECT doc_id, lower(text) LIKE '%[s1]%' AS cites FROM documents WHERE false")
+@query(sql=rf"""WITH a AS ({SQL['answers']}), c AS (SELECT query_id, regexp_extract_all(coalesce(answer, ''), '\[S([0-9]+)\]', 1) AS c FROM a)
+SELECT query_id, len(c) > 0 AND len(list_filter(c, lambda k: CAST(k AS INTEGER) NOT BETWEEN 1 AND 3)) = 0 AS valid FROM c""")
 def tag_validation(spark: SparkSession, d: str) -> DataFrame:
-    """No document cites evidence tags; the operator's cases are in the tests."""
-    return docs(spark, d).where(ev.valid_tags(F.col("text"), F.lit(5))).select("doc_id", F.lower("text").contains("[s1]").alias("cites"))
+    """Whether an answer cites evidence, and none beyond S3."""
+    e = evidence(spark, d)
+    return ev.answers(e, ev.confidence(e)).select("query_id", ev.valid_tags(F.col("answer"), F.lit(3)).alias("valid"))
 
 
 @query(sql=f"""
