@@ -8,13 +8,16 @@ of it follows; pairs are made of the other nodes. No link is lost, and no task h
 from __future__ import annotations
 
 from collections import defaultdict, deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from litmill.operators.dedupe import group_pairs
+from litmill.operators.ordering import numbered
+from litmill.session import materialize
 
 HUB = 200
 
@@ -118,14 +121,21 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 BRIDGE = "node string, betweenness double, degree int, is_articulation boolean, path string"
 
 
-def centrality(graph: DataFrame, largest: int = 3000) -> DataFrame:
+#: Source nodes whose shortest paths one task follows in a component that is measured in blocks.
+BLOCK = 512
+
+PART = "group_id string, pos int, betweenness double, degree int, is_articulation boolean, left int, right int"
+
+
+def centrality(graph: DataFrame, largest: int = 3000, block: int = BLOCK) -> DataFrame:
     """(node, betweenness, degree, is_articulation, path) of each node, component by component.
 
-    Betweenness takes weights as path lengths and is normalised by the whole graph. A component of up
-    to `largest` nodes is measured exactly in one task. Betweenness of a larger one is not computed:
-    it would take the time of all its paths; its nodes come with a null betweenness, and degree alone.
+    Betweenness takes weights as path lengths and is normalised by the whole graph. It is exact in
+    every component: one of up to `largest` nodes is measured in one task, a larger one in blocks of
+    source nodes, which together cover all sources. Each task of a block holds its component's links,
+    16 bytes a link as they are sent and some 60 in work; the time grows as nodes x links.
     """
-    g = graph.select("a", "b", "weight")
+    g = materialize(graph.select("a", "b", "weight"))
     nodes = g.select(F.col("a").alias("node")).union(g.select(F.col("b"))).distinct()
     label = group_pairs(g, "a", "b")
     size = label.groupBy("group_id").agg(F.count("*").alias("size"))
@@ -137,9 +147,37 @@ def centrality(graph: DataFrame, largest: int = 3000) -> DataFrame:
         return pd.DataFrame(_measure(pdf), columns=["node", "betweenness", "degree", "is_articulation", "path"])
 
     exact = small.groupBy("group_id").applyInPandas(measure, BRIDGE)
-    large = label.where(F.col("size") > largest).select(F.col("member").alias("node"))
-    rest = degree(g).join(large, "node").select("node", F.lit(None).cast("double").alias("betweenness"), F.col("degree").cast("int"), F.lit(None).cast("boolean").alias("is_articulation"), F.lit(None).cast("string").alias("path"))
-    return exact.unionByName(rest)
+    blocks = [(r["group_id"], k, min(r["size"], k + block)) for r in size.where(F.col("size") > largest).collect() for k in range(0, r["size"], block)]
+    return exact.unionByName(_in_blocks(g, label.where(F.col("size") > largest), blocks, total)) if blocks else exact
+
+
+def _in_blocks(g: DataFrame, large: DataFrame, blocks: list[tuple], total: DataFrame) -> DataFrame:
+    """The rows of centrality() for the components of `large`: members with their group_id and size."""
+    at = materialize(numbered(large.select("group_id", F.col("member").alias("node"), "size"), "group_id", "node", "pos").withColumn("pos", F.col("pos") - 1))
+    end = lambda c: at.select(F.col("node").alias(c), F.col("pos").alias(f"{c}_pos"))
+    links = g.where("a <> b").join(at.select(F.col("node").alias("a"), F.col("pos").alias("a_pos"), "group_id", "size"), "a").join(end("b"), "b")
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        ends = [pdf[c].to_numpy(np.int32).tobytes() for c in ("a_pos", "b_pos")]
+        return pd.DataFrame([(pdf["group_id"].iloc[0], int(pdf["size"].iloc[0]), *ends, pdf["weight"].to_numpy(np.float64).tobytes())], columns=["group_id", "size", "a", "b", "weight"])
+
+    packed = links.select("group_id", "size", "a_pos", "b_pos", "weight").groupBy("group_id").applyInPandas(pack, "group_id string, size int, a binary, b binary, weight binary")
+    spark = g.sparkSession
+    # a task for each block; the links go to the executors once, not once a block
+    todo = spark.createDataFrame(blocks, "group_id string, first int, after int").coalesce(1).repartition(len(blocks))
+
+    def measure(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in pdfs:
+            for r in pdf.itertuples():
+                yield _measure_block(r)
+
+    parts = todo.join(F.broadcast(materialize(packed)), "group_id").mapInPandas(measure, PART)
+    one = parts.groupBy("group_id", "pos").agg(F.sum("betweenness").alias("sum"), F.max("degree").alias("degree"), F.bool_or("is_articulation").alias("is_articulation"), F.max("left").alias("left"), F.max("right").alias("right"))
+    name = lambda c: at.select("group_id", F.col("pos").alias(c), F.col("node").alias(f"{c}_node"))
+    named = one.join(name("pos"), ["group_id", "pos"]).join(name("left"), ["group_id", "left"], "left").join(name("right"), ["group_id", "right"], "left").crossJoin(total)
+    scale = F.when(F.col("total") > 2, 1.0 / ((F.col("total") - 1) * (F.col("total") - 2))).otherwise(1.0)
+    path = F.concat("left_node", F.lit(" -> "), "pos_node", F.lit(" -> "), "right_node")
+    return named.select(F.col("pos_node").alias("node"), (F.col("sum") * scale).alias("betweenness"), "degree", "is_articulation", path.alias("path"))
 
 
 def bridges(graph: DataFrame, k: int = 10, largest: int = 3000) -> DataFrame:
@@ -170,7 +208,7 @@ def _measure(pdf: pd.DataFrame) -> Iterator[tuple]:
             order.append(v)
             for u, w in near[v].items():
                 alt = d + w
-                if u not in dist and (u not in seen or alt < seen[u]):
+                if u not in dist and (u not in seen or alt < seen[u] - 1e-12):
                     seen[u] = alt
                     heapq.heappush(heap, (alt, v, u))
                     paths[u] = 0.0
@@ -190,7 +228,93 @@ def _measure(pdf: pd.DataFrame) -> Iterator[tuple]:
         yield v, between[v] * scale, len(near[v]), v in cut, _bridge_path(near, v) if len(near[v]) > 1 else None
 
 
-def cut_vertices(near: dict[str, dict[str, float]]) -> set[str]:
+class _Links:
+    """The links of a component as arrays: the neighbours of v are near[ptr[v]:ptr[v + 1]], in order."""
+
+    def __init__(self, size: int, a: np.ndarray, b: np.ndarray, weight: np.ndarray):
+        here, near, weight = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([weight, weight])
+        order = np.lexsort((near, here))
+        self.here, self.near, self.weight = here[order], near[order], weight[order]
+        self.ptr = np.searchsorted(self.here, np.arange(size + 1))
+        self.degree = np.diff(self.ptr)
+
+    def __iter__(self) -> Iterator[int]:
+        return iter(range(len(self.degree)))
+
+    def __getitem__(self, v: int) -> list[int]:
+        return self.near[self.ptr[v] : self.ptr[v + 1]].tolist()
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """Where the links of these nodes are, node by node."""
+        n = self.degree[nodes]
+        return np.repeat(self.ptr[nodes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+
+    def distances(self, s: int) -> np.ndarray:
+        """From s to all nodes; open nodes nearer than the least weight beyond the nearest are final."""
+        dist = np.full(len(self.degree), np.inf)
+        dist[s] = 0.0
+        open_, width = np.ones(len(dist), bool), self.weight.min()
+        while True:
+            d = np.where(open_, dist, np.inf)
+            first = d.min()
+            if first == np.inf:
+                return dist
+            now = np.flatnonzero((d == first) | (d < first + width))
+            open_[now] = False
+            e = self.of(now)
+            np.minimum.at(dist, self.near[e], dist[self.here[e]] + self.weight[e])
+
+    def shares(self, s: int) -> np.ndarray:
+        """What the shortest paths from s add to the betweenness of each node."""
+        dist, size = self.distances(s), len(self.degree)
+        a, b = dist[self.here], dist[self.near]
+        on = np.flatnonzero((np.abs(a + self.weight - b) < 1e-12) & (a < b))
+        u, v = self.here[on], self.near[on]
+        start = np.zeros(size)
+        start[s] = 1.0
+        paths = _settled(start, lambda x: start + np.bincount(v, x[u], size))
+        part = paths[u] / paths[v]
+        share = _settled(np.zeros(size), lambda x: np.bincount(u, part * (1.0 + x[v]), size))
+        share[s] = 0.0
+        return share
+
+    def beyond(self, v: int) -> tuple[int, int]:
+        """Two neighbours of the cut vertex v that v alone joins: its first, and the first not reached from it."""
+        around = self[v]
+        reached = np.zeros(len(self.degree), bool)
+        reached[v] = reached[around[0]] = True
+        now = np.array(around[:1])
+        while len(now):
+            near = np.unique(self.near[self.of(now)])
+            now = near[~reached[near]]
+            reached[now] = True
+        return around[0], next((u for u in around if not reached[u]), around[1])
+
+
+def _settled(x: np.ndarray, step: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The fixpoint of sums along links without a cycle: reached after as many steps as the longest path has."""
+    while not np.array_equal(x, y := step(x)):
+        x = y
+    return x
+
+
+def _measure_block(r) -> pd.DataFrame:
+    """The shares of all nodes from the sources of one block, and what else is known of those sources."""
+    links = _Links(r.size, np.frombuffer(r.a, np.int32), np.frombuffer(r.b, np.int32), np.frombuffer(r.weight, np.float64))
+    mine = range(r.first, r.after)
+    between = np.zeros(r.size)
+    for s in mine:
+        between += links.shares(s)
+    cut = cut_vertices(links)
+    two = [(None, None) if links.degree[v] < 2 else links.beyond(v) if v in cut else tuple(links[v][:2]) for v in mine]
+    own = pd.DataFrame({"pos": mine, "betweenness": 0.0, "degree": links.degree[mine.start : mine.stop], "is_articulation": [v in cut for v in mine], "left": pd.array([x for x, _ in two], "Int32"), "right": pd.array([x for _, x in two], "Int32")})
+    some = np.flatnonzero(between)
+    out = pd.concat([own, pd.DataFrame({"pos": some, "betweenness": between[some]})])
+    out["group_id"], out["degree"], out["is_articulation"] = r.group_id, out["degree"].astype("Int32"), out["is_articulation"].astype("boolean")
+    return out[["group_id", "pos", "betweenness", "degree", "is_articulation", "left", "right"]]
+
+
+def cut_vertices(near: dict[str, dict[str, float]] | _Links) -> set:
     """Nodes whose removal parts their component, by one depth-first search without recursion."""
     found, low, cut = {}, {}, set()
     for root in sorted(near):

@@ -1,3 +1,5 @@
+import random
+
 import networkx_free as nx
 import pytest
 from hypothesis import given, settings
@@ -46,6 +48,17 @@ def test_betweenness_and_cut_vertices_by_brute_force(spark, edges):
     assert {k for k, v in got.items() if v.is_articulation} == cut
 
 
+def test_a_large_component_is_measured_like_a_small_one(spark):
+    rnd = random.Random(3)
+    ends = {tuple(sorted(rnd.sample(range(40), 2))) for _ in range(60)} | {(k, 40 + k) for k in range(5)} | {(90, 91), (91, 92)}
+    g = spark.createDataFrame([(f"n{a:02}", f"n{b:02}", rnd.choice([0.8, 1.0, 1.6, 1.8, 2.3])) for a, b in sorted(ends)], "a string, b string, weight double")
+    rows = lambda **at: {r.node: (pytest.approx(r.betweenness, abs=1e-9), r.degree, r.is_articulation, r.path) for r in gr.centrality(g, **at).collect()}
+    whole, blocks = rows(), rows(largest=2, block=7)
+    assert len(whole) == len(blocks) == 48 - sum(all(k not in e for e in ends) for k in range(40))
+    assert {k: (v[0].expected, *v[1:]) for k, v in blocks.items()} == whole
+    assert [r.node for r in gr.bridges(g, largest=2).collect()] == [r.node for r in gr.bridges(g).collect()]
+
+
 def test_missing_papers(spark):
     ext = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "src string, dst string")
     info = spark.createDataFrame([("x", "Missing X", 2022, 120), ("y", "Y", 2021, 45)], "ref_id string, title string, pub_year int, citation_count int")
