@@ -84,6 +84,47 @@ def candidate_pairs(keys: DataFrame, least: float = 0.0) -> DataFrame:
     return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
 
 
+@F.arrow_udf(T.BooleanType())
+def may_reach(a: pa.Array, b: pa.Array, least: pa.Array) -> pa.Array:
+    """Whether the sequence ratio of two strings can be at least so much by their characters, order aside."""
+    from difflib import SequenceMatcher
+
+    return pa.array([SequenceMatcher(None, x, y).quick_ratio() >= z for x, y, z in zip(a.to_pylist(), b.to_pylist(), least.to_pylist())], pa.bool_())
+
+
+def full_pairs(keys: DataFrame, least: float) -> DataFrame:
+    """The pairs of candidate_pairs(keys) that can reach that combined score by the words or the ratio, all of them.
+
+    Title and year alone give 0.75, so above it a pair without a boost shares a family name: it is
+    found by the rarest names of both (prefix filter). It stays if the title similarity that is
+    still missing beside authors and year is within what the lengths and the characters of the
+    titles allow. Pairs with the same DOI, or the same first character and id, are all made.
+    """
+    least -= 5e-5  # scores are compared as rounded to four places
+    alike = (least - TITLE - YEAR) / AUTHORS - 1e-9
+    if alike <= 0:
+        return candidate_pairs(keys)
+    first = F.substring("norm", 1, 1)
+    df = keys.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("df"))
+    ranked = keys.select("ord", F.explode("names").alias("name")).join(df, "name").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("r"))
+    n = F.size("r")
+    prefix = F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(alike)) + 1).cast("int")), lambda x: x["name"])
+    named = keys.join(ranked, "ord").withColumn("block", F.explode(F.transform(prefix, lambda x: F.concat(first, x)))).drop("r")
+    doi = F.when(F.col("doi") != "", F.concat(F.lit("d:"), F.col("doi")))
+    same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
+
+    def joined(b: DataFrame) -> DataFrame:
+        side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in keys.columns])
+        return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block")
+
+    missing = (F.lit(least - 1e-9) - AUTHORS * jaccard(F.col("names_a"), F.col("names_b")) - YEAR * year_similarity(F.col("year_a"), F.col("year_b"))) / TITLE
+    x, y = F.length("norm_a"), F.length("norm_b")
+    words = jaccard(F.col("toks_a"), F.col("toks_b"))
+    near = joined(named).withColumn("need", missing).where((F.col("need") <= 1) & ((words >= F.col("need")) | (2 * F.least(x, y) / (x + y) >= F.col("need")))).dropDuplicates(["ord_a", "ord_b"])
+    near = near.withColumn("enough", (words >= F.col("need")) | may_reach("norm_a", "norm_b", "need")).where("enough").drop("need", "enough")
+    return near.unionByName(joined(keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same)))))).dropDuplicates(["ord_a", "ord_b"])
+
+
 def score_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
     """(paper_a, paper_b, title_similarity, author_similarity, year_similarity, combined_score, reasons)."""
     words = jaccard(F.col("toks_a"), F.col("toks_b"))

@@ -46,8 +46,8 @@ def dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dup_pairs_full(spark: SparkSession, d: str) -> DataFrame:
-    """The same candidates scored with the sequence ratio too, which lifts some of them over the threshold."""
-    pairs = dd.candidate_pairs(dd.pair_keys(papers(spark, d), "paper_id"), 0.84)
+    """Pairs scored with the sequence ratio too, at the threshold of the duplicate scan."""
+    pairs = dd.full_pairs(dd.pair_keys(papers(spark, d), "paper_id"), 0.84)
     return dd.score_pairs(pairs).where("combined_score >= 0.84")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from litmill.operators import dedupe as dd
 from litmill.operators import graph as gr
+from litmill.plans.library_queries import papers
 
 
 def test_pair_score(spark):
@@ -17,6 +18,16 @@ def test_pair_score(spark):
     assert r.reasons == "exact_doi,author_overlap,year_close"
 
 
+def test_pairs_that_only_the_ratio_lifts(spark, sf):
+    rows = [("a", "{T}he structural rent of Rulkvik", ["X Smith"], "2024", None, None), ("b", "The structural rent of Rulkvik", ["Smith, X"], "2024", None, None), ("c", "The structurel rents of Rulkvik", ["Y Smith"], "2024", None, None), ("d", "The structural rent of Rulkvik", ["Z Other"], "2024", None, None)]
+    small = spark.createDataFrame(rows, "paper_id string, title string, authors array<string>, published string, doi string, canonical_id string")
+    scored = lambda pairs: {r.paper_a + r.paper_b: r.combined_score for r in dd.score_pairs(pairs).where("combined_score >= 0.84").collect()}
+    for p in (small, papers(spark, sf)):
+        keys = dd.pair_keys(p, "paper_id")
+        assert scored(dd.full_pairs(keys, 0.84)) == scored(dd.candidate_pairs(keys))
+    assert {"ab", "ac", "bc"} == set(scored(dd.full_pairs(dd.pair_keys(small, "paper_id"), 0.84)))
+
+
 @settings(max_examples=6, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_groups_like_union_find(spark, pairs):
