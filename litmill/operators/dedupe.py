@@ -109,20 +109,25 @@ def full_pairs(keys: DataFrame, least: float) -> DataFrame:
     ranked = keys.select("ord", F.explode("names").alias("name")).join(df, "name").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("r"))
     n = F.size("r")
     prefix = F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(alike)) + 1).cast("int")), lambda x: x["name"])
-    named = keys.join(ranked, "ord").withColumn("block", F.explode(F.transform(prefix, lambda x: F.concat(first, x)))).drop("r")
+    named = keys.join(ranked.select("ord", prefix.alias("rare")), "ord").withColumn("block", F.explode(F.transform("rare", lambda x: F.concat(first, x))))
     doi = F.when(F.col("doi") != "", F.concat(F.lit("d:"), F.col("doi")))
     same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
 
     def joined(b: DataFrame) -> DataFrame:
-        side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in keys.columns])
-        return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block")
+        side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in b.columns if c != "block"])
+        return side("a").join(side("b"), "block").where("ord_a < ord_b")
 
+    # a pair is kept in one block alone, so wide pairs need not be made distinct
+    same_doi, same_id = "(doi_a <> '' and doi_a = doi_b)", "(cid_a <> '' and cid_a = cid_b)"
+    once = F.col("block") == F.concat(F.substring("norm_a", 1, 1), F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)))
     missing = (F.lit(least - 1e-9) - AUTHORS * jaccard(F.col("names_a"), F.col("names_b")) - YEAR * year_similarity(F.col("year_a"), F.col("year_b"))) / TITLE
     x, y = F.length("norm_a"), F.length("norm_b")
     words = jaccard(F.col("toks_a"), F.col("toks_b"))
-    near = joined(named).withColumn("need", missing).where((F.col("need") <= 1) & ((words >= F.col("need")) | (2 * F.least(x, y) / (x + y) >= F.col("need")))).dropDuplicates(["ord_a", "ord_b"])
-    near = near.withColumn("enough", (words >= F.col("need")) | may_reach("norm_a", "norm_b", "need")).where("enough").drop("need", "enough")
-    return near.unionByName(joined(keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same)))))).dropDuplicates(["ord_a", "ord_b"])
+    near = joined(named).where(once).where(f"not {same_doi} and not {same_id}").withColumn("need", missing)
+    near = near.where((F.col("need") <= 1) & ((words >= F.col("need")) | (2 * F.least(x, y) / (x + y) >= F.col("need"))))
+    near = near.withColumn("enough", (words >= F.col("need")) | may_reach("norm_a", "norm_b", "need")).where("enough").drop("need", "enough", "rare_a", "rare_b", "block")
+    sure = joined(keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same))))).where(f"block like 'd:%' or not {same_doi}").drop("block")
+    return near.unionByName(sure)
 
 
 def score_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
