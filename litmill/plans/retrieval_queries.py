@@ -230,6 +230,6 @@ def context_assembly(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def rank_by_article(spark: SparkSession, d: str) -> DataFrame:
     """Papers ranked by likeness of vectors to an article, in percent."""
-    hits = rt.vector_top(query_vectors(spark, d, 250), vectors(spark, d), 10)
+    hits = rt.vector_top(query_vectors(spark, d), vectors(spark, d), 10)
     return hits.select("query_id", "rank", "vec_id", F.round(100 * (1 - F.col("distance")), 1).alias("percent"))
 

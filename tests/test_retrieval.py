@@ -73,3 +73,10 @@ def test_no_evidence_is_refused(spark):
 def test_valid_tags(spark):
     df = spark.createDataFrame([("a [S1] b [S2]",), ("a [S3]",), ("none",), (None,)], "a string")
     assert [r.x for r in df.select(ev.valid_tags(F.col("a"), F.lit(2)).alias("x")).collect()] == [True, False, False, False]
+
+
+def test_rank_by_article_takes_the_stated_query_set(spark, sf):
+    from litmill.plans import retrieval_queries as rq
+
+    got = {r.query_id for r in rq.rank_by_article(spark, sf).select("query_id").collect()}
+    assert got == {r.vec_id for r in rq.vectors(spark, sf).where("vec_id % 100 = 0").select("vec_id").collect()}
