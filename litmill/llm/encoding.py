@@ -1,10 +1,12 @@
 """Encoding of a corpus with a public byte-level BPE tokenizer.
 
-Each partition cuts its texts into pre-tokens and encodes the distinct ones it has not met yet in
-one recursive DuckDB query: token-position rows join the merge table, every round contracts the
-leftmost pair of lowest rank of each word (with that pair's further, non-overlapping places), and
-the recursion ends when no word has a pair left. An aggregation ordered by position gives the ids
-of each word; a text's ids are those of its words in a row. There is no shuffle.
+Each partition cuts its texts into pre-tokens, these where no token of the vocabulary holds both
+neighbouring bytes, and encodes the distinct parts it has not met yet in one recursive DuckDB query:
+token-position rows join the merge table, every round contracts the leftmost pair of lowest rank of
+each part, and the recursion ends when no part has a pair left. With that pair a round contracts
+all others that nothing can forestall: pairs of lower rank than both neighbours, and of lower rank
+than any merge that could take part in what this round makes. An aggregation ordered by position
+gives the ids of each part; a text's ids are those of its parts in a row. There is no shuffle.
 """
 
 from __future__ import annotations
@@ -23,55 +25,57 @@ from litmill.session import distinct_names, tokenizer_dir
 #: Fixed value: the published pre-token pattern of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Words known to one task; beyond this the task forgets them, so memory stays bounded.
-CACHE_WORDS = 400_000
-#: Bytes of new words per DuckDB query.
-QUERY_BYTES = 1_000_000
-
-#: A longer word is encoded by itself, keeping one round at a time instead of all of them.
-LONG_WORD = 4096
-
-STEP = """
-    SELECT round + 1 AS round, w, pos, CASE WHEN here THEN joined ELSE tok END AS tok
+#: Parts known to one task, and their bytes; beyond either the task forgets them, so memory stays bounded.
+CACHE_WORDS, CACHE_BYTES = 400_000, 20_000_000
+#: Bytes of new parts per DuckDB query; a longer part has a query of its own.
+QUERY_BYTES = 250_000
+#: DuckDB's memory: a floor, and what each byte of the longest part adds to it.
+MEMORY_MB, MEMORY_PER_BYTE = 400, 1500
+
+#: One row per token: the recursion keeps the newest state of each place only. A place whose token
+#: went into the one before it gets tok -1 once; a part without a pair left does not come back.
+ENCODE = """
+WITH RECURSIVE state(w, pos, tok) USING KEY (w, pos) AS (
+    SELECT w, pos, tok FROM fresh
+  UNION ALL
+    SELECT w, pos, CASE WHEN eaten THEN -1 WHEN here THEN joined ELSE tok END
     FROM (
         SELECT *, coalesce(lag(here) OVER (PARTITION BY w ORDER BY pos), false) AS eaten
         FROM (
-            SELECT *, least_ AND (pair_no % 2 = 0) AS here
+            SELECT w, pos, tok, joined, coalesce(
+                rank < bound AND (row_number() OVER run) % 2 = 1
+                AND max(rank >= before_ AND fresh_run) OVER whole IS NOT TRUE
+                AND max(rank >= after_ AND last_of_run) OVER whole IS NOT TRUE, false) AS here
             FROM (
-                SELECT *, row_number() OVER (PARTITION BY w, least_, n - m ORDER BY pos) - 1 AS pair_no
+                SELECT *, sum(fresh_run::INT) OVER (PARTITION BY w ORDER BY pos) AS run_no
                 FROM (
-                    SELECT *, row_number() OVER (PARTITION BY w ORDER BY pos) AS n,
-                        row_number() OVER (PARTITION BY w, least_ ORDER BY pos) AS m
+                    SELECT *, rank IS DISTINCT FROM before_ AS fresh_run, rank IS DISTINCT FROM after_ AS last_of_run
                     FROM (
-                        SELECT *, rank IS NOT NULL AND rank = best AS least_
+                        SELECT *, lag(rank) OVER (PARTITION BY w ORDER BY pos) AS before_, lead(rank) OVER (PARTITION BY w ORDER BY pos) AS after_
                         FROM (
-                            SELECT p.round, p.w, p.pos, p.tok, g.rank, g.joined, min(g.rank) OVER (PARTITION BY p.w) AS best
-                            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS follower FROM state) p
+                            SELECT p.w, p.pos, p.tok, g.rank, g.joined, min(g.next_rank) OVER (PARTITION BY p.w) AS bound
+                            FROM (SELECT *, lead(tok) OVER (PARTITION BY w ORDER BY pos) AS follower FROM state WHERE tok >= 0) p
                             LEFT JOIN merges g ON g.a = p.tok AND g.b = p.follower
                         )
-                        WHERE best IS NOT NULL
+                        WHERE bound IS NOT NULL
                     )
                 )
             )
+            WINDOW run AS (PARTITION BY w, run_no ORDER BY pos), whole AS (PARTITION BY w, run_no)
         )
     )
-    WHERE NOT eaten
-"""
-
-ENCODE = f"""
-WITH RECURSIVE state(round, w, pos, tok) AS (
-    SELECT 0, w, pos, tok FROM fresh
-  UNION ALL
-    {STEP}
 )
-SELECT w, list(tok ORDER BY pos) AS ids
-FROM state JOIN (SELECT w, max(round) AS round FROM state GROUP BY w) USING (w, round)
-GROUP BY w ORDER BY w
+SELECT w, list(tok ORDER BY pos) AS ids FROM state WHERE tok >= 0 GROUP BY w ORDER BY w
 """
 
 
-def load_vocabulary(path: str) -> tuple[np.ndarray, pa.Table]:
-    """(id of each byte, merge table a, b, rank, joined) of a tokenizer file with byte-level BPE."""
+def load_vocabulary(path: str) -> tuple[np.ndarray, pa.Table, np.ndarray]:
+    """(id of each byte, merge table, which bytes can meet in a token) of a tokenizer file with byte-level BPE.
+
+    The merge table is a, b, rank, joined and next_rank, the lowest rank of a merge that `joined`
+    takes part in. Rounds rely on next_rank > rank, which holds for every vocabulary whose merges
+    were learned in order; one without it is refused.
+    """
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
     vocab = model["vocab"]
@@ -84,79 +88,88 @@ def load_vocabulary(path: str) -> tuple[np.ndarray, pa.Table]:
     for k, b in enumerate(rest):
         byte_id[b] = vocab[chr(256 + k)]
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    ids = lambda of: pa.array([of(m) for m in merges], pa.int32())
-    table = pa.table({"a": ids(lambda m: vocab[m[0]]), "b": ids(lambda m: vocab[m[1]]), "rank": pa.array(range(len(merges)), pa.int32()), "joined": ids(lambda m: vocab["".join(m)])})
-    return byte_id, table
+    left, right, joined = (np.array([vocab[of(m)] for m in merges], np.int32) for of in (lambda m: m[0], lambda m: m[1], "".join))
+    rank = np.arange(len(merges), dtype=np.int32)
+    # the lowest rank of a merge that a token takes part in; no rank is beyond the last
+    uses = np.full(max(vocab.values()) + 1, len(merges), np.int32)
+    np.minimum.at(uses, left, rank)
+    np.minimum.at(uses, right, rank)
+    if (uses[joined] <= rank).any():
+        raise ValueError("a merge comes before one that makes its part; the order of rounds would matter")
+    table = pa.table({"a": left, "b": right, "rank": rank, "joined": joined, "next_rank": uses[joined]})
+    code = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(rest)}
+    meet = np.zeros((256, 256), bool)
+    for m in merges:
+        meet[code[m[0][-1]], code[m[1][0]]] = True
+    return byte_id, table, meet
 
 
 class Encoder:
-    """Encodes texts in one process, keeping the ids of the words met so far."""
+    """Encodes texts in one process, keeping the ids of the parts met so far."""
 
     def __init__(self, path: str):
         import duckdb
         import regex
 
-        self.byte_id, merges = load_vocabulary(path)
-        self.db = duckdb.connect(config={"threads": "1", "memory_limit": "400MB", "temp_directory": ""})
+        self.byte_id, merges, self.meet = load_vocabulary(path)
+        self.db = duckdb.connect(config={"threads": "1", "memory_limit": f"{MEMORY_MB}MB", "temp_directory": ""})
         self.db.register("merges_", merges)
         self.db.execute("CREATE TABLE merges AS FROM merges_")
         self.cut = regex.compile(PATTERN).findall
-        self.known: dict[str, np.ndarray] = {}
-
-    def _fresh(self, words: list[str]) -> None:
-        """Registers the table `fresh`: each byte of each word as a token with its position."""
-        coded = [w.encode("utf-8", "surrogatepass") for w in words]
-        sizes = np.fromiter(map(len, coded), np.int64, len(coded))
+        self.known: dict[bytes, np.ndarray] = {}
+        self.split: dict[str, list[bytes]] = {}
+        self.held = 0
+
+    def parts(self, word: str) -> list[bytes]:
+        """The word's bytes, cut wherever no token can hold the bytes on both sides."""
+        got = self.split.get(word)
+        if got is None:
+            coded = word.encode("utf-8", "surrogatepass")
+            x = np.frombuffer(coded, np.uint8)
+            cuts = (np.flatnonzero(~self.meet[x[:-1], x[1:]]) + 1).tolist()
+            got = self.split[word] = [coded[i:j] for i, j in zip([0, *cuts], [*cuts, len(coded)])] if cuts else [coded]
+            self.held += len(coded)
+        return got
+
+    def _learn(self, parts: list[bytes]) -> None:
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
         start = np.concatenate([[0], np.cumsum(sizes)])
-        w = np.repeat(np.arange(len(coded), dtype=np.int32), sizes)
+        w = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
         pos = (np.arange(start[-1]) - np.repeat(start[:-1], sizes)).astype(np.int32)
-        tok = self.byte_id[np.frombuffer(b"".join(coded), np.uint8)]
+        tok = self.byte_id[np.frombuffer(b"".join(parts), np.uint8)]
+        big = int(start[-1]) > 2 * QUERY_BYTES
+        if big:
+            self.db.execute(f"SET memory_limit = '{MEMORY_MB + int(start[-1]) * MEMORY_PER_BYTE // 1_000_000}MB'")
         self.db.register("fresh", pa.table({"w": w, "pos": pos, "tok": tok}))
-
-    def _learn(self, words: list[str]) -> None:
-        self._fresh(words)
         ids = self.db.sql(ENCODE).to_arrow_table().column("ids").combine_chunks()
         self.db.unregister("fresh")
+        if big:
+            self.db.execute(f"SET memory_limit = '{MEMORY_MB}MB'")
         flat, cuts = ids.values.to_numpy(), ids.offsets.to_numpy()
-        for k, word in enumerate(words):
-            self.known[word] = flat[cuts[k] : cuts[k + 1]]
-
-    def _learn_long(self, word: str) -> None:
-        """The rounds of the recursion one by one, for a word whose rounds together would not fit in memory."""
-        self._fresh([word])
-        self.db.execute("CREATE OR REPLACE TEMP TABLE state AS SELECT 0 AS round, w, pos, tok FROM fresh")
-        self.db.unregister("fresh")
-        while True:
-            self.db.execute(f"CREATE OR REPLACE TEMP TABLE following AS {STEP}")
-            if not self.db.execute("SELECT count(*) FROM following").fetchall()[0][0]:
-                break
-            self.db.execute("DROP TABLE state")
-            self.db.execute("ALTER TABLE following RENAME TO state")
-        ids = self.db.sql("SELECT tok FROM state ORDER BY pos").to_arrow_table().column("tok").to_numpy()
-        self.known[word] = ids.astype(np.int32)
+        for k, part in enumerate(parts):
+            self.known[part] = flat[cuts[k] : cuts[k + 1]]
+        self.held += int(start[-1])
 
     def encode(self, texts: list[str | None]) -> pa.ListArray:
         """The ids of each text; no ids for an empty or null one."""
-        if len(self.known) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.known.clear()
-        cut = [self.cut(t) if t else [] for t in texts]
+            self.split.clear()
+            self.held = 0
+        cut = [[p for w in self.cut(t) for p in self.parts(w)] if t else [] for t in texts]
+        known = self.known
         fresh, size = [], 0
-        for word in dict.fromkeys(w for words in cut for w in words if w not in self.known):
-            if len(word) > LONG_WORD:
-                self._learn_long(word)
-                continue
-            fresh.append(word)
-            size += len(word)
-            if size > QUERY_BYTES:
+        for part in dict.fromkeys(p for parts in cut for p in parts if p not in known):
+            if fresh and size + len(part) > QUERY_BYTES:
                 self._learn(fresh)
                 fresh, size = [], 0
+            fresh.append(part)
+            size += len(part)
         if fresh:
             self._learn(fresh)
-        known = self.known
-        parts = [known[w] for words in cut for w in words]
-        sizes = np.fromiter((sum(len(known[w]) for w in words) for words in cut), np.int64, len(cut))
-        flat = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
+        flat = [known[p] for parts in cut for p in parts]
+        sizes = np.fromiter((sum(len(known[p]) for p in parts) for parts in cut), np.int64, len(cut))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
 
 
 def encode_corpus(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:

@@ -45,6 +45,26 @@ def test_encoding_of_very_long_words(encoder, public, letters, n):
     assert encoder.encode([text]).to_pylist() == [public.encode(text, add_special_tokens=False).ids]
 
 
+def test_encoding_of_many_unbroken_texts_in_bounded_memory(encoder, public):
+    rnd = random.Random(1)
+    word = lambda n, letters: "".join(rnd.choice(letters) for _ in range(n))
+    cjk = [chr(c) for c in range(0x4E00, 0x9F00)]
+    texts = [" ".join(word(60, cjk) for _ in range(8)) for _ in range(1000)]
+    texts += [" ".join(word(4000, "abcdefghijklmnopqrstuvwxyz") for _ in range(300)), word(1_000_000, "etaoinshrdlu")]
+    assert encoder.encode(texts).to_pylist() == [x.ids for x in public.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_a_vocabulary_out_of_order_is_refused(tmp_path):
+    import json
+
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    vocab = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+    path = tmp_path / "v.json"
+    path.write_text(json.dumps({"model": {"vocab": vocab | {"ab": 256, "abc": 257}, "merges": ["ab c", "a b"]}}))
+    with pytest.raises(ValueError):
+        encoding.load_vocabulary(str(path))
+
+
 def test_encoding_operator(spark):
     df = spark.createDataFrame([(1, "hello world", 5, "k"), (2, "", 5, "k"), (3, None, 5, "k"), (1, "hello world", 5, "k"), (None, "x", 5, "k")], "doc_id bigint, text string, ids int, k string")
     got = sorted(((r.doc_id, r.ids) for r in encoding.encode_corpus(df).collect()), key=repr)
