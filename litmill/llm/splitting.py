@@ -3,12 +3,14 @@
 A regular expression with bounded quantifiers takes pieces off the text: its alternatives are
 ordered by the strength of the boundary and each takes as much as the limit allows, so a piece ends
 at the last paragraph end in reach, else at the last sentence end, else at the last word end, else
-at the limit. Array functions add up the pieces' lengths to offsets, and the overlap is what stands
-before a piece's offset. All of it runs inside the JVM; there is no shuffle.
+at the limit. Array functions add up the pieces' lengths to offsets, and the overlap is put together
+from the pieces before. All of it runs inside the JVM, in time linear in the text; there is no shuffle.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,15 +37,42 @@ def piece_pattern(limit: int) -> str:
     return rf"{FLAGS}({body})(\s*)"
 
 
+def taken(text: Column, kind: str, limit: int) -> Column:
+    """The pieces that one kind of boundary alone takes off the text, one after the other, each with the white space before it."""
+    return F.regexp_extract_all(text, F.lit(rf"{FLAGS}\G\s*{_up_to(limit)}{FOLLOW[kind]}"), F.lit(0))
+
+
+def _total(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0), lambda n, w: n + F.length(w))
+
+
 def boundary_needed(text: Column, limit: int) -> Column:
-    """The coarsest kind of boundary whose places alone bring every piece to the limit, else `none`."""
+    """The coarsest kind of boundary whose pieces alone cover the text, each within the limit, else `none`."""
+    visible = F.length(F.regexp_replace(text, r"(?U)\s+\z", ""))
     out = F.lit("none")
     for kind in reversed(FOLLOW):
-        left = F.regexp_replace(text, rf"{FLAGS}\G\s*{_up_to(limit)}{FOLLOW[kind]}", "")
-        out = F.when(~left.rlike(r"(?U)\S"), F.lit(kind)).otherwise(out)
+        out = F.when(_total(taken(text, kind, limit)) >= visible, F.lit(kind)).otherwise(out)
     return out
 
 
+#: Lengths are added up within blocks of so many pieces, and over the blocks.
+BLOCK = 256
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of the value, which is computed once and not once for each element that reads it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _starts(lengths: Column, first: Column) -> Column:
+    """Where each piece starts, from the array of lengths and the place of the first."""
+    add = lambda a, n: a + n
+    part = lambda k, m: F.aggregate(F.slice(lengths, k * BLOCK + 1, m), F.lit(0), add)
+    sums = F.transform(F.sequence(F.lit(0), F.floor(F.size(lengths) / BLOCK).cast("int")), lambda k: part(k, F.lit(BLOCK)))
+    before = _let(sums, lambda blocks: F.transform(blocks, lambda _, k: F.aggregate(F.slice(blocks, F.lit(1), k), first, add)))
+    return _let(before, lambda upto: F.transform(lengths, lambda _, i: upto[F.floor(i / BLOCK).cast("int")] + part(F.floor(i / BLOCK).cast("int"), i % BLOCK)))
+
+
 def split_oversized(df: DataFrame, key: str, field: str, limit: int = 1000, overlap: int = 200) -> DataFrame:
     """(key, piece_no, start, piece, body_length, boundary): texts over the limit, cut into pieces.
 
@@ -59,22 +88,21 @@ def split_oversized(df: DataFrame, key: str, field: str, limit: int = 1000, over
     if not 0 <= overlap < limit:
         raise ValueError("overlap must be at least 0 and less than the limit")
     own = limit - overlap
+    # a piece that ends early is followed by one cut at a weaker place or both exceed `own`; there
+    # are four kinds of places, so any five pieces in a row exceed it
+    back = 5 * (overlap // own + 1)
     d = distinct_names(df, key, field).select(F.col(key).alias("k"), F.col(field).alias("t")).where(F.length("t") > limit)
-    pattern = F.lit(piece_pattern(own))
-    d = d.select(
-        "k", "t", boundary_needed(F.col("t"), limit).alias("boundary"),
-        F.length(F.regexp_extract(F.col("t"), r"(?U)^\s*", 0)).alias("lead"),
-        F.regexp_extract_all("t", pattern, F.lit(0)).alias("whole"), F.regexp_extract_all("t", pattern, F.lit(1)).alias("body"),
-    )
-    step = F.aggregate(
-        "whole", F.struct((F.col("lead") + 1).alias("next"), F.array().cast("array<int>").alias("at")),
-        lambda s, w: F.struct((s["next"] + F.length(w)).alias("next"), F.concat(s["at"], F.array(s["next"])).alias("at")),
-        lambda s: s["at"],
-    )
-    d = d.select("k", "t", "boundary", F.posexplode(F.arrays_zip(step.alias("start"), F.col("body").alias("body"))).alias("no", "p"))
-    begin = F.greatest(F.lit(1), F.col("p.start") - F.lit(overlap))
+    gap = F.regexp_extract(F.col("t"), r"(?U)^\s*", 0)
+
+    def cut(lead: Column, whole: Column, starts: Column) -> Column:
+        # what stands before a piece: the pieces before it, and for the first ones the white space at the start
+        before = lambda i: F.concat(F.when(i <= back, F.right(lead, F.lit(overlap))).otherwise(""), F.array_join(F.slice(whole, F.greatest(i - back + 1, F.lit(1)), F.least(i, F.lit(back))), ""))
+        return F.transform(whole, lambda w, i: F.struct(starts[i].alias("start"), F.right(before(i), F.lit(overlap)).alias("over"), F.regexp_replace(w, r"(?U)\s+\z", "").alias("body")))
+
+    all_starts = lambda lead, whole: _let(F.transform(whole, F.length), lambda n: _starts(n, F.length(lead) + 1))
+    pieces = _let(gap, lambda lead: _let(F.regexp_extract_all("t", F.lit(piece_pattern(own)), F.lit(0)), lambda whole: _let(all_starts(lead, whole), lambda at: cut(lead, whole, at))))
+    d = d.select("k", boundary_needed(F.col("t"), limit).alias("boundary"), F.posexplode(pieces).alias("no", "p"))
     return d.select(
-        F.col("k").alias(key), (F.col("no") + 1).alias("piece_no"), F.col("p.start").alias("start"),
-        F.substring(F.col("t"), begin, F.col("p.start") - begin + F.length("p.body")).alias("piece"),
+        F.col("k").alias(key), (F.col("no") + 1).alias("piece_no"), F.col("p.start").alias("start"), F.concat("p.over", "p.body").alias("piece"),
         F.length("p.body").alias("body_length"), "boundary",
     )

@@ -174,6 +174,19 @@ def test_boundaries_of_papers(spark, sf):
     assert {r.paper_id: r.boundary for r in got.collect()} == want
 
 
+def test_splitting_time_is_linear(spark):
+    import time
+
+    def took(n):
+        df = spark.range(1).select(F.lit("a").alias("key"), F.concat(F.expr(f"repeat('The price of a thing. It rose again\n\n', {n // 40})"), F.expr(f"repeat('x', {n // 10})")).alias("t"))
+        began = time.perf_counter()
+        splitting.split_oversized(df, "key", "t").agg(F.sum(F.length("piece"))).collect()
+        return time.perf_counter() - began
+
+    took(1_000_000)
+    assert took(16_000_000) < 8 * took(4_000_000) + 1
+
+
 def test_splitting_edges(spark):
     df = spark.createDataFrame([("a", None), ("b", ""), ("c", " " * 2000), ("d", "x" * 5000), ("e", "short"), ("f", "y " * 200_000)], "key string, t string")
     got = splitting.split_oversized(df, "key", "t")
