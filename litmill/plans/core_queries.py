@@ -16,6 +16,6 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p3_flags(spark: SparkSession, d: str) -> DataFrame:
-    """How many values were read with each flag."""
-    v = split_packed(table(spark, d, "papers"), "paper_id", "tags")
+    """How many values were read with each flag, and how many places were empty."""
+    v = split_packed(table(spark, d, "papers"), "paper_id", "tags", empties=True)
     return v.groupBy("flag").count()

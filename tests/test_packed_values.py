@@ -1,8 +1,10 @@
+import time
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from litmill.operators.packed_values import MALFORMED_QUOTE, parse_packed, split_packed
+from litmill.operators.packed_values import EMPTY_VALUE, MALFORMED_BRACKET, MALFORMED_QUOTE, parse_packed, split_packed
 
 CASES = [
     ('"risk; ambiguity"|"auctions, sealed-bid"|Hyperparameter search|', ["risk; ambiguity", "auctions, sealed-bid", "Hyperparameter search"]),
@@ -35,6 +37,29 @@ def test_malformed_quote_is_read_as_bare_and_flagged():
     assert parse_packed('"a"b; c') == [(1, '"a"b', MALFORMED_QUOTE), (2, "c", None)]
 
 
+def test_a_quote_that_closes_before_other_text_gives_back_what_it_took():
+    assert parse_packed('"abc, "def"') == [(1, '"abc', MALFORMED_QUOTE), (2, "def", None)]
+    assert parse_packed('"a" "b", c') == [(1, '"a" "b"', MALFORMED_QUOTE), (2, "c", None)]
+
+
+def test_brackets_and_empty_places():
+    assert parse_packed("(a, b); {c, d}; 'don't stop'") == [(1, "a, b", None), (2, "c, d", None), (3, "don't stop", None)]
+    assert parse_packed("[a, b") == [(1, "[a", MALFORMED_BRACKET), (2, "b", None)]
+    assert parse_packed("(x") == [(1, "(x", MALFORMED_BRACKET)]
+    assert parse_packed("a,,b", empties=True) == [(1, "a", None), (None, "", EMPTY_VALUE), (2, "b", None)]
+
+
+@pytest.mark.parametrize("unit", ['"', '"a,', "'a, ", "(x, ", '"a,""b,', '"\\",', "a" + " " * 50, "[", "a / "])
+def test_time_is_linear(unit):
+    def took(n):
+        began = time.perf_counter()
+        parse_packed(unit * n)
+        return time.perf_counter() - began
+
+    took(10)
+    assert took(40_000) < 10 * took(10_000) + 0.05
+
+
 def test_very_long_field():
     assert len(parse_packed(";".join(["x y"] * 100_000))) == 100_000
     assert parse_packed('"' + "a" * 1_000_000)[0][2] == MALFORMED_QUOTE
