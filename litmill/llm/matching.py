@@ -3,11 +3,13 @@
 Records of two sources become candidates where they share a block key: the words of the title (all,
 or all but one, so one damaged word on either side is forgiven), one half of the title together
 with a family name, or the DOI together with a family name or title. A candidate pair gets a vector
-of similarities of title, authors, year and DOI, each of which may be missing. Two Gaussian
+of similarities of title, authors, year and DOI, each of which may be missing; a pair that names
+authors on both sides, none of them alike, and no common DOI is no candidate. Two Gaussian
 components, of matches and of others, are fitted to the vectors by expectation maximisation without
 labels; variances are floored and pulled to the pooled ones, and missing similarities are
-integrated out. Transitivity is enforced during the fit: records known to be one work get one
-posterior per partner, and the responsibilities of the next maximisation are those constrained ones.
+integrated out. Transitivity is enforced in every expectation step: records of the left side that
+are known to be one entity, or that are linked through a record of the right side which surely
+matches both, get one posterior per partner, and the maximisation uses those constrained ones.
 """
 
 from __future__ import annotations
@@ -21,20 +23,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litmill.llm.fusion import MISSING
 from litmill.llm.names import acronym, plain, readings, slips
-from litmill.session import checkpoint, distinct_names, materialize
+from litmill.session import distinct_names, materialize
 
-#: A title with fewer words than this is a block key only together with a family name.
+#: A title with fewer words than this is a block key as a whole, not with one word left out.
 LEAST_WORDS = 4
-#: A block key of more record pairs than this is refined by family names.
-HOT_PAIRS = 20_000
-#: Rounds of fit and constraint.
-ROUNDS = 2
-MATCH = 0.5
+#: A block with more profiles than this on both sides is divided; the division changes no result.
+HOT_BLOCK = 150
+#: Rows of either side per task of a divided block.
+TILE = 1000
+#: Rounds of expectation and maximisation beyond which only new links go on, and the change below which the fit rests.
+ROUNDS, STILL = 8, 0.01
+#: Posteriors from which a pair is a match, and from which it links others.
+MATCH, SURE = 0.5, 0.95
 
 #: Words that carry no meaning in titles.
 STOP = frozenset("a an and as at be for from in into is its of on or the to under when with der die das und für von el la los las de y en".split())
@@ -57,9 +63,8 @@ _CUT = re.compile(r"(?:…|\.\.\.)$")
 
 @dataclass(slots=True)
 class Profile:
-    """What a record is compared by. words, left and right are blank-separated and sorted; authors are codes."""
+    """What a record is compared by. left and right are blank-separated and sorted; authors are codes."""
 
-    words: str
     left: str
     right: str
     part: str
@@ -67,6 +72,12 @@ class Profile:
     year: int | None
     doi: str | None
 
+    @property
+    def words(self) -> str:
+        if not self.right or not self.left:
+            return self.left or self.right
+        return " ".join(sorted({*self.left.split(), *self.right.split()}))
+
 
 def _usable(x: str | None) -> str | None:
     t = x.strip() if x else ""
@@ -109,7 +120,7 @@ def profile(title: str | None, authors: list[str | None] | None, published: str
     year = _YEAR.search(published) if published else None
     d = _DOI.match(doi.strip().lower()) if doi else None
     return Profile(
-        " ".join(sorted(left | right)), " ".join(sorted(left)), " ".join(sorted(right)), part[1] if part else "", "|".join(codes), int(year[0]) if year else None, d[1] if d else None
+        " ".join(sorted(left)), " ".join(sorted(right)), part[1] if part else "", "|".join(codes), int(year[0]) if year else None, d[1] if d else None
     )
 
 
@@ -133,17 +144,17 @@ def _hash(kind: str, text: str) -> int:
 _HALF = 1 << 63
 
 
-def block_keys(p: Profile) -> tuple[list[int], list[int], list[int]]:
-    """(keys of the title, keys with a family name or DOI, hashes of the families).
+def block_keys(p: Profile) -> tuple[list[int], list[int]]:
+    """(keys of the title, keys with a family name or DOI).
 
     A set of words is keyed by the sum of the words' hashes, so leaving one out is a subtraction.
     """
     hs = [_hash("w", w) for w in p.words.split()]
     fam = [_hash("f", f) for f in _families(p)]
     title = []
-    if len(hs) >= LEAST_WORDS:
+    if len(hs) > 1:
         total = sum(hs) + _hash("part", p.part)
-        title = [(total & _M64) - _HALF, *[((total - h) & _M64) - _HALF for h in hs]]
+        title = [(total & _M64) - _HALF, *[((total - h) & _M64) - _HALF for h in hs if len(hs) >= LEAST_WORDS]]
     left = sum([_hash("l", w) for w in p.left.split()])
     sure = [((left + f) & _M64) - _HALF for f in fam] if p.left else []
     if " " in p.right:
@@ -152,50 +163,103 @@ def block_keys(p: Profile) -> tuple[list[int], list[int], list[int]]:
     if p.doi:
         d = _hash("d", p.doi)
         sure += [*[((d + f) & _M64) - _HALF for f in fam], ((d + left) & _M64) - _HALF]
-    return title, sure, [f - _HALF for f in fam]
+    return title, sure
+
+
+def near_forms(authors: str) -> set[int]:
+    """Hashes of which two author codes share one if `same_name` finds any name alike: what is left of a key without up to two letters."""
+    out = set()
+    for code in authors.split("|"):
+        for reading in code.split("/"):
+            kind, key = reading.split(":", 2)[:2]
+            if kind == "o":
+                out.add(_hash("form", "a" + acronym(key)))
+            for w in {key, _bare(key)}:
+                ones = {w, *(w[:i] + w[i + 1 :] for i in range(len(w)))}
+                out |= {_hash("form", kind + v) for u in ones for v in (u, *(u[:i] + u[i + 1 :] for i in range(len(u))))}
+    return {h - _HALF for h in out}
 
 
 _PROFILE = [
-    ("id", pa.int64()), ("words", pa.string()), ("left", pa.string()), ("right", pa.string()), ("part", pa.string()), ("authors", pa.string()), ("year", pa.int32()), ("doi", pa.string()),
-    ("title_keys", pa.list_(pa.int64())), ("sure_keys", pa.list_(pa.int64())), ("families", pa.list_(pa.int64())),
+    ("id", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("part", pa.string()), ("authors", pa.string()), ("year", pa.int32()), ("doi", pa.string()),
+    ("title_keys", pa.list_(pa.int64())), ("sure_keys", pa.list_(pa.int64())),
 ]
+COMPARED = ["left", "right", "part", "authors", "year", "doi"]
 
 
 def prepare(df: DataFrame, row_id: str) -> DataFrame:
-    """The Profile of each record with its block keys."""
+    """The Profile of each record with its block keys; id is the same for records with the same profile."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ps = [profile(*x) for x in zip(*(b.column(k).to_pylist() for k in range(1, 5)))]
             keys = [block_keys(p) for p in ps]
-            cols = [b.column(0), *(pa.array([getattr(p, n) for p in ps], t) for n, t in _PROFILE[1:8]), *(pa.array([k[j] for k in keys], pa.list_(pa.int64())) for j in range(3))]
-            yield pa.RecordBatch.from_arrays(cols, names=[n for n, _ in _PROFILE])
+            ids = [xxhash.xxh64_intdigest("\x1f".join(str(getattr(p, n)) for n in COMPARED)) - _HALF for p in ps]
+            cols = [b.column(0), pa.array(ids, pa.int64()), *(pa.array([getattr(p, n) for p in ps], t) for n, t in _PROFILE[1:7]), *(pa.array([k[j] for k in keys], pa.list_(pa.int64())) for j in range(2))]
+            yield pa.RecordBatch.from_arrays(cols, names=["pid", *(n for n, _ in _PROFILE)])
 
-    schema = "id bigint, words string, left string, right string, part string, authors string, year int, doi string, title_keys array<bigint>, sure_keys array<bigint>, families array<bigint>"
-    return df.select(F.col(row_id).alias("id"), "title", "authors", "published", "doi").mapInArrow(each, schema)
+    schema = "pid bigint, id bigint, left string, right string, part string, authors string, year int, doi string, title_keys array<bigint>, sure_keys array<bigint>"
+    return df.select(F.col(row_id).alias("pid"), "title", "authors", "published", "doi").mapInArrow(each, schema)
 
 
-def candidates(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Distinct (a, b) of records that share a block.
+def candidates(a: DataFrame, b: DataFrame, hot_block: int = HOT_BLOCK) -> DataFrame:
+    """Distinct (a, b) of profiles that share a block; pairs that `vector` refuses may be left out.
 
-    A title key of more than HOT_PAIRS pairs - a title that very many records bear - is evidence only
-    together with a family name, so it is refined by the families; records without authors are not
-    compared in such a block.
+    A block with more than hot_block profiles on both sides - a title that very many records bear -
+    is divided. Profiles with authors on both sides meet where their names have a form in common,
+    which every pair with a name alike has; profiles without authors meet all others of the block,
+    in tiles of bounded size. Nothing is lost by it, so the result does not depend on hot_block.
     """
-    ta, tb = (p.select("id", F.explode("title_keys").alias("key")) for p in (a, b))
-    sa, sb = (p.select("id", F.explode("sure_keys").alias("key")) for p in (a, b))
-    na, nb = ta.groupBy("key").agg(F.count("*").alias("na")), tb.groupBy("key").agg(F.count("*").alias("nb"))
-    hot = checkpoint(na.join(nb, "key").where(F.col("na") * F.col("nb") > HOT_PAIRS).select("key"))
-    if not hot.isEmpty():
+    keyed = lambda p: p.select("id", F.explode("title_keys").alias("key"), F.lit(True).alias("title")).unionByName(p.select("id", F.explode("sure_keys").alias("key"), F.lit(False).alias("title")))
+    x, y = keyed(a), keyed(b)
+    on = ["key", "title"]
+    # counted on the second side first: only the few keys that are frequent there are counted on the first
+    often = lambda df: df.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > hot_block).select(*on)
+    hot = materialize(often(x.join(often(y), on, "left_semi")))
+    if hot.isEmpty():
+        return _pairs(x, y, on).distinct()
+    xh, yh = (df.join(hot, on, "left_semi").distinct() for df in (x, y))
+    cold = _pairs(x.join(hot, on, "left_anti"), y.join(hot, on, "left_anti"), on)
+    sure = _tiled(xh.where("not title").select("id", "key"), yh.where("not title").select("id", "key"))
+    (xn, xu), (yn, yu) = (_by_authors(h.where("title").select("id", "key"), p) for h, p in ((xh, a), (yh, b)))
+    named = _tiled(_formed(xn), _formed(yn))
+    xn, yn = xn.drop("authors"), yn.drop("authors")
+    unnamed = _tiled(xu, yu.unionByName(yn)).unionByName(_tiled(xn, yu))
+    return cold.unionByName(sure).unionByName(named).unionByName(unnamed).distinct()
+
+
+def _pairs(x: DataFrame, y: DataFrame, on: list[str]) -> DataFrame:
+    return x.withColumnRenamed("id", "a").join(y.withColumnRenamed("id", "b"), on).select("a", "b")
+
+
+def _tiled(x: DataFrame, y: DataFrame) -> DataFrame:
+    """(a, b) of the rows (id, key) with equal keys, each key's pairs divided into tiles of about TILE rows of either side."""
+    count = lambda df, n: df.groupBy("key").agg(F.ceil(F.count("*") / TILE).cast("int").alias(n))
+    tiles = materialize(count(x, "nx").join(count(y, "ny"), "key"))
+    to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    p = x.join(tiles, "key").select("id", "key", place("nx").alias("i"), F.explode(to("ny")).alias("j"))
+    q = y.join(tiles, "key").select("id", "key", F.explode(to("nx")).alias("i"), place("ny").alias("j"))
+    return _pairs(p, q, ["key", "i", "j"])
+
+
+def _by_authors(keys: DataFrame, profiles: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """keys (id, key) of the profiles with authors, with these, and of those without."""
+    got = materialize(keys.join(profiles.groupBy("id").agg(F.first("authors").alias("authors")), "id"))
+    return got.where("authors <> ''"), got.where("authors = ''").drop("authors")
+
+
+def _formed(keys: DataFrame) -> DataFrame:
+    """(id, key) with a key for each near form of the profile's authors within the old key."""
 
-        def refined(p: DataFrame, keys: DataFrame) -> DataFrame:
-            ids = keys.join(hot, "key", "left_semi")
-            return ids.join(p.select("id", "families"), "id").select("id", F.explode(F.transform("families", lambda f: F.xxhash64(F.col("key"), f))).alias("key"))
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, xxhash.xxh64_intdigest(f"{k}\x1f{f}") - _HALF) for i, k, au in zip(*(c.to_pylist() for c in b.columns)) for f in near_forms(au)]
+            for at in range(0, max(len(rows), 1), 100_000):
+                cols = list(zip(*rows[at : at + 100_000])) or [[], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["id", "key"])
 
-        sa, sb = sa.unionByName(refined(a, ta)), sb.unionByName(refined(b, tb))
-        ta, tb = ta.join(hot, "key", "left_anti"), tb.join(hot, "key", "left_anti")
-    x, y = ta.unionByName(sa).toDF("a", "key"), tb.unionByName(sb).toDF("b", "key")
-    return x.join(y, "key").select("a", "b").distinct()
+    return keys.select("id", "key", "authors").mapInArrow(each, "id bigint, key bigint")
 
 
 @lru_cache(maxsize=400_000)
@@ -251,9 +315,10 @@ def _soft(x: str, y: str) -> float:
 
 def title_similarity(x: Profile, y: Profile) -> float | None:
     """Soft overlap of the words; of the left halves alone, a little less, if one title lacks its right half."""
-    if not x.words or not y.words:
+    v, w = x.words, y.words
+    if not v or not w:
         return None
-    s = _soft(x.words, y.words)
+    s = _soft(v, w)
     if (not x.right) != (not y.right):
         s = max(s, 0.93 * _soft(x.left, y.left))
     return s
@@ -266,15 +331,19 @@ def different_parts(x: Profile, y: Profile) -> bool:
 
 TITLE, AUTHOR, YEAR, DOI = 20, 10, 4, 1
 STEPS = np.array([TITLE, AUTHOR, YEAR, DOI])
+#: Least variance of a similarity in a component.
+FLOOR = 0.02
 
 
 def vector(x: Profile, y: Profile) -> tuple[int, int, int, int]:
-    """Similarities on the grid of STEPS; -1 where one is missing."""
+    """Similarities on the grid of STEPS; -1 where one is missing. All -1 refuses a pair of which both name authors, none alike, and no common DOI."""
     t, a = title_similarity(x, y), author_similarity(x.authors, y.authors)
     if t is not None and different_parts(x, y):
         t = 0.3 * t
     year = -1 if x.year is None or y.year is None else (4, 3, 1, 0)[min(3, abs(x.year - y.year))]
     doi = -1 if x.doi is None or y.doi is None else int(x.doi == y.doi)
+    if a == 0.0 and doi != 1:
+        return (-1, -1, -1, -1)
     return (-1 if t is None else round(t * TITLE), -1 if a is None else round(a * AUTHOR), year, doi)
 
 
@@ -285,29 +354,23 @@ class Mixture:
     prior: float
 
 
-def fit(cells: np.ndarray, weight: np.ndarray, start: np.ndarray, rounds: int = 25, floor: float = 0.02, pull: float = 0.2) -> Mixture:
-    """EM of two Gaussians with independent, regularised features; cells hold -1 for missing values."""
+def pooled_variance(cells: np.ndarray, weight: np.ndarray) -> np.ndarray:
     there = cells >= 0
     x = np.where(there, cells / STEPS, 0.0)
-    gamma = start
-    pooled = np.array([np.cov(x[there[:, f], f], aweights=weight[there[:, f]], ddof=0) if there[:, f].any() else floor for f in range(x.shape[1])])
-    for _ in range(rounds):
-        m = maximise(x, there, weight, gamma, pooled, floor, pull)
-        new = expect(cells, m)
-        if np.abs(new - gamma).max() < 1e-4:
-            break
-        gamma = new
-    return m
+    return np.array([np.cov(x[there[:, f], f], aweights=weight[there[:, f]], ddof=0) if there[:, f].any() else FLOOR for f in range(x.shape[1])])
 
 
-def maximise(x, there, weight, gamma, pooled, floor: float = 0.02, pull: float = 0.2) -> Mixture:
+def maximise(cells: np.ndarray, weight: np.ndarray, gamma: np.ndarray, pooled: np.ndarray, pull: float = 0.2) -> Mixture:
+    """Two Gaussians with independent, regularised features; cells hold -1 for missing values."""
+    there = cells >= 0
+    x = np.where(there, cells / STEPS, 0.0)
     mean, var = np.zeros((2, x.shape[1])), np.zeros((2, x.shape[1]))
     for c, g in enumerate((1 - gamma, gamma)):
         w = (g * weight)[:, None] * there
         # half a pair of prior weight at the far ends keeps an empty component apart
         n = w.sum(0) + 1
         mean[c] = ((w * x).sum(0) + (0.2, 0.9)[c]) / n
-        var[c] = np.maximum(floor, (1 - pull) * (w * (x - mean[c]) ** 2).sum(0) / n + pull * pooled * (0.5 if c else 1.0))
+        var[c] = np.maximum(FLOOR, (1 - pull) * (w * (x - mean[c]) ** 2).sum(0) / n + pull * pooled * (0.5 if c else 1.0))
     return Mixture(mean, var, float(np.clip((gamma * weight).sum() / max(weight.sum(), 1e-9), 0.02, 0.98)))
 
 
@@ -332,12 +395,9 @@ def start_of(cells: np.ndarray) -> np.ndarray:
 CELL = ["title", "author", "year", "doi"]
 
 
-COMPARED = ["words", "left", "right", "part", "authors", "year", "doi"]
-
-
 def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
-    """pairs (a, b) with their cells."""
-    side = lambda p, n: p.select(F.col("id").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in COMPARED])
+    """pairs (a, b) with their cells, and whether b names authors."""
+    side = lambda p, n: p.groupBy(F.col("id").alias(n)).agg(*[F.first(c).alias(f"{n}_{c}") for c in COMPARED])
     # the smaller side's fields travel with the pairs
     joined = pairs.join(side(b, "b"), "b").join(side(a, "a"), "a").select("a", "b", *[f"{n}_{c}" for n in "ab" for c in COMPARED])
     k = len(COMPARED)
@@ -347,62 +407,96 @@ def _scored(pairs: DataFrame, a: DataFrame, b: DataFrame) -> DataFrame:
             cols = [c.to_pylist() for c in batch.columns[2:]]
             got = [vector(Profile(*x[:k]), Profile(*x[k:])) for x in zip(*cols)]
             cells = list(zip(*got)) if got else [[]] * 4
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int32()) for c in cells)], names=["a", "b", *CELL])
+            named = pa.array([bool(x) for x in cols[k + COMPARED.index("authors")]], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int32()) for c in cells), named], names=["a", "b", *CELL, "named"])
 
-    return joined.mapInArrow(score, "a bigint, b bigint, title int, author int, year int, doi int")
+    return joined.mapInArrow(score, "a bigint, b bigint, title int, author int, year int, doi int, named boolean").where("title >= 0 or author >= 0 or year >= 0 or doi >= 0")
 
 
-def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, same: str | None = None) -> DataFrame:
+def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str, same: str | None = None, hot_block: int = HOT_BLOCK) -> DataFrame:
     """(left_id, right_id, confidence) of all pairs judged to be one entity.
 
     Both tables have title, authors (array), published and doi. `same` names a column of `left` that
     is equal, where not null, on records known to be one entity; such records share one posterior
-    per right record, and all of them match if it reaches MATCH.
+    per right record, and all of them match if it reaches MATCH. Records that surely match a common
+    right record share theirs too, as far as they are candidates of the partner at all.
 
     Any field may be null, empty or a stand-in for missing. A record with neither title nor DOI is
     only matched through `same`. Repeated records match alike; an empty side gives no rows. Ids have
-    to be unique and not null. Other columns are ignored. Copies are compared once: records alike in
-    all four fields are one profile, and only the result is spread to them.
+    to be unique and not null. Other columns are ignored. Copies are compared once: records of one
+    profile are one, and only the result is spread to them.
     """
     fields = ["title", "authors", "published", "doi"]
     # the marks keep a null in one field from standing for a null in another; two of n different
-    # profiles share a 64-bit hash with a chance of n^2 / 2^65
+    # records share a 64-bit hash with a chance of n^2 / 2^65
     profile = F.xxhash64(*fields, *[F.col(c).isNull() for c in fields])
     l = distinct_names(left, left_id, *fields, *([same] if same else [])).withColumn("pid", profile)
     r = distinct_names(right, right_id, *fields).withColumn("pid", profile)
     one = lambda df: df.groupBy("pid").agg(*[F.first(c).alias(c) for c in fields])
     a, b = materialize(prepare(one(l), "pid")), materialize(prepare(one(r), "pid"))
-    group = F.when(F.col(same).isNotNull(), F.xxhash64(F.lit("same"), F.col(same))).otherwise(F.col("pid")) if same else F.col("pid")
-    members = l.select("pid", F.col(left_id).alias("lid"), group.alias("g"))
-    scored = _scored(candidates(a, b), a, b)
-    in_group = materialize(scored.join(members.select(F.col("pid").alias("a"), "g").distinct(), "a").select("g", "b", *CELL))
-    # at most 22 * 12 * 6 * 3 cells, whatever the number of pairs
-    counted = in_group.groupBy(*CELL).count().orderBy(*CELL).collect()
-    if not counted:
+    group = F.when(F.col(same).isNotNull(), F.xxhash64(F.lit("same"), F.col(same))).otherwise(F.col("id")) if same else F.col("id")
+    members = materialize(l.join(a.select("pid", "id", (F.col("authors") != "").alias("has")), "pid").select("id", F.col(left_id).alias("lid"), group.alias("g"), "has"))
+    scored = _scored(candidates(a, b, hot_block), a, b)
+    # a row per kind of pair between a group and a partner: at most 22 * 12 * 6 * 3 for each two
+    of = members.groupBy(F.col("id").alias("a"), "g").agg(F.first("has").alias("has"))
+    pairs = scored.join(of, "a").groupBy("g", "b", *CELL).agg(F.count("*").alias("n"), F.max("named").alias("named"))
+    pairs = materialize(pairs.join(members.groupBy("g").agg(F.max("has").alias("has")), "g").select("g", "b", *CELL, "n", (F.col("named") & F.col("has")).alias("both")))
+    judged, labels = _fitted(pairs)
+    if judged is None:
         return left.sparkSession.createDataFrame([], T.StructType([left.schema[left_id], right.schema[right_id], T.StructField("confidence", T.DoubleType())]))
-    cells, weight = np.array([[x[c] for c in CELL] for x in counted]), np.array([float(x["count"]) for x in counted])
-    model = fit(cells, weight, start_of(cells))
-    for k in range(ROUNDS):
-        grouped = _constrained(in_group, cells, expect(cells, model))
-        if k == ROUNDS - 1:
-            break
-        pulled = {tuple(x[c] for c in CELL): x["p"] for x in in_group.join(grouped, ["g", "b"]).groupBy(*CELL).agg(F.avg("p").alias("p")).collect()}
-        gamma = np.array([pulled[tuple(c)] for c in cells.tolist()])
-        there = cells >= 0
-        x = np.where(there, cells / STEPS, 0.0)
-        pooled = np.array([np.cov(x[there[:, f], f], aweights=weight[there[:, f]], ddof=0) if there[:, f].any() else 0.02 for f in range(4)])
-        model = maximise(x, there, weight, gamma, pooled)
-    hits = grouped.where(F.col("p") >= MATCH)
-    right_rows = r.select(F.col("pid").alias("b"), F.col(right_id).alias("rid"))
-    return hits.join(members.select("g", "lid"), "g").join(right_rows, "b").select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), F.round("p", 6).alias("confidence"))
-
-
-def _constrained(in_group: DataFrame, cells: np.ndarray, gamma: np.ndarray) -> DataFrame:
-    """(g, b, p): one posterior for all records of a group and one partner, from the mean of their log odds."""
-    spark = in_group.sparkSession
-    odds = np.log(np.clip(gamma, 1e-4, 1 - 1e-4)) - np.log(1 - np.clip(gamma, 1e-4, 1 - 1e-4))
-    table = spark.createDataFrame([(*map(int, c), float(o)) for c, o in zip(cells.tolist(), odds)], "title int, author int, year int, doi int, odds double")
-    return in_group.join(F.broadcast(table), CELL).groupBy("g", "b").agg((1 / (1 + F.exp(-F.avg("odds")))).alias("p"))
+    hits = judged.where(F.col("p") >= MATCH).groupBy("g", "b").agg(F.max("p").alias("p"))
+    if labels is not None:  # from the linked groups back to those of which a record met the partner
+        met = pairs.select(F.col("g").alias("own"), "b").distinct().join(labels.withColumnRenamed("g", "own"), "own", "left")
+        hits = hits.join(met.select("own", F.coalesce("label", "own").alias("g"), "b"), ["g", "b"]).select(F.col("own").alias("g"), "b", "p")
+    right_rows = r.join(b.select("pid", F.col("id").alias("b")), "pid").select("b", F.col(right_id).alias("rid"))
+    return hits.join(members.select("lid", "g"), "g").join(right_rows, "b").select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), F.round("p", 6).alias("confidence")).distinct()
+
+
+def _fitted(pairs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(judged, labels) of pairs (g, b, cell, n, both): the constrained posterior p per (g, b), and the groups that were linked.
+
+    Expectation: the log odds of all pairs between a group and a partner have one mean, from which
+    all get one posterior; it is 0 where both name authors but in no pair of records any is alike.
+    Groups that surely match one partner are linked: they become one group,
+    under the smallest label, for the next round. Maximisation is over the counts of cells, of which
+    there are at most 22 * 12 * 6 * 3. It goes on until the fit rests and no group is linked.
+    """
+    counted = pairs.groupBy(*CELL).agg(F.sum("n").alias("n")).orderBy(*CELL).collect()
+    if not counted:
+        return None, None
+    spark = pairs.sparkSession
+    cells, weight = np.array([[x[c] for c in CELL] for x in counted]), np.array([float(x["n"]) for x in counted])
+    gamma, pooled = start_of(cells), pooled_variance(cells, weight)
+    labels = judged = None
+    rounds = 0
+    while True:
+        rounds += 1
+        alone = expect(cells, maximise(cells, weight, gamma, pooled))
+        odds = np.log(np.clip(alone, 1e-4, 1 - 1e-4)) - np.log(1 - np.clip(alone, 1e-4, 1 - 1e-4))
+        table = spark.createDataFrame([(*map(int, c), float(o)) for c, o in zip(cells.tolist(), odds)], "title int, author int, year int, doi int, odds double")
+        w = W.partitionBy("g", "b")
+        mean = F.sum(F.col("n") * F.col("odds")).over(w) / F.sum("n").over(w)
+        strange = F.max("both").over(w) & (F.max("author").over(w) < 0)
+        judged = materialize(pairs.join(F.broadcast(table), CELL).select("g", "b", *CELL, "n", F.when(strange, 0.0).otherwise(1 / (1 + F.exp(-mean))).alias("p")), *([judged] if judged is not None else []))
+        got = {tuple(x[c] for c in CELL): x["p"] for x in judged.groupBy(*CELL).agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("p")).collect()}
+        new = np.array([got[tuple(c)] for c in cells.tolist()])
+        still = np.abs(new - gamma).max() < STILL or rounds >= ROUNDS
+        gamma = new
+        # a pair that lacks title or authors on a side may be a match but links no others: works may share a title
+        sure = judged.where((F.col("p") >= SURE) & (F.col("title") >= 0) & (F.col("author") >= 0)).select("g", "b").distinct()
+        shared = sure.groupBy("b").agg(F.min("g").alias("label"), F.max("g").alias("last")).where("label < last").drop("last")
+        moves = materialize(sure.join(shared, "b").groupBy("g").agg(F.min("label").alias("to")).where("to < g"))
+        if moves.isEmpty():
+            if still:
+                return judged, labels
+            continue
+        pairs = materialize(pairs.join(moves, "g", "left").groupBy(F.coalesce("to", "g").alias("g"), "b", *CELL).agg(F.sum("n").alias("n"), F.max("both").alias("both")), *([pairs] if labels is not None else []))
+        own = moves.select("g", F.col("to").alias("label"))
+        if labels is not None:
+            m = moves.withColumnRenamed("g", "label")
+            kept = labels.join(m, "label", "left").select("g", F.coalesce("to", "label").alias("label"))
+            own = kept.unionByName(own.join(labels, "g", "left_anti"))
+        labels = materialize(own, *([labels] if labels is not None else []))
 
 
 def match_papers(papers: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -106,11 +106,47 @@ def test_empty_sides_and_repeated_rows(spark):
     assert matching.match_papers(p, twice).count() == 2 * matching.match_papers(p, r).count()
 
 
-def test_a_hot_title_is_refined_not_dropped(spark, monkeypatch):
-    monkeypatch.setattr(matching, "HOT_PAIRS", 3)
-    p, r = sources(spark)
-    got = {(x.paper_id, x.result_no) for x in matching.match_papers(p.unionByName(p.withColumn("paper_id", F.concat("paper_id", F.lit("'")))), r).collect()}
-    assert {(f"p{k}", k) for k in range(6)} <= got and {(f"p{k}'", k) for k in range(6)} <= got
+def test_a_hot_title_is_divided_and_nothing_lost(spark):
+    """300 x 300 records of one title without authors, others of it with authors, beside 60 ordinary pairs: alike at any block size."""
+    title, fields = "Call for papers on the structural rent of cities", f"result_no bigint, found boolean, {FIELDS}"
+    names = ["Anna Berg", "Ben Karlsson", "Carla Nowak", "Dmitri Volkov", "Wei Wang"]
+    p = [(f"h{k}", None, title, None, str(1600 + k), None) for k in range(300)] + [(f"n{k}", None, title, [names[k % 5]], str(1900 + k), None) for k in range(40)]
+    r = [(k, True, title, None, str(1600 + k), None) for k in range(300)] + [(500 + k, True, title, [names[k % 5].replace("a", "e", 1)], str(1900 + k), None) for k in range(40)]
+    for k in range(60):
+        own = f"Why {NAMES[k % 6].split()[1]} number{k} measures prices{k} in town{k} again{k}"
+        p.append((f"o{k}", None, own, [NAMES[k % 6]], "2001", None))
+        r.append((900 + k, True, own.upper(), [NAMES[k % 6]], "2001", None))
+    pf, rf = spark.createDataFrame(p, f"paper_id string, canonical_id string, {FIELDS}"), spark.createDataFrame(r, fields)
+    got = [{(x.paper_id, x.result_no, x.confidence) for x in matching.match_records(pf, rf.drop("found"), "paper_id", "result_no", hot_block=n).collect()} for n in (10, 10_000)]
+    assert got[0] == got[1]
+    assert {(f"o{k}", 900 + k) for k in range(60)} | {(f"h{k}", k) for k in range(300)} <= {x[:2] for x in got[0]}
+
+
+def test_every_pair_of_alike_names_shares_a_near_form():
+    import random
+
+    rnd = random.Random(3)
+    some = ["Wang, Wei", "Anna-Lena Müller", "ÅSTRÖM, K.", "The Vikbergen Institute for Market Studies", "J. Köhler", "Bartholomew Fitzgerald", "VIKIMS", "Li, X"]
+    for _ in range(400):
+        x = rnd.choice(some)
+        y = list(rnd.choice(some))
+        for _ in range(rnd.randint(0, 3)):
+            k = rnd.randrange(len(y))
+            y[k : k + rnd.randint(0, 2)] = rnd.choice(["", "e", "oe", "s"])
+        c, d = matching.author_code(x), matching.author_code("".join(y))
+        if c and d and matching.same_name(c, d) > 0:
+            assert matching.near_forms(c) & matching.near_forms(d)
+
+
+def test_records_linked_through_a_partner_share_their_posterior(spark):
+    """Two groups surely match one answer; another answer, weak against the first group alone, follows the second."""
+    row = lambda g, b, t, a, y, n=1: (g, b, t, a, y, -1, n, True)
+    rows = [row(1, 10, 20, 10, 4), row(2, 10, 20, 10, 4), row(1, 11, 15, 6, 0), row(2, 11, 20, 10, 4, 3)] + [row(100 + k, 200 + k, 20, 10, 4) for k in range(50)] + [row(300 + k, 400 + k, 8, 2, 0) for k in range(50)]
+    pairs = spark.createDataFrame(rows, "g bigint, b bigint, title int, author int, year int, doi int, n bigint, both boolean")
+    judged, labels = matching._fitted(pairs)
+    assert {(x.g, x.label) for x in labels.collect()} == {(2, 1)}
+    p = {(x.g, x.b): x.p for x in judged.collect()}
+    assert (2, 11) not in p and p[1, 11] > 0.5 and p[300, 400] < 0.5
 
 
 def test_very_long_fields(spark):
