@@ -6,11 +6,14 @@ has a key - family name or organisation in plain letters - and keys are compared
 of the Levenshtein distance: every key of a spelling goes to the cell of its nearest pivot; a key of
 the registry goes to each cell that may hold a key within the radius of it, which the triangle
 inequality tells from its distances to the pivots; inside a cell an exact radius join with the true
-distance finds all pairs. The pairs are then judged by what the rest of the reading says.
+distance finds all pairs: a string within the radius of another keeps at least one of radius + 1
+segments of it unharmed, so the join is on segments and the distance is taken of few pairs. The
+pairs are then judged by what the rest of the reading says.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -19,29 +22,28 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.session import checkpoint, distinct_names, union_all
+from litmill.session import checkpoint, distinct_names, materialize
 
 RADIUS = 2
-#: Cells of the metric space, and further pivots whose distances prune inside a cell.
-PIVOTS = 16
-#: Registry keys among which the pivots are chosen; the choice bears on speed alone.
-PIVOT_SAMPLE = 400
-#: Parts of each cell, so that no cell is one task's work.
-SALTS = 4
+#: Cells of the metric space: this many times the cube root of the number of registry keys.
+CELLS = 5
 #: Total cost up to which a spelling is taken for an entity (1 for each slip of the pen).
 MAX_COST = 2.6
 
-#: Short forms of given names, with the names they may stand for.
+#: Common short forms of English given names that are not their beginning (`is_short` derives those that are).
 NICKNAMES = {
-    "Alexander": "Alex, Sasha, Sandy, Xander", "Alexandra": "Alex, Sasha, Sandra", "Andrew": "Andy, Drew", "Anthony": "Tony", "Benjamin": "Ben, Benny, Benji",
-    "Carmen": "Carmela", "Charles": "Charlie, Chuck, Chas", "Christopher": "Chris, Kit", "Daniel": "Dan, Danny", "David": "Dave, Davy", "Deborah": "Deb, Debbie",
-    "Dorothy": "Dot, Dolly", "Edward": "Ed, Eddie, Ned, Ted", "Eleanor": "Ellie, Nell, Nora, Ella", "Elizabeth": "Liz, Beth, Betty, Lizzie, Eliza, Betsy, Libby",
-    "Frederick": "Fred, Freddie, Rick", "Henry": "Harry, Hank", "Isabella": "Bella, Isa, Izzy, Belle", "James": "Jim, Jimmy, Jamie", "John": "Jack, Johnny",
-    "Jonathan": "Jon, Jonny, Nathan", "Joseph": "Joe, Joey", "Katherine": "Kate, Kathy, Katie, Kat, Kit, Kay", "Lawrence": "Larry, Laurie, Lars", "Leila": "Lei",
-    "Margaret": "Maggie, Meg, Peggy, Greta, Marge, Madge, Daisy", "Maximilian": "Max", "Michael": "Mike, Mick, Mickey", "Nadia": "Nadya", "Nicholas": "Nick, Nicky, Nico, Klaus",
-    "Patricia": "Pat, Patty, Trish, Tricia", "Patrick": "Pat, Paddy", "Peter": "Pete", "Philip": "Phil", "Rebecca": "Becca, Becky", "Richard": "Rick, Dick, Richie, Rich",
-    "Robert": "Bob, Bobby, Rob, Robbie, Bert", "Samuel": "Sam, Sammy", "Stephen": "Steve, Steph", "Susan": "Sue, Susie, Suzy", "Theodore": "Ted, Theo, Teddy", "Thomas": "Tom, Tommy",
-    "Timothy": "Tim, Timmy", "Victoria": "Vicky, Tori, Vic", "Vikram": "Vik, Vicky", "William": "Bill, Will, Billy, Willy, Liam", "Zachary": "Zach",
+    "Abigail": "Gail, Nabby", "Adelaide": "Heidi, Della", "Agnes": "Nessa, Aggie", "Albert": "Bert, Bertie", "Alexander": "Sasha, Sandy, Xander", "Alexandra": "Sasha, Sandra, Sandy",
+    "Alfred": "Fred", "Amanda": "Mandy", "Andrew": "Drew", "Ann": "Nancy, Nan", "Anthony": "Tony", "Antonio": "Tony, Toni", "Augustus": "Gus", "Barbara": "Babs, Bobbie", "Bernard": "Barney", "Bridget": "Biddy",
+    "Caroline": "Lina, Carrie", "Catherine": "Kate, Kathy, Katie, Kit, Kitty, Kay, Trina", "Charles": "Chuck, Chas, Chaz", "Charlotte": "Lottie, Lotte", "Christina": "Tina", "Christopher": "Kit, Topher", "Cornelius": "Neil",
+    "Cynthia": "Cindy", "Deborah": "Debra", "Dorothy": "Dot, Dolly, Dottie", "Edward": "Ned, Ted, Teddy", "Eleanor": "Nell, Nora, Lena, Nelly", "Elizabeth": "Beth, Betty, Betsy, Bess, Bessie, Libby, Lizzie, Liz, Lisa, Lilibet",
+    "Eugene": "Gene", "Evelyn": "Lyn", "Florence": "Flo, Floss", "Frances": "Fanny, Fran", "Francis": "Frank", "Frederick": "Rick, Fritz", "George": "Geordie", "Gerald": "Jerry", "Gertrude": "Trudy", "Gilbert": "Bert", "Gregory": "Greg",
+    "Helen": "Nell, Nellie, Lena", "Henrietta": "Etta, Hettie", "Henry": "Harry, Hank, Hal", "Herbert": "Bert", "Hubert": "Bert", "Isabella": "Bella, Belle, Izzy", "Isabel": "Bell, Belle, Izzy", "James": "Jim, Jimmy, Jamie", "Jane": "Jenny, Janie",
+    "Jennifer": "Jen", "John": "Jack, Jock", "Jonathan": "Nathan, Jon", "Joseph": "Joe, Joey", "Josephine": "Jo, Posy", "Katherine": "Kate, Kathy, Katie, Kit, Kitty, Kay, Trina", "Lawrence": "Larry, Laurie", "Leonard": "Len, Lenny", "Louisa": "Lulu",
+    "Magdalena": "Lena", "Margaret": "Meg, Peg, Peggy, Greta, Maggie, Marge, Madge, Daisy, Rita", "Maria": "Mia", "Martha": "Patty", "Mary": "Polly, Molly, Mamie, Minnie", "Matilda": "Tilly", "Matthew": "Matt", "Michael": "Mike, Mick, Mickey",
+    "Montgomery": "Monty", "Natalie": "Talia, Nat", "Nathaniel": "Nate, Nat", "Nicholas": "Nico, Klaus, Nick, Colin", "Olivia": "Liv, Livia", "Oliver": "Nolly", "Patricia": "Patty, Trish, Tricia", "Patrick": "Paddy", "Penelope": "Nell", "Philip": "Pip",
+    "Prudence": "Prue", "Rebecca": "Becca, Becky", "Reginald": "Rex", "Richard": "Rick, Dick, Ricky", "Robert": "Bob, Bobby, Bert, Robin", "Roderick": "Rick", "Ronald": "Ronnie", "Rosalind": "Lindy", "Rosemary": "Romy", "Sarah": "Sally, Sadie", "Sebastian": "Bas, Seb",
+    "Sophia": "Fifi", "Stephen": "Steve, Steph", "Susan": "Sue, Sukie", "Theodore": "Ted, Teddy", "Theresa": "Tess, Terry, Tracy", "Thomas": "Tom, Tommy", "Veronica": "Ronnie", "Victoria": "Tori, Vicky", "Virginia": "Ginny, Ginger", "Walter": "Wat, Wally",
+    "William": "Bill, Billy, Willy, Liam", "Winifred": "Freddie, Win", "Yolanda": "Yoli",
 }
 KINDS = {"institute": "inst, institut", "consortium": "cons, consort", "laboratory": "lab, labs, laboratories", "centre": "center, ctr, cent, cntr", "university": "univ, uni", "department": "dept, dep"}
 _TITLES = re.compile(r"^(?:(?:dr|prof|professor|mr|mrs|ms|sir|phd|md)\b\.?\s*)+", re.I)
@@ -185,6 +187,20 @@ def slips(a: str, b: str, most: int = 3) -> int:
     return min(row[-1], most + 1)
 
 
+def is_short(given: str, full: str) -> bool:
+    """Whether given is a common short form of full: from the table, its beginning, or that with y, ie or i behind it."""
+    if full in _FORMAL.get(given, ()):
+        return True
+    if 1 < len(given) < len(full) and full.startswith(given):
+        return True
+    stem = re.sub(r"(?:ie|y|i)$", "", given)
+    if stem == given or len(stem) < 2:
+        return False
+    if stem[-1] == stem[-2]:
+        stem = stem[:-1]
+    return len(stem) > 1 and len(stem) + 1 < len(full) and full.startswith(stem)
+
+
 def judge(s: Reading, e: Reading) -> float | None:
     """The cost of taking reading s of a spelling for reading e of an entity; None if they contradict."""
     kind, key, given, cut, middle = s
@@ -200,7 +216,7 @@ def judge(s: Reading, e: Reading) -> float | None:
         cost = 0.0
     elif cut and full.startswith(given):
         cost = 0.5 if len(given) == 1 else 0.2
-    elif full in _FORMAL.get(given, ()):
+    elif not cut and is_short(given, full):
         cost = 0.2
     elif not cut and len(given) > 2:
         cost = float(slips(given, full))
@@ -219,19 +235,24 @@ def judge(s: Reading, e: Reading) -> float | None:
     return cost + off
 
 
-def farthest_first(keys: list[str], n: int) -> list[str]:
-    """n keys far from each other: each next one is farthest from those chosen."""
-    if not keys:
-        return []
-    chosen = [min(keys)]
-    near = [slips(k, chosen[0], 60) for k in keys]
-    while len(chosen) < min(n, len(keys)):
-        far = max(range(len(keys)), key=lambda k: (near[k], keys[k]))
-        if near[far] == 0:
-            break
-        chosen.append(keys[far])
-        near = [min(d, slips(k, keys[far], 60)) for d, k in zip(near, keys)]
-    return chosen
+def choose_pivots(strings: DataFrame, per_root: float = CELLS) -> list[str]:
+    """Pivots for cells of the single column: as many of its strings as `per_root` times the cube root of their number.
+
+    They are taken in the order of a hash, so dense regions get more of them and cells stay of like
+    size. Their number is the only thing that depends on the size of the data.
+    """
+    d = strings.toDF("s").where("s is not null").distinct()
+    n = d.count()
+    return [x["s"] for x in d.orderBy(F.xxhash64("s"), "s").limit(math.ceil(per_root * n ** (1 / 3))).collect()]
+
+
+def cells_of(strings: DataFrame, pivots: list[str]) -> DataFrame:
+    """(s, d, cell) for each distinct string of the single column: its distances to the pivots, and the nearest one's number."""
+    known = F.array(*[F.lit(p) for p in pivots])
+    d = strings.toDF("s").where("s is not null").distinct().withColumn("d", F.transform(known, lambda p: F.levenshtein(p, F.col("s"))))
+    nearest = F.array_compact(F.transform("d", lambda x, k: F.when(x == F.array_min("d"), k)))
+    # of pivots equally near one by hash, or the first ones would get all of them
+    return d.withColumn("cell", F.get(nearest, F.pmod(F.xxhash64("s"), F.size(nearest)).cast("int")))
 
 
 def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -239,28 +260,36 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Data
 
     Exact: a left string l lies in the cell of its nearest pivot c. For a right string r in reach,
     d(r, c) <= d(r, l) + d(l, c) <= radius + d(l, p) <= 2 radius + d(r, p) for r's nearest pivot p,
-    so r is copied to all cells whose pivot is at most 2 radius farther than p. Nulls match nothing.
+    so r is copied to all cells whose pivot is at most 2 radius farther than p, and of these to
+    those which hold strings at distances from their pivot within radius of r's. Inside a cell r is
+    cut into radius + 1 segments, one of which l holds as it is, moved by no more than the edits on
+    either side of it allow. Nulls match nothing.
     """
-    sample = right.toDF("r").where("r is not null").distinct().orderBy(F.xxhash64("r"), "r").limit(PIVOT_SAMPLE)
-    pivots = farthest_first(sorted(x["r"] for x in sample.collect()), PIVOTS)
+    pivots = choose_pivots(right)
     if not pivots:
-        return left.toDF("l").crossJoin(right.toDF("r")).limit(0)
-    to = lambda c: F.array(*[F.levenshtein(F.col(c), F.lit(p)) for p in pivots])
-    nearest = F.array_min("d")
-    a = left.toDF("l").where("l is not null").distinct().withColumn("d", to("l"))
-    a = a.select("l", (F.array_position("d", nearest) - 1).cast("int").alias("cell"), F.pmod(F.xxhash64("l"), F.lit(SALTS)).cast("int").alias("salt"), *_columns("d", len(pivots), "a"))
-    b = right.toDF("r").where("r is not null").distinct().withColumn("d", to("r"))
-    cells = F.filter(F.transform("d", lambda d, k: F.when(d - F.array_min("d") <= 2 * radius, k)), lambda k: k.isNotNull())
-    b = b.select("r", F.explode(cells).alias("cell"), *_columns("d", len(pivots), "b"))
-    b = b.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    on = (a.cell == b.cell) & (a.salt == b.salt)
-    for k in range(len(pivots)):
-        on &= F.abs(F.col(f"a{k}") - F.col(f"b{k}")) <= radius
-    return a.join(b, on & (F.levenshtein("l", "r", radius) >= 0)).select("l", "r")
-
-
-def _columns(array: str, n: int, prefix: str) -> list[Column]:
-    return [F.col(array)[k].alias(f"{prefix}{k}") for k in range(n)]
+        return left.sparkSession.createDataFrame([], "l string, r string")
+    a = materialize(cells_of(left, pivots).withColumn("own", F.array_min("d")).select("s", "cell", "own"))
+    # a row per pivot
+    ranges = {x["cell"]: (x["lo"], x["hi"]) for x in a.groupBy("cell").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).collect()}
+    lo, hi = (F.array(*[F.lit(ranges.get(k, (-9, -9))[j]) for k in range(len(pivots))]) for j in (0, 1))
+    least = lambda d: F.array_min("d") + 2 * radius >= d
+    reach = F.transform(F.arrays_zip(F.col("d").alias("d"), lo.alias("lo"), hi.alias("hi")), lambda x, k: F.when(least(x["d"]) & (x["hi"] >= 0) & (x["d"] >= x["lo"] - radius) & (x["d"] <= x["hi"] + radius), k))
+    b = cells_of(right, pivots).select("s", F.explode(F.array_compact(reach)).alias("cell"))
+    n, no = F.length("s"), F.sequence(F.lit(0), F.lit(radius))
+    start = lambda size, i: F.floor(i * size / (radius + 1)).cast("int")
+    key = lambda size, i, at, end: F.struct(size.cast("int").alias("size"), i.cast("int").alias("i"), F.substring(F.col("s"), at + 1, end - at).alias("part"))
+    b = b.select(F.col("s").alias("r"), "cell", F.explode(F.transform(no, lambda i: key(n, i, start(n, i), start(n, i + 1)))).alias("k"))
+
+    def places(size: Column, i: Column) -> Column:
+        at, long = start(size, i), start(size, i + 1) - start(size, i)
+        first = F.greatest(at - i, at + n - size - (radius - i), F.lit(0))
+        last = F.least(at + i, at + n - size + (radius - i), n - long)
+        return F.when((last >= first) & (size >= 0), F.transform(F.sequence(first, F.greatest(first, last)), lambda p: key(size, i, p, p + long))).otherwise(F.array())
+
+    kept = F.flatten(F.flatten(F.transform(F.sequence(n - radius, n + radius), lambda size: F.transform(no, lambda i: places(size, i)))))
+    a = a.select(F.col("s").alias("l"), "cell", F.explode(F.array_distinct(kept)).alias("k"))
+    met = a.join(b, ["cell", "k"]).where(F.levenshtein("l", "r", radius) >= 0)
+    return met.select("l", "r").distinct()
 
 
 READING = "kind string, key string, given string, cut boolean, middle string"
@@ -286,11 +315,11 @@ def _read(df: DataFrame, kept: list[str], name: str, how) -> DataFrame:
 
 
 def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
-    """(name, entity_no, entity_name, cost): the entity for each distinct spelling in the single column of `spellings`.
+    """(name, entity_no, entity_name, cost, tied): the entity for each distinct spelling in the single column of `spellings`.
 
     cost is 0 for the registered name read alike, and grows with initials, short forms and slips; a
-    spelling costing more than MAX_COST for every entity gives no row, nor does one that fits several
-    entities equally well. Null, empty and placeholder names, and registry rows without a number or a
+    spelling costing more than MAX_COST for every entity gives no row. One that fits several entities
+    equally well gives a row for each, with tied true. Null, empty and placeholder names, and registry rows without a number or a
     name, are ignored; repeated rows count once. Empty tables give no rows. The registry may have any
     size: both sides are spread over the cells of the metric space.
     """
@@ -314,18 +343,18 @@ def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
 
     kind = dict(entities.dtypes)["entity_no"]
     judged = pairs.select("name", "entity_no", "kind", "key", "given", "cut", "middle", "e_kind", "r", "e_given", "e_cut", "e_middle").mapInArrow(costs, f"name string, entity_no {kind}, cost double")
-    best = (
-        judged.where(F.col("cost") <= MAX_COST)
-        .groupBy("name")
-        .agg(F.min(F.struct("cost", "entity_no")).alias("first"), F.max(F.struct((-F.col("cost")).alias("gain"), F.col("entity_no"))).alias("last"))
-        .where("first.entity_no = last.entity_no")
-        .select("name", F.col("first.entity_no").alias("entity_no"), F.col("first.cost").alias("cost"))
-    )
-    return best.join(entities, "entity_no").select("name", "entity_no", "entity_name", "cost")
+    judged = materialize(judged.where(F.col("cost") <= MAX_COST).groupBy("name", "entity_no").agg(F.min("cost").alias("cost")))
+    best = judged.groupBy("name").agg(F.min(F.struct("cost", "entity_no")).alias("first"), F.max(F.struct((-F.col("cost")).alias("gain"), F.col("entity_no"))).alias("last"))
+    best = best.select("name", F.col("first.cost").alias("cost"), (F.col("first.entity_no") != F.col("last.entity_no")).alias("tied"))
+    return judged.join(best, ["name", "cost"]).join(entities, "entity_no").select("name", "entity_no", "entity_name", "cost", "tied")
 
 
 def variant_spellings(papers: DataFrame, registry: DataFrame) -> DataFrame:
-    """(paper_id, author_pos, entity_no) for each element of papers.authors that is spelled unlike its entity's name."""
+    """(paper_id, author_pos, entity_no) for each element of papers.authors that is spelled unlike its entity's name.
+
+    An element that fits several entities alike stands for none of them in particular and gives no
+    row here; `link_names` has its entities.
+    """
     p = distinct_names(papers, "paper_id", "authors").select("paper_id", F.posexplode("authors").alias("pos", "name")).where("name is not null")
-    linked = link_names(p.select("name"), registry).where("name <> entity_name").select("name", "entity_no")
+    linked = link_names(p.select("name"), registry).where("not tied and name <> entity_name").select("name", "entity_no")
     return p.join(linked, "name").select("paper_id", (F.col("pos") + 1).alias("author_pos"), "entity_no").distinct()

@@ -57,6 +57,11 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.variant_spellings(table(spark, d, "papers"), table(spark, d, "author_registry"))
 
 
+def p7_links(spark: SparkSession, d: str) -> DataFrame:
+    spellings = table(spark, d, "papers").select(F.explode("authors"))
+    return names.link_names(spellings, table(spark, d, "author_registry")).select("name", "entity_no", "cost", "tied")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode_corpus(table(spark, d, "documents"))
 
@@ -79,7 +84,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces, p5_found, p5_confidence, p6_found, p6_repaired, p7_found, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces, p5_found, p5_confidence, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
 }
 
 _STRIP = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"

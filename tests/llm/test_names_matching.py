@@ -11,7 +11,7 @@ REGISTRY = [(1, "Thomas Prarnis"), (2, "Björn G. Prarviskin"), (3, "Rulkvik Lab
 def linked(spark, spellings, registry=REGISTRY[:5] + REGISTRY[6:]):
     s = spark.createDataFrame([(x,) for x in spellings], "n string")
     r = spark.createDataFrame([(*x, "k", 1) for x in registry], "entity_no bigint, entity_name string, key string, cost int")
-    return {x.name: x.entity_no for x in names.link_names(s, r).collect()}
+    return {x.name: x.entity_no for x in names.link_names(s, r).where("not tied").collect()}
 
 
 @pytest.mark.parametrize(
@@ -33,6 +33,9 @@ def test_readings(spelling, no):
 def test_links(spark):
     got = linked(spark, ["Prarnis, Thomas", "Prarnis, Thomas", "A. Novak", "Ada Novak", "et al.", "Unknown", "", None, "Rulkvik Lab of Public Health", "x" * 10_000])
     assert got == {"Prarnis, Thomas": 1, "Ada Novak": 4, "Rulkvik Lab of Public Health": 3}  # A. Novak fits two
+    r = spark.createDataFrame(REGISTRY[:5], "entity_no bigint, entity_name string")
+    two = names.link_names(spark.createDataFrame([("A. Novak",), ("Ada Novak",)], "n string"), r).collect()
+    assert {(x.name, x.entity_no, x.tied) for x in two} == {("A. Novak", 4, True), ("A. Novak", 5, True), ("Ada Novak", 4, False)}
     assert linked(spark, []) == {} and linked(spark, ["Ada Novak"], []) == {}
 
 
@@ -60,6 +63,29 @@ def test_radius_join_is_exact(spark, left, right):
     assert got == sorted({(a, b) for a in left for b in right if levenshtein(a, b) <= 2})
 
 
+def test_radius_join_of_names_like_brute_force(spark, sf):
+    registry = [k for x in spark.read.parquet(f"{sf}/author_registry.parquet").collect() for _, k, *_ in names.entity_readings(x.entity_name)]
+    rnd_keys = sorted({k[:i] + k[i + 1 :] + k[:1] for n, k in enumerate(registry) for i in (n % len(k), 1)})[:600]
+    l, r = (spark.createDataFrame([(x,) for x in xs], "x string") for xs in (rnd_keys, registry[:300]))
+    assert sorted((x.l, x.r) for x in names.radius_join(l, r).collect()) == sorted({(a, b) for a in rnd_keys for b in registry[:300] if abs(len(a) - len(b)) < 3 and levenshtein(a, b) <= 2})
+
+
+def test_no_cell_holds_a_tenth_of_the_names(spark):
+    d = "/root/testdata/sf0.1"
+    registry = spark.createDataFrame([(k,) for x in spark.read.parquet(f"{d}/author_registry.parquet").collect() for _, k, *_ in names.entity_readings(x.entity_name)], "x string")
+    spelled = spark.createDataFrame([(k,) for x in spark.read.parquet(f"{d}/papers.parquet").select(F.explode("authors").alias("n")).distinct().collect() for _, k, *_ in names.readings(x.n)], "x string")
+    pivots = names.choose_pivots(registry)
+    assert len(names.choose_pivots(registry.limit(100))) < len(pivots)
+    for keys in (registry, spelled):
+        sizes = [x["count"] for x in names.cells_of(keys, pivots).groupBy("cell").count().collect()]
+        assert max(sizes) < 0.1 * sum(sizes)
+
+
+@pytest.mark.parametrize("given,full", [("dan", "daniel"), ("danny", "daniel"), ("bob", "robert"), ("charlie", "charles"), ("alex", "alexander"), ("andy", "andrew")])
+def test_short_forms(given, full):
+    assert names.is_short(given, full) and not names.is_short(full, given)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text("abc", max_size=8), st.text("abc", max_size=8), st.integers(1, 4))
 def test_slips_against_the_plain_recurrence(a, b, most):
