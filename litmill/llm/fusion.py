@@ -1,30 +1,32 @@
 """Best representative of each duplicate group.
 
 Every record of a group makes claims: one per usable value of a single-valued field, one per value
-of a multi-valued field. A latent two-sided quality model gives each source class a sensitivity
-(the share of true values it names) and a specificity (the share of false ones it does not), and
-each claimed value a posterior of being true. The two are fitted by expectation maximisation over
-claim patterns - which classes cover a group and which of them name the value - so the fit sees all
-facts of all groups, yet works on at most FIELDS * 3^CLASSES pattern counts.
+of a multi-valued field. A latent two-sided quality model gives each source, field by field, a
+sensitivity (the share of true values it names) and a specificity (the share of false ones it does
+not), and each claimed value a posterior of being true. The two are fitted by expectation
+maximisation over claim patterns - which sources cover a group and which of them name the value -
+so the fit sees all facts of all groups, yet works on their distinct patterns.
 
 A multi-valued field keeps every value whose posterior reaches `keep`; a single-valued field takes
-one value. Where a trust order is stated it decides first, then recency, then the posterior.
+one value, by posterior or, where a trust order is stated, by that, then recency, then the posterior.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from litmill.operators.packed_values import packed_values
-from litmill.session import checkpoint, distinct_names
+from litmill.session import distinct_names, materialize
 
-#: Source classes with a quality of their own; sources ranked below them by trust share the last one.
-MAX_CLASSES = 9
+#: Patterns up to which the fit runs on the driver; beyond, the same rounds run as aggregations.
+DRIVER_PATTERNS = 200_000
+#: Most rounds of the fit, and the change of any rate below which it rests.
+ROUNDS, STILL = 40, 1e-3
+#: Prior claims: rates of sources hardly seen lie at sensitivity 7/10, specificity 8/10; truth at 6/10.
+SENSITIVE, SPECIFIC, TRUE, STRENGTH = 7.0, 8.0, 6.0, 10.0
 
 #: Stand-ins for "missing", compared trimmed and in small letters.
 MISSING = ("", "-", "n/a", "none", "null", "unknown")
@@ -33,15 +35,6 @@ MISSING = ("", "-", "n/a", "none", "null", "unknown")
 TRUE_WORDS = ("1", "on", "true", "y", "yes")
 
 
-@dataclass(frozen=True)
-class Quality:
-    """A fitted model: per field and class, sensitivity and specificity; per field, the prior of truth."""
-
-    sensitivity: np.ndarray
-    specificity: np.ndarray
-    prior: np.ndarray
-
-
 def trimmed(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
 
@@ -62,57 +55,61 @@ def truthy(c: Column) -> Column:
     return F.coalesce(F.lower(trimmed(c)).isin(*TRUE_WORDS), F.lit(False))
 
 
-def source_classes(sources: DataFrame) -> DataFrame:
-    """source, trust, cls: the class numbers 0.. by trust; class MAX_CLASSES is left for unknown sources.
+def source_trust(sources: DataFrame) -> DataFrame:
+    """source, trust, src: a number for each source; 0 is left for unknown ones.
 
-    Repeated sources keep their highest trust; null sources are dropped.
+    Repeated sources keep their highest trust, null being 0; null sources are dropped.
     """
-    from pyspark.sql import Window as W
-
     s = distinct_names(sources, "source", "trust").where("source is not null").groupBy("source").agg(F.max("trust").alias("trust"))
-    rank = F.row_number().over(W.orderBy(F.desc("trust"), "source")) - 1
-    return s.select("source", F.coalesce("trust", F.lit(0)).alias("trust"), F.least(rank, F.lit(MAX_CLASSES - 1)).alias("cls"))
+    return s.select("source", F.coalesce("trust", F.lit(0)).alias("trust"), F.xxhash64("source").alias("src"))
 
 
-def fit_quality(patterns: list[tuple[int, int, int, int]], fields: int, rounds: int = 40) -> Quality:
-    """EM over (field, claiming classes, covering classes, facts); masks are bit sets of classes.
+def fit_on_driver(field: np.ndarray, n: np.ndarray, pattern: np.ndarray, key: np.ndarray, said: np.ndarray, fields: int, keys: int):
+    """(sensitivity, specificity per key, prior per field, posterior per pattern) by EM.
 
-    Beta priors keep rates of unseen classes at sensitivity 0.7 and specificity 0.8.
+    field and n are given per pattern; pattern, key (a source in a field) and said per pattern and
+    source that covers it.
     """
-    k = MAX_CLASSES + 1
-    sens, spec, prior = np.full((fields, k), 0.7), np.full((fields, k), 0.8), np.full(fields, 0.6)
-    if not patterns:
-        return Quality(sens, spec, prior)
-    p = np.array(patterns, dtype=np.int64)
-    field, n = p[:, 0], p[:, 3].astype(float)
-    bits = np.arange(k)
-    claim, cover = (p[:, 1, None] >> bits) & 1, (p[:, 2, None] >> bits) & 1
-    for _ in range(rounds):
-        t = _posterior(field, claim, cover, sens, spec, prior)
-        for f in range(fields):
-            at = field == f
-            if not at.any():
-                continue
-            w1, w0 = (n * t)[at, None] * cover[at], (n * (1 - t))[at, None] * cover[at]
-            sens[f] = np.clip(((w1 * claim[at]).sum(0) + 7) / (w1.sum(0) + 10), 0.01, 0.99)
-            spec[f] = np.clip(((w0 * (1 - claim[at])).sum(0) + 8) / (w0.sum(0) + 10), 0.01, 0.99)
-            prior[f] = np.clip(((n * t)[at].sum() + 6) / (n[at].sum() + 10), 0.01, 0.99)
-    return Quality(sens, spec, prior)
-
-
-def _posterior(field, claim, cover, sens, spec, prior):
-    s, c = sens[field], spec[field]
-    true = np.log(prior[field]) + (cover * (claim * np.log(s) + (1 - claim) * np.log(1 - s))).sum(1)
-    false = np.log(1 - prior[field]) + (cover * (claim * np.log(1 - c) + (1 - claim) * np.log(c))).sum(1)
-    return 1 / (1 + np.exp(np.clip(false - true, -500, 500)))
-
-
-def posteriors(patterns: list[tuple[int, int, int, int]], q: Quality) -> list[float]:
-    if not patterns:
-        return []
-    p = np.array(patterns, dtype=np.int64)
-    bits = np.arange(q.sensitivity.shape[1])
-    return _posterior(p[:, 0], (p[:, 1, None] >> bits) & 1, (p[:, 2, None] >> bits) & 1, q.sensitivity, q.specificity, q.prior).tolist()
+    sens, spec, prior = np.full(keys, SENSITIVE / STRENGTH), np.full(keys, SPECIFIC / STRENGTH), np.full(fields, TRUE / STRENGTH)
+    add = lambda w: np.bincount(key, w, keys)
+    for k in range(ROUNDS):
+        gain = np.where(said, np.log(sens / (1 - spec))[key], np.log((1 - sens) / spec)[key])
+        t = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior))[field] + np.bincount(pattern, gain, len(n)), -500, 500)))
+        w1, w0 = (n * t)[pattern], (n * (1 - t))[pattern]
+        new = (
+            np.clip((add(w1 * said) + SENSITIVE) / (add(w1) + STRENGTH), 0.01, 0.99), np.clip((add(w0 * ~said) + SPECIFIC) / (add(w0) + STRENGTH), 0.01, 0.99),
+            np.clip((np.bincount(field, n * t, fields) + TRUE) / (np.bincount(field, n, fields) + STRENGTH), 0.01, 0.99),
+        )
+        moved = max(np.abs(x - y).max(initial=0.0) for x, y in zip(new, (sens, spec, prior)))
+        sens, spec, prior = new
+        if moved < STILL:
+            break
+    return sens, spec, prior, t
+
+
+def fit_distributed(patterns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As `fit_on_driver`, as aggregations over (field, source): (quality, posteriors) of patterns (pattern, field, claim, cover, n)."""
+    long = materialize(patterns.select("pattern", "field", "n", F.explode("cover").alias("src"), "claim").select("pattern", "field", "n", "src", F.array_contains("claim", F.col("src")).alias("said")))
+    clip = lambda c: F.greatest(F.lit(0.01), F.least(F.lit(0.99), c))
+    quality = materialize(long.select("field", "src").distinct().withColumns({"sensitivity": F.lit(SENSITIVE / STRENGTH), "specificity": F.lit(SPECIFIC / STRENGTH), "prior": F.lit(TRUE / STRENGTH)}))
+    each = None
+    for _ in range(ROUNDS):
+        gain = F.when(F.col("said"), F.log(F.col("sensitivity") / (1 - F.col("specificity")))).otherwise(F.log((1 - F.col("sensitivity")) / F.col("specificity")))
+        total = F.log(F.col("prior") / (1 - F.col("prior"))) + F.sum(gain).over(W.partitionBy("pattern"))
+        each = materialize(long.join(quality, ["field", "src"]).select("pattern", "field", "n", "src", "said", (1 / (1 + F.exp(-total))).alias("t")), *([each] if each is not None else []))
+        w1, w0 = F.col("n") * F.col("t"), F.col("n") * (1 - F.col("t"))
+        of = lambda w, c: F.sum(F.when(c, w).otherwise(0.0))
+        rates = each.groupBy("field", "src").agg(
+            clip((of(w1, F.col("said")) + SENSITIVE) / (F.sum(w1) + STRENGTH)).alias("sensitivity"), clip((of(w0, ~F.col("said")) + SPECIFIC) / (F.sum(w0) + STRENGTH)).alias("specificity")
+        )
+        priors = each.groupBy("pattern", "field").agg(F.first("n").alias("n"), F.first("t").alias("t")).groupBy("field").agg(clip((F.sum(F.col("n") * F.col("t")) + TRUE) / (F.sum("n") + STRENGTH)).alias("prior"))
+        new = materialize(rates.join(priors, "field"))
+        old = quality.select("field", "src", *[F.col(c).alias(f"old_{c}") for c in ("sensitivity", "specificity", "prior")])
+        moved = new.join(old, ["field", "src"]).agg(F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"old_{c}")) for c in ("sensitivity", "specificity", "prior")]))).first()[0]
+        quality = new
+        if moved is None or moved < STILL:
+            break
+    return quality, each.groupBy("pattern").agg(F.first("t").alias("posterior"))
 
 
 class Fusion:
@@ -123,7 +120,7 @@ class Fusion:
     multi: field -> column of an array of values.
     flags: field -> boolean column; the survivor's flag is true if any record's is.
 
-    Null keys form no group. Null, unknown and repeated sources share one class of trust 0; a null
+    Null keys form no group. Null and unknown sources count as one source of trust 0; a null
     updated_at is earliest. Groups of one record are left out. Ties beyond trust, time and posterior
     go to the smallest value. Empty tables give empty results; columns of other names are ignored.
 
@@ -141,45 +138,64 @@ class Fusion:
         flat = records.where(F.col(key).isNotNull()).select(
             F.col(key).alias("k"), F.col("source").alias("src"), F.col("updated_at").alias("at"), F.concat(record, *one, *many).alias("claims")
         )
-        classes = source_classes(sources)
-        claims = flat.join(classes, flat.src == classes.source, "left").select(
-            "k", "at", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("cls", F.lit(MAX_CLASSES)).alias("cls"), F.explode("claims").alias("c")
+        self.sources = source_trust(sources)
+        claims = flat.join(self.sources, flat.src == self.sources.source, "left").select(
+            "k", "at", F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce(self.sources.src, F.lit(0)).alias("src"), F.explode("claims").alias("c")
         )
         facts = (
             claims.where("c.field < 0 or c.value is not null")
             .groupBy("k", F.col("c.field").alias("field"), F.col("c.value").alias("value"))
-            .agg(F.max(F.struct("trust", "at")).alias("best"), F.bit_or(F.expr("shiftleft(1, cls)")).alias("claim"), F.count("*").alias("n"))
+            .agg(F.max(F.struct("trust", "at")).alias("best"), F.collect_set("src").alias("claim"), F.count("*").alias("n"))
         )
-        self.facts = checkpoint(facts)
+        self.facts = materialize(facts.withColumn("claim", F.array_sort("claim")))
 
     def _patterned(self) -> DataFrame:
+        # a set has at most as many members as there are sources, whatever the size of the group
         facts = self.facts.where("field >= 0")
-        cover = facts.groupBy("k", "field").agg(F.bit_or("claim").alias("cover"))
+        cover = facts.select("k", "field", F.explode("claim").alias("src")).groupBy("k", "field").agg(F.array_sort(F.collect_set("src")).alias("cover"))
         groups = self.facts.where("field < 0 and n > 1").select("k")
-        return facts.join(cover.join(groups, "k"), ["k", "field"])
+        return facts.drop("n").join(cover.join(groups, "k"), ["k", "field"]).withColumn("pattern", F.xxhash64("field", "claim", "cover"))
+
+    def resolve(self, driver_patterns: int = DRIVER_PATTERNS) -> tuple[DataFrame, DataFrame]:
+        """(key, field, value, trust, at, posterior) of every fact in groups of two or more records, and the model.
 
-    def resolve(self) -> tuple[DataFrame, Quality]:
-        """(key, field, value, trust, at, posterior) of every fact in groups of two or more records, and the model."""
+        The model is (field, src, sensitivity, specificity, prior) for each source, src 0 for unknown ones.
+        """
         spark = self.facts.sparkSession
-        patterned = checkpoint(self._patterned())
-        # at most fields * 3^(MAX_CLASSES + 1) rows, whatever the size of the input
-        rows = patterned.groupBy("field", "claim", "cover").count().orderBy("field", "claim", "cover").collect()
-        patterns = [(r["field"], r["claim"], r["cover"], r["count"]) for r in rows]
-        q = fit_quality(patterns, len(self.fields))
-        schema = T.StructType([T.StructField(c, t) for c, t in (("field", T.IntegerType()), ("claim", T.IntegerType()), ("cover", T.IntegerType()), ("posterior", T.DoubleType()))])
-        table = spark.createDataFrame([(f, a, b, p) for (f, a, b, _), p in zip(patterns, posteriors(patterns, q))], schema)
-        return patterned.join(F.broadcast(table), ["field", "claim", "cover"]), q
-
-    def survivors(self, keep: float = 0.5) -> DataFrame:
-        """(key, field_name, field_value, posterior): the record built for each group of two or more records."""
+        patterned = materialize(self._patterned())
+        patterns = materialize(patterned.groupBy("pattern").agg(F.first("field").alias("field"), F.first("claim").alias("claim"), F.first("cover").alias("cover"), F.count("*").alias("n")))
+        if patterns.count() > driver_patterns:
+            quality, table = fit_distributed(patterns)
+            return patterned.join(table, "pattern"), quality
+        rows = patterns.orderBy("pattern").collect()
+        keys = {}
+        long = [(k, keys.setdefault((r["field"], c), len(keys)), c in r["claim"]) for k, r in enumerate(rows) for c in r["cover"]]
+        at, key, said = (np.array(x, ty) for x, ty in zip(list(zip(*long)) or ((), (), ()), (int, int, bool)))
+        fit = fit_on_driver(np.array([r["field"] for r in rows], int), np.array([r["n"] for r in rows], float), at, key, said, len(self.fields), len(keys))
+        quality = spark.createDataFrame([(f, c, float(fit[0][k]), float(fit[1][k]), float(fit[2][f])) for (f, c), k in keys.items()], "field int, src bigint, sensitivity double, specificity double, prior double")
+        table = spark.createDataFrame([(r["pattern"], float(p)) for r, p in zip(rows, fit[3])], "pattern bigint, posterior double")
+        # at most driver_patterns rows of 16 bytes
+        return patterned.join(F.broadcast(table), "pattern"), quality
+
+    def source_quality(self) -> DataFrame:
+        """(field_name, source, sensitivity, specificity) of the fitted model; a null source stands for all unknown ones."""
+        names = F.array(*[F.lit(f) for f in self.fields])
+        return self.resolve()[1].join(self.sources, "src", "left").select(names[F.col("field")].alias("field_name"), "source", "sensitivity", "specificity")
+
+    def survivors(self, keep: float = 0.5, by_trust: bool = True) -> DataFrame:
+        """(key, field_name, field_value, posterior): the record built for each group of two or more records.
+
+        by_trust: single values and flags by trust, time, posterior, and a flag is true if any record
+        says so; else by posterior, trust, time. Full ties go to the smallest value.
+        """
         facts, _ = self.resolve()
         multi = [k for k, f in enumerate(self.fields) if f in self.multi]
         flags = [k for k, f in enumerate(self.fields) if f in self.flags]
         names = F.array(*[F.lit(f) for f in self.fields])
-        # by trust, time, posterior; the smallest value among full ties; for flags true comes first
+        stated = [F.col("best.trust").alias("trust"), F.col("best.at").alias("at")]
         claimed = F.col("field").isin(flags) & (F.col("value") == "true")
-        order = F.struct(claimed.alias("claimed"), F.col("best.trust").alias("trust"), F.col("best.at").alias("at"), F.col("posterior"), _descending(F.col("value")).alias("last"))
-        ranked = facts.where(~F.col("field").isin(multi)).groupBy("k", "field").agg(F.max_by(F.struct("value", "posterior"), order).alias("top"))
+        first = [claimed.alias("claimed"), *stated, F.col("posterior")] if by_trust else [F.col("posterior"), *stated]
+        ranked = facts.where(~F.col("field").isin(multi)).groupBy("k", "field").agg(F.max_by(F.struct("value", "posterior"), F.struct(*first, _descending(F.col("value")).alias("last"))).alias("top"))
         one = ranked.select("k", "field", "top.value", "top.posterior")
         many = facts.where(F.col("field").isin(multi) & (F.col("posterior") >= keep)).select("k", "field", "value", "posterior")
         return one.unionByName(many).select(F.col("k").alias(self.key), names[F.col("field")].alias("field_name"), F.col("value").alias("field_value"), "posterior")

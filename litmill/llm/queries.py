@@ -17,11 +17,14 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return out.select("canonical_id", "field_name", "field_value")
 
 
+def p1_model(spark: SparkSession, d: str) -> DataFrame:
+    """The survivors that the quality model alone chooses: single values by posterior, every tag judged true."""
+    out = fusion.paper_fusion(table(spark, d, "papers"), table(spark, d, "paper_sources")).survivors(by_trust=False)
+    return out.select("canonical_id", "field_name", "field_value", F.round("posterior", 6).alias("posterior"))
+
+
 def p1_source_quality(spark: SparkSession, d: str) -> DataFrame:
-    f = fusion.paper_fusion(table(spark, d, "papers"), table(spark, d, "paper_sources"))
-    _, q = f.resolve()
-    rows = [(name, c, float(q.sensitivity[k, c]), float(q.specificity[k, c])) for k, name in enumerate(f.fields) for c in range(fusion.MAX_CLASSES + 1)]
-    return spark.createDataFrame(rows, "field_name string, source_class int, sensitivity double, specificity double")
+    return fusion.paper_fusion(table(spark, d, "papers"), table(spark, d, "paper_sources")).source_quality()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,7 +87,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_source_quality, p2_found, p4_found, p4_pieces, p5_found, p5_confidence, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
+    f.__name__: f for f in (p1_found, p1_model, p1_source_quality, p2_found, p4_found, p4_pieces, p5_found, p5_confidence, p6_found, p6_repaired, p7_found, p7_links, p8_ids, p9_found, p9_cleaned, p10_found, p10_composition)
 }
 
 _STRIP = r"lower(regexp_replace({0}, '^\s+|\s+$', '', 'g'))"

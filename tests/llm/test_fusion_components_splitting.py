@@ -59,13 +59,45 @@ def test_empty_tables(spark):
     assert out.count() == 4
 
 
-def test_sources_that_lie_get_low_specificity():
-    # source 0 names the true value, source 1 a false one half of the time
-    q = fusion.fit_quality([(0, 0b11, 0b11, 50), (0, 0b01, 0b11, 50), (0, 0b10, 0b11, 50), (0, 0b101, 0b111, 60), (0, 0b010, 0b111, 60)], 1)
-    assert q.specificity[0, 0] > q.specificity[0, 1]
-    p = fusion.posteriors([(0, 0b101, 0b111, 1), (0, 0b010, 0b111, 1)], q)
-    assert p[0] > 0.5 > p[1]
-    assert fusion.posteriors([], fusion.fit_quality([], 1)) == []
+def made_by_known_sources(spark, n=4000):
+    """n groups with a true value each; source k names it with SENSITIVITY[k], and each of three false ones with 1 - SPECIFICITY[k]."""
+    import random
+
+    rnd = random.Random(11)
+    rows, truth = [], set()
+    for g in range(n):
+        truth |= {(f"g{g}", "t0"), (f"g{g}", "t1")}
+        for k, (sens, spec) in enumerate(zip(SENSITIVITY, SPECIFICITY)):
+            said = [v for v in ("t0", "t1") if rnd.random() < sens] + [v for v in ("f0", "f1", "f2") if rnd.random() > spec]
+            rows.append((f"g{g}", f"s{k}" if k else None, None, None, None, "|".join(said), None))
+    return rows, truth
+
+
+SENSITIVITY, SPECIFICITY = (0.9, 0.6, 0.8, 0.5) + (0.7,) * 8, (0.95, 0.9, 0.6, 0.95) + (0.9,) * 8
+
+
+def test_the_model_recovers_known_qualities_and_chooses_by_them(spark):
+    rows, truth = made_by_known_sources(spark)
+    trust = spark.createDataFrame([(f"s{k}", 1) for k in range(1, 12)], "source string, trust int")
+    f = fusion.paper_fusion(papers(spark, rows), trust)
+    got = {r.source: r for r in f.source_quality().where("field_name = 'tags'").collect()}
+    assert len(got) == 12  # more sources than any fixed number of classes
+    for k in range(12):
+        # a source covers the groups in which it names anything, so its sensitivity is that among these
+        named = [set(r[5].split("|")) for r in rows if r[1] == (f"s{k}" if k else None) and r[5]]
+        assert abs(got[f"s{k}" if k else None].sensitivity - sum(len(v & {"t0", "t1"}) for v in named) / (2 * len(named))) < 0.05
+    assert got["s2"].specificity < min(got[s].specificity for s in (None, "s1", "s3", "s4"))
+    kept = {(r.canonical_id, r.field_value) for r in f.survivors(by_trust=False).where("field_name = 'tags'").collect()}
+    assert len(kept & truth) > 0.95 * len(truth) and len(kept & truth) > 0.95 * len(kept)
+    claimed = {(r.canonical_id, r.field_value) for r in f.survivors(keep=0.0).where("field_name = 'tags'").collect()}
+    assert len(claimed & truth) < 0.6 * len(claimed)
+
+
+def test_the_fit_is_the_same_on_the_driver_and_distributed(spark):
+    rows, _ = made_by_known_sources(spark, 300)
+    f = fusion.paper_fusion(papers(spark, rows), spark.createDataFrame([("s1", 1)], "source string, trust int"))
+    one, two = ({(r.k, r.field, r.value): r.posterior for r in f.resolve(n)[0].collect()} for n in (10**9, 0))
+    assert one.keys() == two.keys() and max(abs(one[k] - two[k]) for k in one) < 1e-6
 
 
 def test_like_brute_force(spark, sf):
