@@ -83,6 +83,25 @@ def materialize(df: DataFrame, *stale: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes of a written table that may be joined by broadcast; in memory it takes some ten times as much.
+BROADCAST_FILE_BYTES = 1_000_000
+
+
+def sized(df: DataFrame, written: DataFrame | None = None) -> DataFrame:
+    """df for a join: left to the optimizer if the table it comes from is small as written, else joined by merging.
+
+    The optimizer goes by the compressed size of files, which bounds nothing in memory. `written` is
+    the result of `materialize` that df was selected from, by default df itself.
+    """
+    path = getattr(written if written is not None else df, "_litmill_path", None)
+    return df if path and _bytes_of(df.sparkSession, path) <= BROADCAST_FILE_BYTES else df.hint("merge")
+
+
+def _bytes_of(spark: SparkSession, path: str) -> int:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 _cleaned: set[str] = set()
 
 
