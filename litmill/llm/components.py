@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litmill.session import distinct_names, materialize
+from litmill.session import distinct_names, materialize, sized
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
@@ -34,8 +34,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 64)
         # every end of an edge points to the smallest label around it
         p = e.select("u", "v").union(e.select(F.col("v"), F.col("u"))).groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("x"), F.least("u", "m").alias("to"))
         p = _jumped(p)
-        labels = materialize(labels.join(p.drop("moved"), labels.label == F.col("x"), "left").select("id", F.coalesce("to", "label").alias("label")), labels)
-        pu, pv = (p.select(F.col("x").alias(x), F.col("to").alias(to)) for x, to in (("u", "a"), ("v", "b")))
+        labels = materialize(labels.join(sized(p.drop("moved"), p), labels.label == F.col("x"), "left").select("id", F.coalesce("to", "label").alias("label")), labels)
+        pu, pv = (sized(p.select(F.col("x").alias(x), F.col("to").alias(to)), p) for x, to in (("u", "a"), ("v", "b")))
         e = materialize(e.join(pu, "u").join(pv, "v").where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), e, p)
     raise RuntimeError(f"no fixpoint after {max_rounds} rounds")
 
@@ -44,7 +44,7 @@ def _jumped(p: DataFrame) -> DataFrame:
     """Pointers (x, to) with every `to` pointing to itself: jumped two at a time until none moves."""
     p = materialize(p.withColumn("moved", F.lit(True)))
     while not p.where("moved").isEmpty():
-        q = p.select(F.col("x").alias("to"), F.col("to").alias("next"))
+        q = sized(p.select(F.col("x").alias("to"), F.col("to").alias("next")), p)
         once = p.select("x", "to").join(q, "to").select("x", F.col("to").alias("was"), F.col("next").alias("to"))
         p = materialize(once.join(q, "to").select("x", F.col("next").alias("to"), (F.col("next") != F.col("was")).alias("moved")), p)
     return p
@@ -60,11 +60,12 @@ def canonical_groups(papers: DataFrame, pairs: DataFrame) -> DataFrame:
 
     group_id is the group's smallest canonical_id in character-code order. Ends are matched to
     papers.canonical_id without regard to case and surrounding white space; an end unknown to papers
-    still links its neighbours but is not returned. Null and blank ids are in no group.
+    still links its neighbours but is not returned. Spellings of one id that differ in case or space
+    only are members of one group if a pair names the id. Null and blank ids are in no group.
     """
     own = distinct_names(papers, "canonical_id").where("canonical_id is not null").distinct().withColumn("key", id_key(F.col("canonical_id"))).where("key <> ''")
     ends = distinct_names(pairs, "paper_a", "paper_b").select(id_key(F.col("paper_a")).alias("a"), id_key(F.col("paper_b")).alias("b")).where("a <> '' and b <> ''")
     labels = connected_components(ends, "a", "b")
-    member = own.join(labels, own.key == labels.id).select("canonical_id", "label")
+    member = own.join(sized(labels), own.key == labels.id).select("canonical_id", "label")
     group = member.groupBy("label").agg(F.min("canonical_id").alias("group_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     return member.join(group, "label").select("canonical_id", "group_id")
