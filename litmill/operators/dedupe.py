@@ -47,38 +47,69 @@ def pair_keys(papers: DataFrame, ord_: str) -> DataFrame:
     """What pairs are judged by, once for each record with a title."""
     norm = normalize_title(F.col("title"))
     return papers.select(
-        F.col(ord_).alias("ord"), norm.alias("norm"), F.array_distinct(tokens(F.col("title"))).alias("toks"), last_names(F.col("authors")).alias("names"),
+        F.col(ord_).alias("ord"), norm.alias("norm"), F.array_sort(F.array_distinct(tokens(F.col("title")))).alias("toks"), F.array_sort(last_names(F.col("authors"))).alias("names"),
         extract_year(F.col("published")).alias("year"), F.lower(strip(F.coalesce("doi", F.lit("")))).alias("doi"), F.coalesce("canonical_id", F.lit("")).alias("cid"),
     ).where("norm <> ''")
 
 
+#: What stands for no DOI; equal stand-ins are neither a block nor an equal DOI.
+NO_DOI = ("unknown", "none", "null", "n/a", "na", "-")
+
+
+def doi_block() -> Column:
+    return F.when((F.col("doi") != "") & ~F.col("doi").isin(*NO_DOI), F.concat(F.lit("d:"), F.col("doi")))
+
+
+def duplicate_classes(keys: DataFrame) -> DataFrame:
+    """keys with class_id, the least ord among the records that are alike in all that pairs are judged by."""
+    alike = [c for c in keys.columns if c != "ord"]
+    signed = keys.withColumn("sign", F.to_json(F.struct(*alike), {"ignoreNullFields": "false"}))
+    return signed.join(signed.groupBy("sign").agg(F.min("ord").alias("class_id")), "sign").drop("sign")
+
+
+def representatives(keys: DataFrame) -> DataFrame:
+    """One record, the one with the least ord, of those that are alike in all that pairs are judged by."""
+    return keys.groupBy(*[c for c in keys.columns if c != "ord"]).agg(F.min("ord").alias("ord")).select(keys.columns)
+
+
 #: Weights of title, authors and year in the combined score, and the boosts of an equal DOI and id.
 TITLE, AUTHORS, YEAR, SAME_DOI, SAME_ID = 0.65, 0.25, 0.10, 0.25, 0.30
 
 
+def rarest(keys: DataFrame, sets: str, least: float) -> DataFrame:
+    """(ord, rare_<sets>): of each set so many of its rarest members that two sets with that Jaccard similarity share one.
+
+    Two sets with a similarity of t share one of the first n - ceil(t n) + 1 in any common order.
+    """
+    df = keys.select(F.explode(sets).alias("x")).groupBy("x").agg(F.count("*").alias("df"))
+    ranked = keys.select("ord", F.explode(sets).alias("x")).join(df, "x").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
+    n = F.size("r")
+    return ranked.select("ord", F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int")), lambda x: x["x"]).alias(f"rare_{sets}"))
+
+
 def candidate_pairs(keys: DataFrame, least: float = 0.0) -> DataFrame:
     """Pairs (a, b), a before b, with the same first character of the title or the same DOI.
 
     With least > 0 only pairs that can reach that combined score by the Jaccard similarity of their
     title words are made, all of them: pairs with the same DOI; pairs with the same first character
-    and id; and pairs with the same first character whose titles alone are similar enough. The last
-    share one of the rarest words of both titles (prefix filter), so blocks are as fine as rare
-    words, where the plain blocks are as coarse as the alphabet.
+    and id; and pairs with the same first character whose titles and names are similar enough. The
+    last share one of the rarest words of both titles and, as title and year alone do not reach
+    0.75, one of the rarest family names of both (prefix filters), so blocks are as fine as a rare
+    word with a rare name, where the plain blocks are as coarse as the alphabet.
     """
     first = F.substring("norm", 1, 1)
-    doi = F.when(F.col("doi") != "", F.concat(F.lit("d:"), F.col("doi")))
+    doi = doi_block()
     if least <= 0:
         blocks = [keys.withColumn("block", F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), first), doi))))]
     else:
-        title = max(0.01, (least - AUTHORS - YEAR) / TITLE)
-        df = keys.select(F.explode("toks").alias("tok")).groupBy("tok").agg(F.count("*").alias("df"))
-        ranked = keys.select("ord", F.explode("toks").alias("tok")).join(df, "tok").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "tok"))).alias("r"))
-        # two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 in any common order
-        n = F.size("r")
-        prefix = F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(title) - 1e-9) + 1).cast("int")), lambda x: x["tok"])
+        title, alike = ((least - 5e-5 - rest) / of - 1e-9 for rest, of in ((AUTHORS + YEAR, TITLE), (TITLE + YEAR, AUTHORS)))
+        words = keys.join(rarest(keys, "toks", max(0.01, title)), "ord")
+        if alike > 0:
+            words = words.join(rarest(keys, "names", alike), "ord").withColumn("block", F.explode(F.flatten(F.transform("rare_toks", lambda t: F.transform("rare_names", lambda x: F.concat_ws(":", F.lit("t"), first, t, x))))))
+        else:
+            words = words.withColumn("block", F.explode(F.transform("rare_toks", lambda t: F.concat_ws(":", F.lit("t"), first, t))))
         same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
-        words = keys.join(ranked, "ord").withColumn("block", F.explode(F.transform(prefix, lambda t: F.concat(F.lit("t:"), first, t)))).drop("r")
-        blocks = [words, keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same))))]
+        blocks = [words.select(*keys.columns, "block"), keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same))))]
     b = union_all(blocks)
     side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in keys.columns])
     return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
@@ -105,12 +136,7 @@ def full_pairs(keys: DataFrame, least: float) -> DataFrame:
     if alike <= 0:
         return candidate_pairs(keys)
     first = F.substring("norm", 1, 1)
-    df = keys.select(F.explode("names").alias("name")).groupBy("name").agg(F.count("*").alias("df"))
-    ranked = keys.select("ord", F.explode("names").alias("name")).join(df, "name").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "name"))).alias("r"))
-    n = F.size("r")
-    prefix = F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(alike)) + 1).cast("int")), lambda x: x["name"])
-    named = keys.join(ranked.select("ord", prefix.alias("rare")), "ord").withColumn("block", F.explode(F.transform("rare", lambda x: F.concat(first, x))))
-    doi = F.when(F.col("doi") != "", F.concat(F.lit("d:"), F.col("doi")))
+    named = keys.join(rarest(keys, "names", alike), "ord").withColumnRenamed("rare_names", "rare").withColumn("block", F.explode(F.transform("rare", lambda x: F.concat(first, x))))
     same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
 
     def joined(b: DataFrame) -> DataFrame:
@@ -118,7 +144,8 @@ def full_pairs(keys: DataFrame, least: float) -> DataFrame:
         return side("a").join(side("b"), "block").where("ord_a < ord_b")
 
     # a pair is kept in one block alone, so wide pairs need not be made distinct
-    same_doi, same_id = "(doi_a <> '' and doi_a = doi_b)", "(cid_a <> '' and cid_a = cid_b)"
+    named_dois = ", ".join(f"'{x}'" for x in NO_DOI)
+    same_doi, same_id = f"(doi_a <> '' and doi_a = doi_b and doi_a not in ({named_dois}))", "(cid_a <> '' and cid_a = cid_b)"
     once = F.col("block") == F.concat(F.substring("norm_a", 1, 1), F.get(F.array_intersect("rare_a", "rare_b"), F.lit(0)))
     missing = (F.lit(least - 1e-9) - AUTHORS * jaccard(F.col("names_a"), F.col("names_b")) - YEAR * year_similarity(F.col("year_a"), F.col("year_b"))) / TITLE
     x, y = F.length("norm_a"), F.length("norm_b")
@@ -126,7 +153,7 @@ def full_pairs(keys: DataFrame, least: float) -> DataFrame:
     near = joined(named).where(once).where(f"not {same_doi} and not {same_id}").withColumn("need", missing)
     near = near.where((F.col("need") <= 1) & ((words >= F.col("need")) | (2 * F.least(x, y) / (x + y) >= F.col("need"))))
     near = near.withColumn("enough", (words >= F.col("need")) | may_reach("norm_a", "norm_b", "need")).where("enough").drop("need", "enough", "rare_a", "rare_b", "block")
-    sure = joined(keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same))))).where(f"block like 'd:%' or not {same_doi}").drop("block")
+    sure = joined(keys.withColumn("block", F.explode(F.array_compact(F.array(doi_block(), same))))).where(f"block like 'd:%' or not {same_doi}").drop("block")
     return near.unionByName(sure)
 
 
@@ -135,7 +162,7 @@ def score_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
     words = jaccard(F.col("toks_a"), F.col("toks_b"))
     title = F.greatest(words, sequence_ratio(F.col("norm_a"), F.col("norm_b"))) if sequence else words
     p = pairs.select("*", title.alias("t"), jaccard(F.col("names_a"), F.col("names_b")).alias("au"), year_similarity(F.col("year_a"), F.col("year_b")).alias("y"))
-    same_doi = (F.col("doi_a") != "") & (F.col("doi_a") == F.col("doi_b")) & ~F.col("doi_a").isin("unknown", "none")
+    same_doi = (F.col("doi_a") != "") & (F.col("doi_a") == F.col("doi_b")) & ~F.col("doi_a").isin(*NO_DOI)
     same_cid = (F.col("cid_a") != "") & (F.col("cid_a") == F.col("cid_b"))
     boost = F.greatest(F.when(same_doi, SAME_DOI).otherwise(0.0), F.when(same_cid, SAME_ID).otherwise(0.0))
     total = F.least(F.lit(1.0), TITLE * F.col("t") + AUTHORS * F.col("au") + YEAR * F.col("y") + boost)
@@ -146,24 +173,29 @@ def score_pairs(pairs: DataFrame, sequence: bool = True) -> DataFrame:
     )
 
 
-def group_pairs(pairs: DataFrame, a: str, b: str) -> DataFrame:
+def group_pairs(pairs: DataFrame, a: str, b: str, max_rounds: int = 64) -> DataFrame:
     """(member, group_id): members of groups of linked records; the least member names the group.
 
     Large stars and small stars in turn: each vertex hangs its larger neighbours, then its smaller
     ones, on its least neighbour, until the links form stars. Every round is written to the shared checkpoint folder.
     """
     e = materialize(pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    while True:
+    # the links are the same if their number and the sums of two hashes of them are
+    sign = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.hash("v", "u").cast("long"))).first())
+    before = sign(e)
+    for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.withColumnRenamed("m", "v"))
-        nxt = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        same = nxt.exceptAll(e).isEmpty() and e.exceptAll(nxt).isEmpty()
-        e = nxt
-        if same:
+        e = materialize(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), e)
+        now = sign(e)
+        if now == before:
             break
+        before = now
+    else:
+        raise RuntimeError(f"no stars after {max_rounds} rounds")
     return e.select(F.col("u").alias("member"), F.col("v").alias("group_id")).unionByName(e.select(F.col("v").alias("member"), F.col("v").alias("group_id"))).distinct()
 
 

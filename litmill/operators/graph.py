@@ -2,12 +2,12 @@
 
 Pair relations are quadratic in the degree of the node they share. A node of more than `hub` links
 is not expanded: its links are returned as they are, as rows of kind `hub`, from which every pair
-of it follows; pairs are made of the other nodes. No link is lost, and no task holds a hub.
+of it follows; pairs are made of the other nodes, and their weights count common hubs too. No link
+is lost, and no task holds a hub. Degrees and scores count the pairs that only hubs make as well.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -45,9 +45,34 @@ def _pairs(links: DataFrame, member: str, shared: str, hub: int) -> DataFrame:
     cool = marked.where(F.col("n") <= hub).select(F.col(shared).alias("s"), F.col(member).alias("m"))
     pairs = cool.toDF("s", "a").join(cool.toDF("s", "b"), "s").where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight"))
     hubs = marked.where(F.col("n") > hub).select(F.col(member).alias("a"), F.col(shared).alias("b"), F.col("n").alias("weight"))
+    both = _with_hubs(pairs, hubs.select(F.col("a").alias("node"), F.col("b").alias("hub")))
+    pairs = both.select("a", "b", (F.col("weight") + F.size(F.array_intersect("hubs_a", "hubs_b"))).alias("weight"))
     return pairs.withColumn("kind", F.lit("pair")).unionByName(hubs.withColumn("kind", F.lit("hub"))).select("kind", "a", "b", "weight")
 
 
+def _with_hubs(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the hubs of both ends; a node's hubs are no more than its own links."""
+    of = hubs.groupBy("node").agg(F.collect_set("hub").alias("hubs"))
+    none = F.array().cast(of.schema["hubs"].dataType)
+    for end in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("node").alias(end), F.col("hubs").alias(f"hubs_{end}")), end, "left").withColumn(f"hubs_{end}", F.coalesce(f"hubs_{end}", none))
+    return pairs
+
+
+def linked(pairs: DataFrame, hubs: DataFrame) -> DataFrame:
+    """(node, degree): how many others each node is paired with, in pairs (a, b) or by a hub of both (node, hub).
+
+    Nodes with the same hubs are counted as one kind; the kinds that share a hub with a kind give the
+    number of nodes that it reaches. So no pair of a hub is made, and none is counted twice.
+    """
+    own = _with_hubs(pairs.select("a", "b").distinct(), hubs).where(~F.arrays_overlap("hubs_a", "hubs_b")).select("a", "b")
+    sets = hubs.groupBy("node").agg(F.array_sort(F.collect_set("hub")).alias("hubs")).withColumn("kind", F.xxhash64("hubs"))
+    kinds = materialize(sets.groupBy("kind").agg(F.first("hubs").alias("hubs"), F.count("*").alias("n")))
+    at = lambda name, *more: kinds.select(F.col("kind").alias(name), F.explode("hubs").alias("hub"), *more)
+    reach = at("kind").join(at("other", "n"), "hub").select("kind", "other", "n").distinct().groupBy("kind").agg((F.sum("n") - 1).alias("degree"))
+    return degree(own).unionByName(sets.join(reach, "kind").select("node", "degree")).groupBy("node").agg(F.sum("degree").alias("degree")).where("degree > 0")
+
+
 def cocitation(edges: DataFrame, papers: DataFrame, hub: int = HUB) -> DataFrame:
     """(kind, a, b, weight): pairs of library papers cited by the same paper, and in how many papers."""
     return _pairs(in_library(edges, papers), "dst", "src", hub)
@@ -66,10 +91,35 @@ def coauthors(papers: DataFrame, hub: int = HUB) -> DataFrame:
 
 
 def combined(cit: DataFrame, coc: DataFrame, cou: DataFrame) -> DataFrame:
-    """(a, b, weight) of one undirected graph: citations weigh 1 each, the others by their softened counts."""
-    ends = cit.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1.0).alias("w"))
-    soft = lambda df, base, per: df.where("kind = 'pair'").select("a", "b", (base + F.least(F.lit(2.0), F.col("weight") * per)).alias("w"))
-    return ends.unionByName(soft(coc, 0.8, 0.15)).unionByName(soft(cou, 0.7, 0.12)).groupBy("a", "b").agg(F.round(F.sum("w"), 6).alias("weight"))
+    """(kind, a, b, weight) of one undirected graph: citations weigh 1 each, the others by their softened counts.
+
+    Rows of kind `pair` have the whole weight of a pair that a citation or an ordinary node makes.
+    Rows of kind `hub` are (member, hub), the hubs marked `cocitation:` or `coupling:`: two members
+    without a row of kind `pair` weigh what `soft_weight` gives for their common hubs of each mark.
+    """
+    marks = {"cocitation": coc, "coupling": cou}
+    hubs = [df.where("kind = 'hub'").select("a", F.concat(F.lit(f"{mark}:"), "b").alias("b"), F.lit(None).cast("double").alias("weight")) for mark, df in marks.items()]
+    hubs = hubs[0].unionByName(hubs[1])
+    ends = cit.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"), F.lit(1.0).alias("w"), F.lit("citation").alias("mark"))
+    for mark, df in marks.items():
+        ends = ends.unionByName(df.where("kind = 'pair'").select("a", "b", soft_weight(F.lit(mark), F.col("weight")).alias("w"), F.lit(mark).alias("mark")))
+    pairs = ends.groupBy("a", "b").agg(F.sum("w").alias("w"), F.collect_set("mark").alias("marks"))
+    # a relation that made no row for the pair may still join it by hubs
+    both = _with_hubs(pairs, hubs.select(F.col("a").alias("node"), F.col("b").alias("hub")))
+    common = F.array_intersect("hubs_a", "hubs_b")
+    for mark in marks:
+        n = F.size(F.filter(common, lambda h, mark=mark: h.startswith(f"{mark}:")))
+        both = both.withColumn("w", F.col("w") + F.when((n > 0) & ~F.array_contains("marks", mark), soft_weight(F.lit(mark), n)).otherwise(0.0))
+    return both.select(F.lit("pair").alias("kind"), "a", "b", F.round("w", 6).alias("weight")).unionByName(hubs.select(F.lit("hub").alias("kind"), "a", "b", "weight"))
+
+
+def soft_weight(mark: Column, count: Column) -> Column:
+    return F.when(mark == "cocitation", 0.8 + F.least(F.lit(2.0), count * 0.15)).otherwise(0.7 + F.least(F.lit(2.0), count * 0.12))
+
+
+def degrees(graph: DataFrame) -> DataFrame:
+    """(node, degree) of a combined graph, hubs included."""
+    return linked(graph.where("kind = 'pair'"), graph.where("kind = 'hub'").select(F.col("a").alias("node"), F.col("b").alias("hub")))
 
 
 def degree(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -79,10 +129,9 @@ def degree(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 def unread(papers: DataFrame, cit: DataFrame, coc: DataFrame, cou: DataFrame, k: int = 10) -> DataFrame:
     """The k papers outside the reading list with the most links."""
-    d = lambda df, name, *ends: degree(df, *ends).withColumnsRenamed({"node": "paper_id", "degree": name})
-    pair = "kind = 'pair'"
+    named = lambda df, name: df.withColumnsRenamed({"node": "paper_id", "degree": name})
     p = papers.where(~F.coalesce("in_reading_list", F.lit(False))).select("paper_id", "title")
-    for x in (d(cit, "citation_links", "src", "dst"), d(coc.where(pair), "cocitation_links"), d(cou.where(pair), "coupling_links")):
+    for x in (named(degree(cit, "src", "dst"), "citation_links"), named(degrees(coc), "cocitation_links"), named(degrees(cou), "coupling_links")):
         p = p.join(x, "paper_id", "left")
     p = p.fillna(0, ["citation_links", "cocitation_links", "coupling_links"])
     score = F.round(2.0 * F.col("citation_links") + 1.2 * F.col("cocitation_links") + 1.0 * F.col("coupling_links"), 3)
@@ -135,16 +184,23 @@ def centrality(graph: DataFrame, largest: int = 3000, block: int = BLOCK) -> Dat
     source nodes, which together cover all sources. Each task of a block holds its component's links,
     16 bytes a link as they are sent and some 60 in work; the time grows as nodes x links.
     """
-    g = materialize(graph.select("a", "b", "weight"))
+    g = materialize((graph.where("kind = 'pair'") if "kind" in graph.columns else graph).select("a", "b", "weight"))
     nodes = g.select(F.col("a").alias("node")).union(g.select(F.col("b"))).distinct()
     label = group_pairs(g, "a", "b")
     size = label.groupBy("group_id").agg(F.count("*").alias("size"))
     label = label.join(size, "group_id")
     total = nodes.agg(F.count("*").alias("total"))
-    small = g.join(label.where(F.col("size") <= largest).withColumnRenamed("member", "a"), "a").crossJoin(total)
+    small = g.where("a <> b").join(label.where(F.col("size") <= largest).withColumnRenamed("member", "a"), "a").crossJoin(total)
 
     def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_measure(pdf), columns=["node", "betweenness", "degree", "is_articulation", "path"])
+        nodes = np.unique(np.concatenate([pdf["a"], pdf["b"]]))
+        at = lambda c: np.searchsorted(nodes, pdf[c]).astype(np.int32)
+        out = _measured(_Links(len(nodes), at("a"), at("b"), pdf["weight"].to_numpy(float)), range(len(nodes)))
+        n, total = out[out["degree"].notna()], int(pdf["total"].iloc[0])
+        between = out.groupby("pos")["betweenness"].sum() / (max(total - 1, 1) * (total - 2) if total > 2 else 1)
+        name = lambda c: [None if pd.isna(k) else nodes[k] for k in n[c]]
+        path = [None if x is None else f"{x} -> {v} -> {y}" for x, v, y in zip(name("left"), name("pos"), name("right"))]
+        return pd.DataFrame({"node": name("pos"), "betweenness": between[n["pos"]].to_numpy(), "degree": n["degree"].astype(int), "is_articulation": n["is_articulation"].astype(bool), "path": path})
 
     exact = small.groupBy("group_id").applyInPandas(measure, BRIDGE)
     blocks = [(r["group_id"], k, min(r["size"], k + block)) for r in size.where(F.col("size") > largest).collect() for k in range(0, r["size"], block)]
@@ -187,47 +243,6 @@ def bridges(graph: DataFrame, k: int = 10, largest: int = 3000) -> DataFrame:
     return c.select("node", F.round(score, 4).alias("bridge_score"), F.round("betweenness", 4).alias("betweenness"), "degree", "is_articulation", "path").orderBy(F.desc("bridge_score"), "node").limit(k)
 
 
-def _measure(pdf: pd.DataFrame) -> Iterator[tuple]:
-    import heapq
-
-    near: dict[str, dict[str, float]] = defaultdict(dict)
-    for a, b, w in zip(pdf["a"], pdf["b"], pdf["weight"]):
-        near[a][b] = near[b][a] = float(w)
-    nodes = sorted(near)
-    total = int(pdf["total"].iloc[0])
-    between = dict.fromkeys(nodes, 0.0)
-    for s in nodes:  # shortest paths from s, then the shares of each node on them, farthest first
-        dist, seen, paths, before, order = {}, {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), []
-        heap = [(0.0, s, s)]
-        while heap:
-            d, p, v = heapq.heappop(heap)
-            if v in dist:
-                continue
-            paths[v] += paths[p] if v != s else 0.0
-            dist[v] = d
-            order.append(v)
-            for u, w in near[v].items():
-                alt = d + w
-                if u not in dist and (u not in seen or alt < seen[u] - 1e-12):
-                    seen[u] = alt
-                    heapq.heappush(heap, (alt, v, u))
-                    paths[u] = 0.0
-                    before[u] = [v]
-                elif u in seen and abs(alt - seen[u]) < 1e-12 and u not in dist:
-                    paths[u] += paths[v]
-                    before[u].append(v)
-        share = dict.fromkeys(order, 0.0)
-        for v in reversed(order):
-            for p in before[v]:
-                share[p] += paths[p] / paths[v] * (1 + share[v])
-            if v != s:
-                between[v] += share[v]
-    scale = 1.0 / ((total - 1) * (total - 2)) if total > 2 else 1.0
-    cut = cut_vertices(near)
-    for v in nodes:
-        yield v, between[v] * scale, len(near[v]), v in cut, _bridge_path(near, v) if len(near[v]) > 1 else None
-
-
 class _Links:
     """The links of a component as arrays: the neighbours of v are near[ptr[v]:ptr[v + 1]], in order."""
 
@@ -299,10 +314,15 @@ def _settled(x: np.ndarray, step: Callable[[np.ndarray], np.ndarray]) -> np.ndar
 
 
 def _measure_block(r) -> pd.DataFrame:
-    """The shares of all nodes from the sources of one block, and what else is known of those sources."""
     links = _Links(r.size, np.frombuffer(r.a, np.int32), np.frombuffer(r.b, np.int32), np.frombuffer(r.weight, np.float64))
-    mine = range(r.first, r.after)
-    between = np.zeros(r.size)
+    out = _measured(links, range(r.first, r.after))
+    out["group_id"] = r.group_id
+    return out[["group_id", "pos", "betweenness", "degree", "is_articulation", "left", "right"]]
+
+
+def _measured(links: _Links, mine: range) -> pd.DataFrame:
+    """The shares of all nodes from these sources, and in rows with a degree what else is known of the sources."""
+    between = np.zeros(len(links.degree))
     for s in mine:
         between += links.shares(s)
     cut = cut_vertices(links)
@@ -310,11 +330,10 @@ def _measure_block(r) -> pd.DataFrame:
     own = pd.DataFrame({"pos": mine, "betweenness": 0.0, "degree": links.degree[mine.start : mine.stop], "is_articulation": [v in cut for v in mine], "left": pd.array([x for x, _ in two], "Int32"), "right": pd.array([x for _, x in two], "Int32")})
     some = np.flatnonzero(between)
     out = pd.concat([own, pd.DataFrame({"pos": some, "betweenness": between[some]})])
-    out["group_id"], out["degree"], out["is_articulation"] = r.group_id, out["degree"].astype("Int32"), out["is_articulation"].astype("boolean")
-    return out[["group_id", "pos", "betweenness", "degree", "is_articulation", "left", "right"]]
+    return out.assign(degree=out["degree"].astype("Int32"), is_articulation=out["is_articulation"].astype("boolean"))
 
 
-def cut_vertices(near: dict[str, dict[str, float]] | _Links) -> set:
+def cut_vertices(near: _Links) -> set:
     """Nodes whose removal parts their component, by one depth-first search without recursion."""
     found, low, cut = {}, {}, set()
     for root in sorted(near):
@@ -344,17 +363,3 @@ def cut_vertices(near: dict[str, dict[str, float]] | _Links) -> set:
         if children > 1:
             cut.add(root)
     return cut
-
-
-def _bridge_path(near: dict[str, dict[str, float]], v: str) -> str:
-    """`A -> v -> B`: two neighbours that v alone joins, else its first two."""
-    around = sorted(near[v])
-    reached, queue = {around[0]}, deque([around[0]])
-    while queue:
-        x = queue.popleft()
-        for u in near[x]:
-            if u != v and u not in reached:
-                reached.add(u)
-                queue.append(u)
-    other = next((u for u in around[1:] if u not in reached), around[1])
-    return f"{around[0]} -> {v} -> {other}"

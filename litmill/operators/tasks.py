@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from litmill.functions.rules import STATUSES
+from litmill.operators.ordering import numbered
 
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -79,19 +79,20 @@ def due(watches: DataFrame, now: Column) -> DataFrame:
 
 
 def digest(due_: DataFrame, found: DataFrame) -> DataFrame:
-    """(id, digest): the text of a digest for each due watch from its new results (id, ord, title)."""
-    line = F.struct("ord", F.concat(F.lit("- "), F.coalesce("title", F.lit("Unknown"))).alias("line"))
-    lists = found.groupBy("id").agg(F.array_sort(F.collect_list(line)).alias("l"))
-    d = due_.join(lists, "id", "left")
-    head = F.concat(F.lit("## "), F.col("query"), F.lit(" ("), F.coalesce(F.size("l"), F.lit(0)).cast("string"), F.lit(" new)"))
-    return d.select("id", F.concat_ws("\n", head, F.array_join(F.transform("l", lambda s: s["line"]), "\n")).alias("digest"))
+    """(id, line_no, line): the digest of each due watch from its new results (id, ord, title), ord being unique within id.
+
+    Line 0 is the heading with the number of results; the results follow in the order of ord. A
+    watch may have any number of them: lines are numbered across tasks and never gathered.
+    """
+    mine = found.join(due_.select("id"), "id", "left_semi")
+    count = mine.groupBy("id").agg(F.count("*").alias("n"))
+    title = F.concat(F.lit("## "), F.col("query"), F.lit(" ("), F.coalesce("n", F.lit(0)).cast("string"), F.lit(" new)"))
+    heads = due_.join(count, "id", "left").select("id", F.lit(0).alias("line_no"), title.alias("line"))
+    lines = numbered(mine, "id", "ord", "line_no").select("id", "line_no", F.concat(F.lit("- "), F.coalesce("title", F.lit("Unknown"))).alias("line"))
+    return heads.unionByName(lines)
 
 
 def last_state(events: DataFrame, key: str, order: str) -> DataFrame:
     """The latest event of each task: the batch form of its state machine."""
     cols = [c for c in events.columns if c != key]
     return events.groupBy(key).agg(F.max_by(F.struct(*cols), F.col(order)).alias("s")).select(key, "s.*")
-
-
-def per_key_latest(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
-    return events.withColumn("rn", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).where(F.col("rn") <= n)

@@ -22,13 +22,14 @@ def result_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return dd.dedupe_results(r, "result_no").select("key", "result_no", "score", "first_ord")
 
 
-PAIR_KEYS = rf"""n AS (SELECT paper_id AS ord, {NORM_SQL.format('title')} AS norm, list_distinct({TOKENS.format('title')}) AS toks,
- list_distinct(list_filter(list_transform(coalesce(authors, []), lambda a: regexp_replace(lower(CASE WHEN contains(a, ',') THEN string_split(a, ',')[1] ELSE coalesce(list_filter(regexp_split_to_array({STRIP_SQL.format('a')}, '{WS}+'), lambda w: w <> '')[-1], '') END), '[^a-z0-9]', '', 'g')), lambda w: w <> '')) AS names,
+PAIR_KEYS = rf"""n AS (SELECT paper_id AS ord, {NORM_SQL.format('title')} AS norm, list_sort(list_distinct({TOKENS.format('title')})) AS toks,
+ list_sort(list_distinct(list_filter(list_transform(coalesce(authors, []), lambda a: regexp_replace(lower(CASE WHEN contains(a, ',') THEN string_split(a, ',')[1] ELSE coalesce(list_filter(regexp_split_to_array({STRIP_SQL.format('a')}, '{WS}+'), lambda w: w <> '')[-1], '') END), '[^a-z0-9]', '', 'g')), lambda w: w <> ''))) AS names,
  {YEAR_SQL.format('published')} AS year, lower({STRIP_SQL.format("coalesce(doi, '')")}) AS doi, coalesce(canonical_id, '') AS cid FROM papers WHERE {NORM_SQL.format('title')} <> '')"""
-SCORED = f"""c AS (SELECT a.ord AS paper_a, b.ord AS paper_b, a.toks AS ta, b.toks AS tb, a.names AS na, b.names AS nb, a.year AS ya, b.year AS yb, a.doi AS da, b.doi AS db, a.cid AS ca, b.cid AS cb
- FROM n a JOIN n b ON a.ord < b.ord AND (a.doi = b.doi AND a.doi <> '' OR left(a.norm, 1) = left(b.norm, 1))),
+SCORED = f"""r AS (SELECT min(ord) AS ord, norm, toks, names, year, doi, cid FROM n GROUP BY norm, toks, names, year, doi, cid),
+ c AS (SELECT a.ord AS paper_a, b.ord AS paper_b, a.toks AS ta, b.toks AS tb, a.names AS na, b.names AS nb, a.year AS ya, b.year AS yb, a.doi AS da, b.doi AS db, a.cid AS ca, b.cid AS cb
+ FROM r a JOIN r b ON a.ord < b.ord AND (a.doi = b.doi AND a.doi NOT IN ('', 'unknown', 'none', 'null', 'n/a', 'na', '-') OR left(a.norm, 1) = left(b.norm, 1))),
  t AS (SELECT *, CASE WHEN len(ta) > 0 AND len(tb) > 0 THEN len(list_intersect(ta, tb)) / (len(ta) + len(tb) - len(list_intersect(ta, tb))) ELSE 0.0 END AS t, CASE WHEN len(na) > 0 AND len(nb) > 0 THEN len(list_intersect(na, nb)) / (len(na) + len(nb) - len(list_intersect(na, nb))) ELSE 0.0 END AS au,
-  CASE WHEN ya > 0 AND yb > 0 THEN CASE abs(ya - yb) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END ELSE 0.0 END AS y, da <> '' AND da = db AND da NOT IN ('unknown', 'none') AS sd, ca <> '' AND ca = cb AS sc FROM c),
+  CASE WHEN ya > 0 AND yb > 0 THEN CASE abs(ya - yb) WHEN 0 THEN 1.0 WHEN 1 THEN 0.7 WHEN 2 THEN 0.4 ELSE 0.0 END ELSE 0.0 END AS y, da <> '' AND da = db AND da NOT IN ('unknown', 'none', 'null', 'n/a', 'na', '-') AS sd, ca <> '' AND ca = cb AS sc FROM c),
  s AS (SELECT *, least(1.0, 0.65 * t + 0.25 * au + 0.10 * y + greatest(CASE WHEN sd THEN 0.25 ELSE 0.0 END, CASE WHEN sc THEN 0.30 ELSE 0.0 END)) AS total FROM t)"""
 
 
@@ -39,18 +40,24 @@ SELECT paper_a, paper_b, round(t, 4) AS title_similarity, round(au, 4) AS author
 FROM s WHERE total >= 0.84
 """)
 def dup_pairs_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs scored without the sequence ratio, at the threshold of the duplicate scan."""
-    pairs = dd.candidate_pairs(dd.pair_keys(papers(spark, d), "paper_id"), 0.84)
+    """Pairs of class representatives scored without the sequence ratio, at the threshold of the duplicate scan."""
+    pairs = dd.candidate_pairs(dd.representatives(dd.pair_keys(papers(spark, d), "paper_id")), 0.84)
     return dd.score_pairs(pairs, sequence=False).where("combined_score >= 0.84")
 
 
 @query()
 def dup_pairs_full(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs scored with the sequence ratio too, at the threshold of the duplicate scan."""
-    pairs = dd.full_pairs(dd.pair_keys(papers(spark, d), "paper_id"), 0.84)
+    """Pairs of class representatives scored with the sequence ratio too, at the threshold of the duplicate scan."""
+    pairs = dd.full_pairs(dd.representatives(dd.pair_keys(papers(spark, d), "paper_id")), 0.84)
     return dd.score_pairs(pairs).where("combined_score >= 0.84")
 
 
+@query(sql=f"WITH {PAIR_KEYS} SELECT ord AS paper_id, min(ord) OVER (PARTITION BY norm, toks, names, year, doi, cid) AS class_id FROM n")
+def dup_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each record with a title: records alike in all that pairs are judged by."""
+    return dd.duplicate_classes(dd.pair_keys(papers(spark, d), "paper_id")).select(F.col("ord").alias("paper_id"), "class_id")
+
+
 GROUPS = """e AS (SELECT DISTINCT paper_a AS a, paper_b AS b FROM duplicate_pairs WHERE paper_a IS NOT NULL AND paper_b IS NOT NULL AND paper_a <> paper_b),
 u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT DISTINCT a AS member, a AS reach FROM u UNION SELECT r.member, u.b FROM r JOIN u ON r.reach = u.a),
 g AS (SELECT member, min(reach) AS group_id FROM r GROUP BY member)"""

@@ -20,7 +20,8 @@ CIT = "cit AS (SELECT DISTINCT src, dst FROM citation_edges WHERE src IS NOT NUL
 
 def pairs_sql(name: str, links: str, member: str, shared: str) -> str:
     return f"""{name}_d AS (SELECT {shared} AS s, count(*) AS n FROM {links} GROUP BY 1), {name}_m AS (SELECT l.{shared} AS s, l.{member} AS m, n FROM {links} l JOIN {name}_d ON s = l.{shared}),
- {name} AS (SELECT 'pair' AS kind, x.m AS a, y.m AS b, count(*) AS weight FROM {name}_m x JOIN {name}_m y ON x.s = y.s AND x.m < y.m WHERE x.n <= {gr.HUB} AND y.n <= {gr.HUB} GROUP BY ALL UNION ALL SELECT 'hub', m, s, n FROM {name}_m WHERE n > {gr.HUB})"""
+ {name}_p AS (SELECT x.m AS a, y.m AS b, count(*) AS weight, count(*) FILTER (x.n <= {gr.HUB}) AS cool FROM {name}_m x JOIN {name}_m y ON x.s = y.s AND x.m < y.m GROUP BY ALL),
+ {name} AS (SELECT 'pair' AS kind, a, b, weight FROM {name}_p WHERE cool > 0 UNION ALL SELECT 'hub', m, s, n FROM {name}_m WHERE n > {gr.HUB})"""
 
 
 COC, COU = pairs_sql("coc", "inl", "dst", "src"), pairs_sql("cou", "own", "src", "dst")
@@ -51,8 +52,9 @@ def coauthor(spark: SparkSession, d: str) -> DataFrame:
     return gr.coauthors(papers(spark, d))
 
 
-COMBINED = """comb AS (SELECT a, b, round(sum(w), 6)::DOUBLE AS weight FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, 1.0::DOUBLE AS w FROM inl WHERE src <> dst
- UNION ALL SELECT a, b, 0.8 + least(2.0, weight * 0.15)::DOUBLE FROM coc WHERE kind = 'pair' UNION ALL SELECT a, b, 0.7 + least(2.0, weight * 0.12)::DOUBLE FROM cou WHERE kind = 'pair') GROUP BY ALL)"""
+# all pairs, those that only hubs make too
+COMBINED = """comb AS (SELECT a, b, round(sum(w), 6)::DOUBLE AS weight, max(plain) AS plain FROM (SELECT least(src, dst) AS a, greatest(src, dst) AS b, 1.0::DOUBLE AS w, 1 AS plain FROM inl WHERE src <> dst
+ UNION ALL SELECT a, b, 0.8 + least(2.0, weight * 0.15)::DOUBLE, (cool > 0)::INT FROM coc_p UNION ALL SELECT a, b, 0.7 + least(2.0, weight * 0.12)::DOUBLE, (cool > 0)::INT FROM cou_p) GROUP BY ALL)"""
 
 
 def combined(spark: SparkSession, d: str) -> DataFrame:
@@ -60,20 +62,20 @@ def combined(spark: SparkSession, d: str) -> DataFrame:
     return gr.combined(gr.in_library(e, p), gr.cocitation(e, p), gr.coupling(e, p))
 
 
-@query(sql=f"WITH {CIT}, {COC}, {COU}, {COMBINED} SELECT * FROM comb")
+@query(sql=f"WITH {CIT}, {COC}, {COU}, {COMBINED} SELECT 'pair' AS kind, a, b, weight FROM comb WHERE plain = 1 UNION ALL SELECT 'hub', a, 'cocitation:' || b, NULL FROM coc WHERE kind = 'hub' UNION ALL SELECT 'hub', a, 'coupling:' || b, NULL FROM cou WHERE kind = 'hub'")
 def combined_graph(spark: SparkSession, d: str) -> DataFrame:
     return combined(spark, d)
 
 
 @query(sql=f"WITH {CIT}, {COC}, {COU}, {COMBINED} SELECT node, count(*) AS degree FROM (SELECT a AS node FROM comb UNION ALL SELECT b FROM comb) GROUP BY 1")
 def degrees(spark: SparkSession, d: str) -> DataFrame:
-    return gr.degree(combined(spark, d))
+    return gr.degrees(combined(spark, d))
 
 
 @query(sql=f"""WITH {CIT}, {COC}, {COU},
  dc AS (SELECT node, count(*) AS n FROM (SELECT src AS node FROM inl UNION ALL SELECT dst FROM inl) GROUP BY 1),
- d1 AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM coc WHERE kind = 'pair' UNION ALL SELECT b FROM coc WHERE kind = 'pair') GROUP BY 1),
- d2 AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM cou WHERE kind = 'pair' UNION ALL SELECT b FROM cou WHERE kind = 'pair') GROUP BY 1)
+ d1 AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM coc_p UNION ALL SELECT b FROM coc_p) GROUP BY 1),
+ d2 AS (SELECT node, count(*) AS n FROM (SELECT a AS node FROM cou_p UNION ALL SELECT b FROM cou_p) GROUP BY 1)
 SELECT paper_id, title, coalesce(dc.n, 0) AS citation_links, coalesce(d1.n, 0) AS cocitation_links, coalesce(d2.n, 0) AS coupling_links,
  round((2.0 * coalesce(dc.n, 0) + 1.2 * coalesce(d1.n, 0) + 1.0 * coalesce(d2.n, 0))::DOUBLE, 3) AS score
 FROM papers LEFT JOIN dc ON dc.node = paper_id LEFT JOIN d1 ON d1.node = paper_id LEFT JOIN d2 ON d2.node = paper_id WHERE NOT coalesce(in_reading_list, false) ORDER BY score DESC, paper_id LIMIT 10""")

@@ -11,7 +11,7 @@ from litmill.operators import layout
 from litmill.plans.catalog import query
 from litmill.plans.library_queries import MISSING_SQL, STRIP_SQL, YEAR_SQL, papers
 from litmill.session import spread, table
-from litmill.sources.responses import abstract_of
+from litmill.sources.responses import abstract_of, similar_titles
 
 WS = r"[ \t\n\v\f\r]"
 TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9]+')"
@@ -163,16 +163,19 @@ def title_verify(spark: SparkSession, d: str) -> DataFrame:
     return p.select("paper_id", tx.title_in_text(F.col("title"), F.col("documents")).alias("verified"))
 
 
+TITLE_WORDS = f"list_distinct(list_filter({TOKENS}, lambda t: length(t) > 2 AND NOT regexp_matches(t, '^[0-9]+$')))"
+
+
 @query(sql=rf"""
-WITH r AS (SELECT result_no, list_distinct(list_filter({TOKENS.format('title')}, lambda t: length(t) > 2 AND NOT regexp_matches(t, '^[0-9]+$'))) AS a, title FROM resolved WHERE found),
-p AS (SELECT DISTINCT title AS pt, list_distinct(list_filter({TOKENS.format('title')}, lambda t: length(t) > 2 AND NOT regexp_matches(t, '^[0-9]+$'))) AS b FROM papers WHERE title IS NOT NULL),
-j AS (SELECT result_no, pt, len(list_intersect(a, b)) AS c, len(a) AS la, len(b) AS lb FROM r JOIN p ON substr(r.title, 1, 12) = substr(pt, 1, 12))
-SELECT result_no, count(*) AS similar_titles FROM j WHERE la > 0 AND lb > 0 AND (c / (la + lb - c) >= 0.2 OR c / least(la, lb) >= 0.8) GROUP BY 1
+WITH r AS (SELECT result_no, {TITLE_WORDS.format('title')} AS a FROM resolved WHERE found AND result_no % 100 = 0), p AS (SELECT DISTINCT title AS pt, {TITLE_WORDS.format('title')} AS b FROM papers WHERE title IS NOT NULL),
+j AS (SELECT result_no, pt, len(list_intersect(a, b)) AS c, len(a) AS la, len(b) AS lb FROM r JOIN p ON len(list_intersect(a, b)) > 0)
+SELECT result_no, count(*) AS similar_titles FROM j WHERE c / (la + lb - c) >= 0.2 OR c / least(la, lb) >= 0.8 GROUP BY 1
 """)
 def title_similar(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "resolved").where("found").select("result_no", "title", F.substring("title", 1, 12).alias("k"))
-    p = papers(spark, d).where("title is not null").select(F.col("title").alias("pt"), F.substring("title", 1, 12).alias("k")).distinct()
-    return r.join(p, "k").where(tx.titles_similar(F.col("title"), F.col("pt"))).groupBy("result_no").agg(F.count("*").alias("similar_titles"))
+    """How many of all titles are similar to each answer with a number divisible by 100."""
+    q = table(spark, d, "resolved").where("found and result_no % 100 = 0").select(F.col("result_no").alias("query_id"), F.col("title").alias("text"))
+    t = papers(spark, d).where("title is not null").select(F.col("title").alias("title_id"), F.col("title").alias("text")).distinct()
+    return similar_titles(q, t).groupBy(F.col("query_id").alias("result_no")).agg(F.count("*").alias("similar_titles"))
 
 
 @query(sql=rf"""

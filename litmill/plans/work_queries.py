@@ -17,8 +17,8 @@ from litmill.operators import library as lib
 from litmill.operators import tasks as tk
 from litmill.plans.catalog import query
 from litmill.plans.library_queries import FLAG_SQL, STRIP_SQL, TAGS_SQL, YEAR_SQL, papers
-from litmill.plans.text_queries import COLLAPSE, WS
-from litmill.session import shared_dir, table
+from litmill.plans.text_queries import COLLAPSE, TITLE_WORDS, WS
+from litmill.session import scratch, table
 from litmill.sources import responses as rs
 from litmill.streaming import streams as st
 
@@ -109,11 +109,12 @@ def due_watches(spark: SparkSession, d: str) -> DataFrame:
 
 @query(sql=f"""
 WITH w AS (SELECT user_id AS id, max(ts)::TIMESTAMP AS last_run FROM events GROUP BY 1), due AS (SELECT id FROM w WHERE id % 5 <> 0 AND last_run + CASE WHEN id % 2 = 0 THEN INTERVAL 1 DAY ELSE INTERVAL 7 DAY END <= {NOW}),
-f AS (SELECT event_id % 50 AS id, event_id, event_type FROM events WHERE event_id < 500)
-SELECT due.id, '## user ' || due.id || ' (' || count(f.event_id) || ' new)' || chr(10) || coalesce(string_agg('- ' || event_type, chr(10) ORDER BY event_id), '') AS digest FROM due LEFT JOIN f USING (id) GROUP BY due.id
-""".replace("|| chr(10) || coalesce(string_agg('- ' || event_type, chr(10) ORDER BY event_id), '')", "|| coalesce(chr(10) || string_agg('- ' || event_type, chr(10) ORDER BY event_id), '')"))
+f AS (SELECT user_id AS id, event_id, event_type FROM events)
+SELECT id, 0 AS line_no, '## user ' || id || ' (' || (SELECT count(*) FROM f WHERE f.id = due.id) || ' new)' AS line FROM due
+UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY event_id)::INTEGER, '- ' || event_type FROM f WHERE id IN (SELECT id FROM due)
+""")
 def watch_digests(spark: SparkSession, d: str) -> DataFrame:
-    found = table(spark, d, "events").where("event_id < 500").select((F.col("event_id") % 50).alias("id"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"))
+    found = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("ord"), F.col("event_type").alias("title"))
     return tk.digest(tk.due(watches(spark, d), F.expr(NOW)), found)
 
 
@@ -230,14 +231,22 @@ def arxiv_queries(spark: SparkSession, d: str) -> DataFrame:
     return r.select("result_no", rs.arxiv_query(F.col("title"), F.array("source"), begin, F.lit("2026-01-01").cast("date")).alias("q"))
 
 
-@query()
+RESOLVED = f"concat_ws(' ', title, array_to_string(authors, ' '))"
+
+
+@query(sql=f"""
+WITH q AS (SELECT paper_id AS query_id, {TITLE_WORDS.format('title')} AS a FROM papers WHERE title IS NOT NULL AND substr(paper_id, 2)::BIGINT % 100 = 0),
+r AS (SELECT result_no AS ord, source, title, doi, {TITLE_WORDS.format(RESOLVED)} AS b FROM resolved WHERE found),
+j AS (SELECT q.query_id, r.*, len(list_intersect(a, b)) AS c, len(a) AS la, len(b) AS lb FROM q JOIN r ON len(list_intersect(a, b)) > 0),
+m AS (SELECT j.*, coalesce(-trust, 0) AS rank FROM j LEFT JOIN paper_sources s ON s.source = j.source WHERE c / (la + lb - c) >= 0.2 OR c / least(la, lb) >= 0.8)
+SELECT query_id, source, title, doi FROM m QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank, ord) = 1
+""")
 def resolver_cascade(spark: SparkSession, d: str) -> DataFrame:
-    """Each papers title resolved by the answers that share its beginning, the sources in order of trust."""
-    trust = {r["source"]: -r["trust"] for r in table(spark, d, "paper_sources").collect()}
-    wanted = papers(spark, d).where("title is not null").select(F.col("paper_id").alias("pid"), F.col("title").alias("query"), F.lower(F.substring("title", 1, 16)).alias("k"))
-    found = table(spark, d, "resolved").where("found").select("source", F.col("result_no").alias("ord"), "title", "authors", "doi", F.lower(F.substring("title", 1, 16)).alias("k"))
-    j = wanted.join(found, "k").withColumn("query_id", F.col("pid"))
-    return rs.resolve(j.select("query_id", "query").distinct(), j.select("query_id", "source", "ord", "title", "authors", "doi"), trust)
+    """The titles of the papers with an id divisible by 100, each resolved by all answers, the sources in order of trust."""
+    trust = table(spark, d, "paper_sources").select("source", (-F.col("trust")).alias("priority"))
+    wanted = papers(spark, d).where("title is not null and cast(substring(paper_id, 2) as bigint) % 100 = 0").select(F.col("paper_id").alias("query_id"), F.col("title").alias("query"))
+    found = table(spark, d, "resolved").where("found").select(F.col("result_no").alias("ord"), "source", "title", "authors", "doi").join(trust, "source", "left").fillna({"priority": 0})
+    return rs.resolve_titles(wanted, found)
 
 
 @query()
@@ -271,7 +280,7 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 def _finished(spark: SparkSession, stream: DataFrame, mode: str) -> DataFrame:
     """The stream run to its end into a table of the shared folder."""
-    out = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    out = f"{scratch(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").outputMode("append").trigger(availableNow=True).start()
         q.awaitTermination()

@@ -57,10 +57,19 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint in the shared folder: cuts the lineage and survives the loss of executors."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
+        sc.setCheckpointDir(scratch(df.sparkSession))
     return df.checkpoint(eager)
 
 
+def scratch(spark: SparkSession) -> str:
+    """The application's own folder within the shared one; it is deleted when the application ends."""
+    base = f"{shared_dir(spark)}/litmill-{spark.sparkContext.applicationId}"
+    if base not in _cleaned:
+        _cleaned.add(base)
+        atexit.register(_delete, spark, base)
+    return base
+
+
 def materialize(df: DataFrame, *stale: DataFrame) -> DataFrame:
     """As checkpoint, as a compressed table that later reads take only the needed columns of.
 
@@ -69,11 +78,7 @@ def materialize(df: DataFrame, *stale: DataFrame) -> DataFrame:
     written; the rest are when the application ends.
     """
     spark = df.sparkSession
-    base = f"{shared_dir(spark)}/litmill-{spark.sparkContext.applicationId}"
-    path = f"{base}/{uuid.uuid4().hex}"
-    if base not in _cleaned:
-        _cleaned.add(base)
-        atexit.register(_delete, spark, base)
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     for old in stale:
         if at := getattr(old, "_litmill_path", None):

@@ -82,12 +82,23 @@ def test_a_hub_keeps_its_links_without_pairs(spark):
     papers = spark.createDataFrame([(f"p{k}",) for k in range(6)], "paper_id string")
     e = spark.createDataFrame([(f"p{k}", "hub") for k in range(5)] + [("p0", "r"), ("p1", "r"), (None, "r")], "src string, dst string")
     rows = gr.coupling(e, papers, hub=4).collect()
-    assert [(r.a, r.b, r.weight) for r in rows if r.kind == "pair"] == [("p0", "p1", 1)]
+    assert [(r.a, r.b, r.weight) for r in rows if r.kind == "pair"] == [("p0", "p1", 2)]  # the common hub counts too
     assert sorted(r.a for r in rows if r.kind == "hub") == [f"p{k}" for k in range(5)]
+    assert {r.node: r.degree for r in gr.degrees(gr.coupling(e, papers, hub=4)).collect()} == {f"p{k}": 4 for k in range(5)}
     full = gr.coupling(e, papers, hub=10).where(F.col("kind") == "pair")
     assert full.count() == 10
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 12), st.integers(0, 6)), min_size=1, max_size=40))
+def test_degrees_do_not_depend_on_what_counts_as_a_hub(spark, links):
+    papers = spark.createDataFrame([(f"p{k:02}",) for k in range(13)], "paper_id string")
+    e = spark.createDataFrame([(f"p{a:02}", f"x{b}") for a, b in links], "src string, dst string")
+    rows = lambda hub: {r.node: r.degree for r in gr.degrees(gr.coupling(e, papers, hub)).collect()}
+    graph = lambda hub: gr.degrees(gr.combined(e.limit(0), gr.cocitation(e, papers, hub), gr.coupling(e, papers, hub)))
+    assert rows(1) == rows(3) == rows(100) == {r.node: r.degree for r in graph(2).collect()}
+
+
 def test_search_results_dedupe(spark):
     rows = [(1, "A", "10.1/X", "2020", "", None), (2, "a", "10.1/x ", "Unknown", "s" * 300, "u"), (3, "T!", None, None, None, None), (4, "t", "", "2020", None, None), (5, "t", "", "2021", None, None)]
     r = dd.dedupe_results(spark.createDataFrame(rows, "ord int, title string, doi string, published string, summary string, pdf_url string"), "ord").collect()

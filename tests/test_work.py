@@ -38,7 +38,8 @@ def test_watches(spark):
     due = tk.due(n, F.expr("TIMESTAMP '2024-01-01'"))
     assert [r.id for r in due.collect()] == ["1"]
     found = spark.createDataFrame([("1", 1, "A"), ("1", 2, None)], "id string, ord int, title string")
-    assert tk.digest(due, found).first().digest == "## q (2 new)\n- A\n- Unknown"
+    assert [r.line for r in tk.digest(due, found).orderBy("id", "line_no").collect()] == ["## q (2 new)", "- A", "- Unknown"]
+    assert [r.line for r in tk.digest(due, found.limit(0)).collect()] == ["## q (0 new)"]
 
 
 def test_novelty(spark):
