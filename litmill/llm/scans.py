@@ -1,11 +1,12 @@
 """Noise in text from scanned pages: find it line by line, and repair the text into paragraphs.
 
 Words of the whole corpus are counted into a frequency lexicon. Its words are indexed by symmetric
-deletes of their folded form, in which characters that scanners confuse are one. A word of a
-scanned page that is rare, but near an index word that is far more frequent, gets the candidates
-whose weighted edit distance - confusion pairs cost little - is small; where several remain, the
-counts of word pairs with the neighbours pick one. Page numbers, running headers and words cut at
-line ends are told by their form and by the lexicon.
+deletes of their folded form, in which characters that scanners confuse are one, and the words of
+scanned pages meet them there: a word that is near one far more frequent gets the candidates whose
+weighted edit distance - confusion pairs cost little - is small. Index and search are joins over
+distinct words, so no lexicon has to fit anywhere. Where several candidates remain, or the word as
+read occurs elsewhere too, the counts of word pairs with the neighbours pick one. Page numbers and
+running headers are told by their form and by where they stand, words cut at line ends by the counts.
 """
 
 from __future__ import annotations
@@ -18,12 +19,17 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
-from litmill.session import checkpoint, distinct_names
+from litmill.session import distinct_names, materialize, sized, spread
 
-#: The lexicon holds words that are at least this share of all words, so at most 200,000 of them.
-LEAST_SHARE = 5e-6
+#: What is known of up to so many words goes to all tasks at once; of more, to each text what it needs.
+SHARED_WORDS = 300_000
+#: A cut word counts as known, with its hyphen or without, from so many occurrences.
 LEAST_COUNT = 3
+#: A pair of words that was seen so often may speak for a word as it was read.
+LEAST_PAIRS = 3
 #: A candidate has to be this many times as frequent as what was read.
 RATIO = 20
 CONFUSION, EDIT, MOST = 0.3, 1.0, 0.65
@@ -34,8 +40,8 @@ CONFUSIONS = (
     ("c", "e"), ("f", "t"), ("b", "h"), ("ii", "u"), ("rn", "m"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("l", "i"), ("n", "u"), ("o", "c"),
 )
 
-#: No running header is longer, nor has a longer word.
-LONGEST_TITLE, LONGEST_WORD = 150, 30
+#: A running header stands on one printed line, and what is longer than a printed word is none.
+LINE, WORD = 150, 60
 
 HYPHENS = "-­¬‐‑"
 _CORE = re.compile(r"[^\W_](?:[\w!|$\-]*[^\W_])?|[!|$1](?=[^\W\d_])[\w!|$\-]*[^\W_]", re.U)
@@ -87,38 +93,50 @@ def weighted_distance(read: str, meant: str) -> float:
 
 
 class Lexicon:
-    """Frequent words with the symmetric-delete index of their folded forms."""
+    """What is known of words (in small letters): their counts, and the candidates for which they may be misread."""
 
-    def __init__(self, counts: dict[str, int]):
-        self.counts = counts
-        self.index: dict[str, list[str]] = {}
-        for w in counts:
-            for d in dict.fromkeys(_deletes(fold(w))):
-                self.index.setdefault(d, []).append(w)
-        self.seen: dict[str, list[str]] = {}
+    def __init__(self, known: dict[str, tuple[int, list[str]]]):
+        self.known = known
+
+    def count(self, word: str) -> int:
+        return self.known.get(word, (0, ()))[0]
+
+    def joined(self, word: str) -> int:
+        """The count of a form of a cut word, 0 if it is too rare to tell."""
+        n = self.count(word)
+        return n if n >= LEAST_COUNT else 0
+
+    def candidates(self, word: str) -> list[str]:
+        """Words, best first, for which `word` was misread; none if it looks well read."""
+        return self.known.get(word, (0, []))[1]
+
+    def note(self, *words: str) -> None:
+        pass
+
+
+class Asked(Lexicon):
+    """Knows nothing and remembers what it was asked."""
+
+    def __init__(self):
+        super().__init__({})
+        self.words: set[str] = set()
+        self.cut: set[str] = set()
+
+    def joined(self, word: str) -> int:
+        self.cut.add(word)
+        return 0
 
     def candidates(self, word: str) -> list[str]:
-        """Words, best first, for which `word` (small letters) was misread; none if it looks well read."""
-        got = self.seen.get(word)
-        if got is None:
-            if len(self.seen) > 300_000:
-                self.seen.clear()
-            got = self.seen[word] = self._candidates(word)
-        return got
-
-    def _candidates(self, word: str) -> list[str]:
-        own = self.counts.get(word, 0)
-        strange = not _LETTERS.fullmatch(word)
-        letters = sum(c.isalpha() for c in word)
-        if letters < 2 or letters * 2 < len(word) or len(word) > 60 or (len(word) < 3 and not strange):
-            return []
-        found = {w for d in _deletes(fold(word)) for w in self.index.get(d, ()) if w != word and abs(len(w) - len(word)) <= 2}
-        scored = []
-        for w in found:
-            d = weighted_distance(word, w)
-            if d <= MOST and self.counts[w] >= RATIO * own and (strange or len(word) > 2):
-                scored.append((d, -self.counts[w], w))
-        return [w for d, _, w in sorted(scored) if d <= min(scored)[0] + 0.05]
+        self.words.add(word)
+        return []
+
+    def note(self, *words: str) -> None:
+        self.words.update(words)
+
+
+def could_be_misread(word: str) -> bool:
+    letters = sum(c.isalpha() for c in word)
+    return letters >= 2 and letters * 2 >= len(word) and len(word) <= WORD and (len(word) > 2 or not _LETTERS.fullmatch(word))
 
 
 def is_page_number(line: str) -> bool:
@@ -130,9 +148,12 @@ def is_page_number(line: str) -> bool:
 
 
 def is_running_title(line: str) -> bool:
-    """A line in the form of a running header: a title in capitals or capitalised words, perhaps with its page number."""
+    """A line in the form of a running header: a title in capitals or capitalised words, perhaps with its page number.
+
+    Headings of sections may have that form too; `_undo_headings` tells them apart.
+    """
     t = line.strip(" \t\f\r")
-    if len(t) > LONGEST_TITLE or max(map(len, t.split()), default=0) > LONGEST_WORD:
+    if len(t) > LINE:
         return False
     m = _NUMBERED.match(t)
     if m:
@@ -162,6 +183,7 @@ def analyse(text: str, lexicon: Lexicon) -> tuple[list[tuple[int, str]], list[tu
     lines = text.split("\n")
     kinds: list[str | None] = ["page_number" if is_page_number(x) else "header" if x.strip() and is_running_title(x) else None for x in lines]
     _undo_text_lines(lines, kinds)
+    _undo_headings(lines, kinds)
     noise = [(k, kind) for k, kind in enumerate(kinds) if kind]
     running = [k for k, kind in enumerate(kinds) if not kind and lines[k].strip()]
     words: list[tuple[int, int, str]] = []
@@ -201,6 +223,25 @@ def _undo_text_lines(lines: list[str], kinds: list[str | None]) -> None:
                 kinds[k] = None
 
 
+def _undo_headings(lines: list[str], kinds: list[str | None]) -> None:
+    """A line in the form of a header is one only if it has a page number or stands beside one, recurs in the text, or stands inside a sentence."""
+    bare = {k: fold(re.sub(r"[\W\d_]+", "", lines[k].lower())) for k, kind in enumerate(kinds) if kind == "header"}
+    often = Counter(bare.values())
+    full = [k for k, x in enumerate(lines) if x.strip()]
+    place = {k: n for n, k in enumerate(full)}
+    ends, last = {}, ""
+    for k in full:  # the last line of text before each line
+        ends[k] = last
+        if not kinds[k]:
+            last = lines[k].rstrip()
+    for k, x in bare.items():
+        n = place[k]
+        beside = any(kinds[full[j]] == "page_number" for j in (n - 1, n + 1) if 0 <= j < len(full))
+        inside = ends[k] and ends[k][-1] not in ".!?:" and any(not kinds[j] for j in full[n + 1 :])
+        if not (beside or inside or often[x] > 1 or _NUMBERED.match(lines[k].strip(" \t\f\r"))):
+            kinds[k] = None
+
+
 def _own_hyphen(left: str, right: str, lexicon: Lexicon) -> bool:
     """Whether a word cut behind a hyphen has that hyphen of its own."""
     if left[-1] != "-":
@@ -209,7 +250,7 @@ def _own_hyphen(left: str, right: str, lexicon: Lexicon) -> bool:
     if not a or not b:
         return True
     a, b = a[-1], b[0]
-    whole, joined = lexicon.counts.get(f"{a}-{b}", 0), lexicon.counts.get(a + b, 0)
+    whole, joined = lexicon.joined(f"{a}-{b}"), lexicon.joined(a + b)
     if whole or joined:
         return whole > joined
     fixed = lexicon.candidates(f"{a}-{b}")
@@ -220,7 +261,9 @@ def _join(first: tuple[int, int, str], second: tuple[int, int, str], lexicon: Le
     """Judges a word cut at a line end as a whole; what is misread belongs to the line it stands on."""
     k, no, left = first
     own = _own_hyphen(left, second[2], lexicon)
-    m = _CORE.search((left if own else left[:-1]) + second[2])
+    forms = [_CORE.search(x + second[2]) for x in (left[:-1], left)]
+    lexicon.note(*(f[0].lower() for f in forms if f))
+    m = forms[own]
     if not m:
         return
     got = lexicon.candidates(m[0].lower())
@@ -231,58 +274,186 @@ def _join(first: tuple[int, int, str], second: tuple[int, int, str], lexicon: Le
     misread.append((k, no, m[0], got) if same < cut else (*second[:2], m[0], got))
 
 
-def _scanned(papers: DataFrame, key: str, text: str, ocr: str) -> DataFrame:
+def _prepared(papers: DataFrame, key: str, text: str, ocr: str) -> DataFrame:
+    """(k, t, scanned) of the texts that are not empty."""
     d = distinct_names(papers, key, text, ocr).where(F.length(text) > 0)
-    return d.where(F.coalesce(F.col(ocr), F.lit(1)) != 0).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    return d.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.coalesce(F.col(ocr), F.lit(1)) != 0).alias("scanned"))
 
 
-def corpus_lexicon(texts: DataFrame) -> dict[str, int]:
-    """Counts of the frequent words in the single text column, over all rows."""
+def vocabulary(texts: DataFrame) -> DataFrame:
+    """(w, n, asked): all words of the texts (k, t, scanned) with their counts, and whether scanned texts ask about them: 1 as words, 2 as forms of cut words, 3 as both."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c: Counter = Counter()
+        def out() -> pa.RecordBatch:
+            ws = list(c.keys() | asked.words | asked.cut)
+            return pa.RecordBatch.from_arrays([pa.array(ws, pa.string()), pa.array([c[w] for w in ws], pa.int64()), pa.array([(w in asked.words) + 2 * (w in asked.cut) for w in ws], pa.int32())], names=["w", "n", "asked"])
+
+        c, asked = Counter(), Asked()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                if t:
-                    c.update(_LETTERS.findall(t.lower()))
-            if len(c) > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
-                c = Counter()
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["w", "n"])
+            for t, scanned in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                c.update(_LETTERS.findall(t.lower()))
+                if scanned:
+                    analyse(t, asked)
+            if len(c) + len(asked.words) + len(asked.cut) > 500_000:
+                yield out()
+                c, asked = Counter(), Asked()
+        yield out()
 
-    counts = checkpoint(texts.mapInArrow(count, "w string, n bigint").groupBy("w").agg(F.sum("n").alias("n")))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / LEAST_SHARE words can be that frequent
-    return {r["w"]: r["n"] for r in counts.where(F.col("n") >= max(LEAST_COUNT, LEAST_SHARE * total)).collect()}
+    return texts.select("t", "scanned").mapInArrow(count, "w string, n bigint, asked int").groupBy("w").agg(F.sum("n").alias("n"), F.bit_or("asked").alias("asked"))
 
 
-def _shared_lexicon(papers: DataFrame, text: str):
-    counts = corpus_lexicon(distinct_names(papers, text))
-    return papers.sparkSession.sparkContext.broadcast(counts)
+def corrections(words: DataFrame) -> DataFrame:
+    """(w, n, options) of the words asked about that are known or may be misread: their counts, and the candidates, best first.
 
+    words: (w, n, asked). Words and lexicon meet in the symmetric deletes of their folded forms.
+    """
+
+    def deleted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(d, w, n) for w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if could_be_misread(w) for d in dict.fromkeys(_deletes(fold(w)))]
+            cols = list(zip(*rows)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], names=["d", "w", "n"])
 
-def find_noise(papers: DataFrame, key: str = "paper_id", text: str = "documents", ocr: str = "parse_ocr_pages") -> DataFrame:
-    """(key, line_no, noise): each kind of noise on each line of the texts from scanned pages.
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dist = [weighted_distance(x, y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(dist, pa.float64())], names=["w", "meant", "m", "dist"])
+
+    at = lambda df: df.select("w", "n").mapInArrow(deleted, "d string, w string, n bigint")
+    read, index = at(words.where("asked > 0")), at(words.where(F.col("n") >= RATIO)).toDF("d", "meant", "m")
+    met = read.join(index, "d").where((F.col("w") != F.col("meant")) & (F.col("m") >= RATIO * F.greatest("n", F.lit(1))) & (F.abs(F.length("w") - F.length("meant")) <= 2))
+    judged = met.select("w", "meant", "m").distinct().mapInArrow(near, "w string, meant string, m bigint, dist double").where(F.col("dist") <= MOST)
+    best = judged.groupBy("w").agg(F.array_sort(F.collect_list(F.struct("dist", (-F.col("m")).alias("m"), "meant"))).alias("o"))
+    best = best.select("w", F.transform(F.filter("o", lambda x: x["dist"] <= F.col("o")[0]["dist"] + 0.05), lambda x: x["meant"]).alias("options"))
+    return words.where("asked > 0").join(best, "w", "left").where((F.col("asked") > 1) & (F.col("n") >= LEAST_COUNT) | F.col("options").isNotNull()).select("w", "n", "options")
+
+
+KNOWN = "array<struct<w:string,n:bigint,options:array<string>>>"
+
+
+class _Texts:
+    """The scanned texts with what is known of the words that they ask about."""
+
+    def __init__(self, papers: DataFrame, key: str, text: str, ocr: str, shared_words: int):
+        self.all = spread(_prepared(papers, key, text, ocr))
+        self.scanned = self.all.where("scanned").select("k", "t")
+        self.key = dict(papers.dtypes)[key]
+        self.known = materialize(corrections(materialize(vocabulary(self.all))))
+        self.shared = None
+        if self.known.count() <= shared_words:
+            # at most shared_words rows
+            self.shared = papers.sparkSession.sparkContext.broadcast({r["w"]: (r["n"], r["options"] or []) for r in self.known.collect()})
+
+    def each(self, one, schema: str, df: DataFrame | None = None, extra: str | None = None) -> DataFrame:
+        """Rows one(lexicon, k, t[, extra]) of each scanned text, of the columns of schema."""
+        df = self.scanned if df is None else df
+        names = ["k", "t", *([extra] if extra else [])]
+        arrow = to_arrow_schema(_parse_datatype_string(schema))
+        shared = self.shared
+        if shared is None:
+            df = df.withColumn("h", F.xxhash64("t"))
+
+            def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    rows = []
+                    for h, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                        asked = Asked()
+                        analyse(t, asked)
+                        rows += [(h, w) for w in asked.words | asked.cut]
+                    cols = list(zip(*rows)) or [[], []]
+                    yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string())], names=["h", "w"])
+
+            asked = self.scanned.select(F.xxhash64("t").alias("h"), "t").mapInArrow(ask, "h bigint, w string").distinct()
+            told = asked.join(sized(self.known), "w").groupBy("h").agg(F.collect_list(F.struct("w", "n", "options")).alias("known"))
+            df = df.join(told, "h", "left").select(*names, F.coalesce("known", F.array().cast(KNOWN)).alias("known"))
+        else:
+            df = df.select(*names)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lexicon = None
+            for b in batches:
+                cols = [c.to_pylist() for c in b.columns]
+                rows = []
+                for x in zip(*cols):
+                    if shared is None:
+                        *x, known = x
+                        lexicon = Lexicon({o["w"]: (o["n"], o["options"] or []) for o in known})
+                    else:
+                        lexicon = lexicon or Lexicon(shared.value)
+                    rows += one(lexicon, *x)
+                got = list(zip(*rows)) or [[]] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(got, arrow)], schema=arrow)
+
+        return df.mapInArrow(run, schema)
+
+    def findings(self) -> DataFrame:
+        """(k, line, noise, no, g, stays, pair): all noise; no is the place of a misread word in its line.
+
+        A misread word in doubt has a row for each reading g of it and each pair that this makes with
+        a neighbour; stays marks the reading that leaves it as it is.
+        """
+
+        def find(lexicon: Lexicon, k, t: str):
+            noise, misread, _ = analyse(t, lexicon)
+            yield from ((k, n, x, -1, None, False, None) for n, x in noise if x != "misread")
+            lines = t.split("\n")
+            for line, no, read, got in misread:
+                own = lexicon.count(read.lower()) > 1
+                if not own and len(got) == 1:
+                    yield (k, line, "misread", no, None, False, None)
+                    continue
+                ws = [_plain(w) for w in _TOKEN.findall(lines[line])]
+                for g in [*([read.lower()] if own else []), *got]:
+                    for pair in _pairs(ws, no, g):
+                        yield (k, line, "misread", no, g, g == read.lower(), pair)
+
+        return materialize(self.each(find, f"k {self.key}, line int, noise string, no int, g string, stays boolean, pair string"))
+
+    def chosen(self, findings: DataFrame) -> DataFrame:
+        """(k, line, no, g, stays) of the misread words in doubt: what is meant by what stands beside it in the whole corpus.
+
+        In doubt is a word with several candidates, and one that also occurs as it was read. The last
+        stays as it is if its pairs with the neighbours are seen LEAST_PAIRS times or more beyond
+        these themselves, and not less often than those of any candidate.
+        """
+
+        def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                c: Counter = Counter()
+                for t in b.column(0).to_pylist():
+                    for line in t.split("\n"):
+                        ws = [_plain(w) for w in _TOKEN.findall(line)]
+                        c.update(f"{x} {y}" for x, y in zip(ws, ws[1:]))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["pair", "n"])
+
+        asked = findings.where("g is not null")
+        seen = self.all.select("t").mapInArrow(pairs, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+        # each distinct pair is looked up once
+        found = seen.join(asked.select("pair").distinct(), "pair", "left_semi")
+        # an option's pairs: for what was read, its own occurrence does not count
+        score = F.sum(F.coalesce("n", F.lit(0)) - F.when(F.col("stays"), 1).otherwise(0))
+        told = asked.join(found, "pair", "left").groupBy("k", "line", "no", "g", "stays").agg(score.alias("n"))
+        told = told.where(~F.col("stays") | (F.col("n") >= LEAST_PAIRS))
+        return told.groupBy("k", "line", "no").agg(F.max_by(F.struct("g", "stays"), F.struct("n", "stays", "g")).alias("x")).select("k", "line", "no", "x.g", "x.stays")
+
+
+def find_noise(papers: DataFrame, key: str = "paper_id", text: str = "documents", ocr: str = "parse_ocr_pages", shared_words: int = SHARED_WORDS) -> DataFrame:
+    """(key, line_no, noise): each kind of noise on each line of the texts from scanned pages; rows are distinct.
 
     Lines are separated by line feeds and counted from 0. A text is taken to come from scanned pages
     unless `ocr` is 0; null counts as possibly scanned. The lexicon is that of all texts. Null and
-    empty texts give no row; a repeated row repeats its output; columns of other names are ignored.
-    Texts of any length are read whole. The lexicon that is broadcast has a proven bound.
+    empty texts give no row; a repeated row gives its output once; columns of other names are ignored.
+    Texts of any length are read whole. shared_words bears on the way the lexicon travels alone.
     """
-    kind = dict(papers.dtypes)[key]
-    shared = _shared_lexicon(papers, text)
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(shared.value)
-        for b in batches:
-            rows = [(k, n, x) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for n, x in analyse(t, lexicon)[0]]
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.types[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.string())], names=["k", "line_no", "noise"])
+    texts = _Texts(papers, key, text, ocr, shared_words)
 
-    return _scanned(papers, key, text, ocr).mapInArrow(find, f"k {kind}, line_no int, noise string").withColumnRenamed("k", key)
+    findings = texts.findings()
+    stays = texts.chosen(findings).where("stays").select("k", "line", F.lit("misread").alias("noise"), "no")
+    kept = findings.join(stays, ["k", "line", "noise", "no"], "left_anti")
+    return kept.select(F.col("k").alias(key), F.col("line").alias("line_no"), "noise").distinct()
 
 
-def repair_texts(papers: DataFrame, key: str = "paper_id", text: str = "documents", ocr: str = "parse_ocr_pages") -> DataFrame:
+def repair_texts(papers: DataFrame, key: str = "paper_id", text: str = "documents", ocr: str = "parse_ocr_pages", shared_words: int = SHARED_WORDS) -> DataFrame:
     """(key, text): the texts from scanned pages as continuous paragraphs, without the noise.
 
     Headers and page numbers go, words cut at line ends are joined, misread words are put right, and
@@ -291,49 +462,15 @@ def repair_texts(papers: DataFrame, key: str = "paper_id", text: str = "document
     has to be unique and not null. Where a misread word has several candidates, the one seen most
     often next to its neighbours in the whole corpus is taken, then the most frequent.
     """
-    kind = dict(papers.dtypes)[key]
-    shared = _shared_lexicon(papers, text)
-    scanned = _scanned(papers, key, text, ocr)
+    texts = _Texts(papers, key, text, ocr, shared_words)
+    # of one text, so bounded by its length
+    picks = texts.chosen(texts.findings()).groupBy("k").agg(F.collect_list(F.struct("line", "no", "g")).alias("picks"))
+    withal = texts.scanned.join(picks, "k", "left")
 
-    def doubtful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(shared.value)
-        for b in batches:
-            rows = []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = t.split("\n")
-                for line, no, read, got in analyse(t, lexicon)[1]:
-                    if len(got) > 1:
-                        ws = [_plain(w) for w in _TOKEN.findall(lines[line])]
-                        rows += [(k, line, no, g, pair) for g in got for pair in _pairs(ws, no, g)]
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], b.schema.types[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.string()), pa.array(cols[4], pa.string())], names=["k", "line", "no", "g", "pair"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            c: Counter = Counter()
-            for t in b.column(0).to_pylist():
-                for line in (t or "").split("\n"):
-                    ws = [_plain(w) for w in _TOKEN.findall(line)]
-                    c.update(f"{x} {y}" for x, y in zip(ws, ws[1:]))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["pair", "n"])
-
-    doubts = scanned.mapInArrow(doubtful, f"k {kind}, line int, no int, g string, pair string")
-    seen = distinct_names(papers, text).mapInArrow(pairs, "pair string, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    chosen = (
-        doubts.join(seen, "pair", "left").groupBy("k", "line", "no", "g").agg(F.sum(F.coalesce("n", F.lit(0))).alias("n"))
-        .groupBy("k", "line", "no").agg(F.max_by("g", F.struct("n", "g")).alias("g"))
-        .groupBy("k").agg(F.collect_list(F.struct("line", "no", "g")).alias("picks"))
-    )
-
-    def repair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(shared.value)
-        for b in batches:
-            out = []
-            for t, picks in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                out.append(_repaired(t, lexicon, {(p["line"], p["no"]): p["g"] for p in picks or ()}))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.string())], names=["k", "t"])
+    def repair(lexicon: Lexicon, k, t: str, picks):
+        yield (k, _repaired(t, lexicon, {(p["line"], p["no"]): p["g"] for p in picks or ()}))
 
-    return scanned.join(chosen, "k", "left").select("k", "t", "picks").mapInArrow(repair, f"k {kind}, t string").toDF(key, text)
+    return texts.each(repair, f"k {texts.key}, t string", withal, "picks").toDF(key, text)
 
 
 def _plain(token: str) -> str:
