@@ -42,7 +42,7 @@ PHRASES = {
 }
 NOUNS = {
     "biology": "allele, canopy, chromosome, enzyme, habitat, larva, membrane, microbe, nectar, offspring, organism, phenotype, pollen, predator, ribosome, species, spore, tissue, genome, fauna, flora, protein",
-    "machine_learning": "augmentation, backpropagation, benchmark, classifier, dataset, decoder, embedding, ensemble, epoch, logit, minibatch, optimiser, overfitting, perceptron, pretraining, regulariser, softmax, token, neural network, fine-tuning",
+    "machine_learning": "augmentation, backpropagation, benchmark, classifier, decoder, embedding, ensemble, epoch, logit, minibatch, optimiser, overfitting, perceptron, pretraining, regulariser, softmax, token, neural network, fine-tuning",
     "economics": "auctioneer, auction, bidder, broker, budget, buyer, cartel, commodity, export, inflation, lender, payoff, quota, rent, retailer, revenue, seller, shortage, subsidy, surplus, tariff, wage, welfare",
     "medicine": "anaesthesia, biopsy, catheter, clinician, comorbidity, diagnosis, dosage, follow-up, mortality, patient, prescription, prognosis, relapse, sepsis, surgeon, symptom, therapy, ward, hospital, disease",
     "physics": "boson, cryostat, detector, electron, entropy, interferometer, laser, lattice, magnetisation, momentum, neutrino, oscillation, photon, plasma, quark, spin, vacuum, wavelength, neutron, quantum",
@@ -60,6 +60,27 @@ OTHER_LANGUAGES = {
     "law": "Eigentumsrechte, Gerichtsurteile, Gesetzesauslegung, Haftungsregeln, Patentklagen, Strafmaße, Vertragsklauseln, Zeugenaussagen, cláusulas contractuales, jurisprudencia, patentes, responsabilidad civil, testigos, tribunales de apelación",
     "linguistics": "Dialekterhebungen, Kasusmarkierung, Lehnwörter, Nebensätze, Sprachkorpora, Verbformen, Vokalharmonie, Wortstellung, armonía vocálica, dialectos, morfología verbal, oraciones relativas, orden de palabras, préstamos léxicos",
 }
+#: General vocabulary of each subject, as textbooks and classifications of the sciences have it.
+GENERAL = {
+    "biology": "amino acid, amphibian, bacterium, biodiversity, biome, chloroplast, cytoplasm, ecosystem, embryo, eukaryote, fungus, gamete, heredity, mammal, meiosis, mitosis, natural selection, nucleotide, photosynthesis, phylogeny, symbiosis, taxonomy, vertebrate, zoology",
+    "machine_learning": "autoencoder, bayesian network, clustering algorithm, convolutional network, cross-validation, decision tree, deep learning, feature selection, gaussian process, gradient boosting, hyperparameter, language model, learning rate, logistic regression, loss function, machine learning, random forest, recurrent network, reinforcement learning, self-supervised learning, supervised learning, support vector machine, test accuracy, training data",
+    "economics": "capital market, central bank, comparative advantage, consumption, cost function, exchange rate, fiscal policy, gross domestic product, human capital, income inequality, interest rate, labour market, macroeconomics, marginal cost, market power, microeconomics, monopoly, opportunity cost, price elasticity, public good, recession, supply and demand, unemployment, utility function",
+    "medicine": "anaemia, antibiotic, antibody, asthma, blood sample, cancer, cardiology, chemotherapy, clinical trial, diabetes, dialysis, epidemic, hypertension, immunisation, infection, intensive care, oncology, outpatient, pathology, pneumonia, radiology, stroke, surgery, vaccine",
+    "physics": "angular momentum, atomic nucleus, black hole, electric charge, electromagnetism, fermion, general relativity, gravity, hadron, kinetic energy, magnetic field, particle accelerator, phase transition, photoelectric effect, quantum mechanics, radiation, semiconductor, spectroscopy, standard model, superconductivity, thermodynamics, ultraviolet, velocity, x-ray diffraction",
+    "software": "agile development, api, application server, backend, continuous integration, data structure, database schema, design pattern, exception handling, framework, frontend, garbage collection, integrated development environment, kernel module, microservice, object-oriented programming, open source, operating system, programming language, pull request, regression test, software engineering, test suite, version control",
+    "law": "administrative law, attorney, case law, civil procedure, common law, constitution, copyright, criminal law, due process, habeas corpus, human rights, indictment, international law, jurisdiction, jury, legislation, liability, litigation, negligence, plea bargain, prosecutor, subpoena, supreme court, treaty",
+    "linguistics": "adjective, allophone, bilingualism, clitic, diphthong, discourse analysis, etymology, first language, fricative, generative grammar, language acquisition, lexicon, linguistics, morphology, orthography, phonetics, phonology, pragmatics, preposition, second language, semantics, sociolinguistics, subordinate clause, word formation",
+}
+GENERAL_OTHER = {
+    "biology": "Artenvielfalt, Bakterien, Chromosomen, Evolution der Arten, Ökosystem, Zellteilung, Erbgut, biodiversidad, cromosomas, ecosistema, especies, fotosíntesis, hábitat, selección natural",
+    "machine_learning": "maschinelles Lernen, überwachtes Lernen, tiefes Lernen, Lernverfahren, Gradientenabstieg, Überanpassung, aprendizaje automático, aprendizaje profundo, árboles de decisión, red neuronal, sobreajuste",
+    "economics": "Arbeitsmarkt, Bruttoinlandsprodukt, Inflation, Nachfrage, Volkswirtschaft, Wettbewerbspolitik, Zentralbank, banco central, inflación, mercado laboral, oferta y demanda, producto interior bruto, salarios",
+    "medicine": "Blutdruck, Diagnose, Impfung, Krankenhaus, Krankheit, Patienten, Therapie, Chirurgie, enfermedad, pacientes, hospital, diagnóstico, tratamiento médico, vacuna, cirugía",
+    "physics": "Elektronen, Magnetfeld, Quantenmechanik, Relativitätstheorie, Teilchenphysik, Thermodynamik, Wellenlänge, campo magnético, electrones, mecánica cuántica, relatividad, termodinámica, longitud de onda",
+    "software": "Betriebssystem, Datenbank, Programmiersprache, Quelltext, Softwareentwicklung, Versionsverwaltung, Fehlersuche, base de datos, código fuente, desarrollo de software, lenguaje de programación, sistema operativo",
+    "law": "Gericht, Gesetzgebung, Klage, Rechtsprechung, Strafrecht, Verfassung, Vertragsrecht, Zivilrecht, constitución, derecho penal, legislación, tribunal, demanda judicial, sentencia judicial",
+    "linguistics": "Grammatik, Sprachwissenschaft, Spracherwerb, Lautlehre, Mehrsprachigkeit, Wortbildung, Satzbau, adquisición del lenguaje, bilingüismo, fonología, gramática, lingüística, sintaxis",
+}
 #: Words that several subjects use in senses of their own, with those subjects. They support one
 #: only next to certain sentences about it.
 AMBIGUOUS = {
@@ -68,16 +89,16 @@ AMBIGUOUS = {
     "commitment": "economics, law, software", "culture": "biology, linguistics, medicine", "equilibrium": "economics, physics, biology",
     "exposure": "medicine, physics, economics", "field": "physics, linguistics, software, biology", "inference": "machine_learning, linguistics, law",
     "network": "machine_learning, biology, software, physics", "policy": "economics, machine_learning, law", "response": "medicine, biology, physics",
-    "standing": "law", "tree": "biology, machine_learning, linguistics, software",
+    "standing": "law", "dataset": "machine_learning", "tree": "biology, machine_learning, linguistics, software",
 }
 
-#: Phrases of any paper that hold a subject's word without being about the subject.
-GENERIC = "second dataset, anonymous reader"
-
 _NOT_RUNNING = re.compile(
     r"^\s*(?:#+\s|\\|[-*•]\s|\[\d+\]\s|(?:keywords|key words|schlagwörter|stichwörter|palabras clave|index terms)\s*:|(?:table|figure|fig\.|tabelle|abbildung|tabla|figura)\s*\d+\s*[:.]|.*\|.*\|)",
     re.I,
 )
+#: How an entry of a reference list begins: a number or bullet, or names and a year.
+_ENTRY = re.compile(r"^\s*(?:\[[^\]]{1,12}\]|\(?\d{1,3}[.)]|[-*•])\s|^\s*[^\W\d_][^\W\d_'’\-]+,? .{0,200}?\b(?:1[5-9]|20)\d\d[a-z]?\b")
+_HEADING = re.compile(r"^\s*(?:#+\s|\\(?:sub)*section\b)")
 _REFERENCES = re.compile(r"^\s*#*\s*(?:references|bibliography|literature|literatur|referencias|bibliografía)\s*:?\s*$", re.I)
 _FORMULA = re.compile(r"\\begin\{(\w+\*?)\}.*?\\end\{\1\}", re.S)
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’)\]*_]*\s+")
@@ -88,11 +109,12 @@ _MARKUP = re.compile(r"[*_]|\\(?:emph|textbf|textit)\{|<[^<>]{1,80}>")
 def _terms() -> list[tuple[str, str, float]]:
     """(term, subject, weight); subject '' for ambiguous words."""
     out = []
-    for table, weight in ((PHRASES, PHRASE), (NOUNS, NOUN), (OTHER_LANGUAGES, PHRASE)):
+    for table, weight, noun in ((PHRASES, PHRASE, False), (NOUNS, NOUN, True), (OTHER_LANGUAGES, PHRASE, False), (GENERAL, NOUN, True), (GENERAL_OTHER, NOUN, False)):
         for subject, terms in table.items():
             for t in terms.lower().split(", "):
-                out += [(form, subject, weight) for form in {t, *_plurals(t, table is NOUNS)}]
-    out += [(t, "", 0.0) for t in GENERIC.split(", ")]
+                out += [(form, subject, weight) for form in sorted({t, *_plurals(t, noun)})]
+    # a form that two tables have counts as the first has it
+    out = list({form: (form, subject, weight) for form, subject, weight in reversed(out)}.values())[::-1]
     return out + [(form, "", 1.0) for t in AMBIGUOUS for form in {t, *_plurals(t, True)}]
 
 
@@ -121,7 +143,10 @@ def _lexicon():
 
 
 def sentences(text: str) -> list[str]:
-    """The sentences of the running text, with lines joined inside a paragraph."""
+    """The sentences of the running text, with lines joined inside a paragraph.
+
+    A reference list ends at a heading or at a paragraph that does not begin as an entry does.
+    """
     text = _INVISIBLE.sub("", _FORMULA.sub("\n", text))
     out, open_ = [], []
 
@@ -130,9 +155,21 @@ def sentences(text: str) -> list[str]:
             out.extend(s for s in _SENTENCE.split(_MARKUP.sub("", re.sub(r"\s+", " ", " ".join(open_)))) if s.strip())
             open_.clear()
 
+    listed, fresh = False, True
     for line in text.split("\n"):
         if _REFERENCES.match(line):
-            break
+            close()
+            listed, fresh = True, True
+            continue
+        if listed:
+            if not line.strip():
+                fresh = True
+                continue
+            # the lines of an entry go on until a blank line or the next entry
+            if not _HEADING.match(line) and (not fresh or _ENTRY.match(line)):
+                fresh = False
+                continue
+            listed = False
         if not line.strip() or _NOT_RUNNING.match(line):
             close()
         else:
