@@ -15,21 +15,20 @@ matches both, get one posterior per partner, and the maximisation uses those con
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litmill.llm.fusion import MISSING
 from litmill.llm.names import acronym, plain, readings, slips
-from litmill.session import distinct_names, materialize
+from litmill.session import distinct_names, materialize, sized
 
 #: A title with fewer words than this is a block key as a whole, not with one word left out.
 LEAST_WORDS = 4
@@ -37,7 +36,7 @@ LEAST_WORDS = 4
 HOT_BLOCK = 150
 #: Rows of either side per task of a divided block.
 TILE = 1000
-#: Rounds of expectation and maximisation beyond which only new links go on, and the change below which the fit rests.
+#: Rounds of expectation and maximisation between two steps of linking, and the change below which the fit rests.
 ROUNDS, STILL = 8, 0.01
 #: Posteriors from which a pair is a match, and from which it links others.
 MATCH, SURE = 0.5, 0.95
@@ -315,6 +314,8 @@ def _soft(x: str, y: str) -> float:
 
 def title_similarity(x: Profile, y: Profile) -> float | None:
     """Soft overlap of the words; of the left halves alone, a little less, if one title lacks its right half."""
+    if x.left == y.left and x.right == y.right:
+        return 1.0 if x.left or x.right else None
     v, w = x.words, y.words
     if not v or not w:
         return None
@@ -437,14 +438,13 @@ def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     group = F.when(F.col(same).isNotNull(), F.xxhash64(F.lit("same"), F.col(same))).otherwise(F.col("id")) if same else F.col("id")
     members = materialize(l.join(a.select("pid", "id", (F.col("authors") != "").alias("has")), "pid").select("id", F.col(left_id).alias("lid"), group.alias("g"), "has"))
     scored = _scored(candidates(a, b, hot_block), a, b)
-    # a row per kind of pair between a group and a partner: at most 22 * 12 * 6 * 3 for each two
     of = members.groupBy(F.col("id").alias("a"), "g").agg(F.first("has").alias("has"))
-    pairs = scored.join(of, "a").groupBy("g", "b", *CELL).agg(F.count("*").alias("n"), F.max("named").alias("named"))
-    pairs = materialize(pairs.join(members.groupBy("g").agg(F.max("has").alias("has")), "g").select("g", "b", *CELL, "n", (F.col("named") & F.col("has")).alias("both")))
+    met = _gathered(scored.join(of, "a").groupBy("g", "b", _cell_no().alias("c")).agg(F.count("*").alias("n"), F.max("named").alias("both")))
+    pairs = materialize(met.join(members.groupBy("g").agg(F.max("has").alias("has")), "g").select("g", "b", "cells", (F.col("both") & F.col("has")).alias("both")))
     judged, labels = _fitted(pairs)
     if judged is None:
         return left.sparkSession.createDataFrame([], T.StructType([left.schema[left_id], right.schema[right_id], T.StructField("confidence", T.DoubleType())]))
-    hits = judged.where(F.col("p") >= MATCH).groupBy("g", "b").agg(F.max("p").alias("p"))
+    hits = judged.where(F.col("p") >= MATCH).select("g", "b", "p")
     if labels is not None:  # from the linked groups back to those of which a record met the partner
         met = pairs.select(F.col("g").alias("own"), "b").distinct().join(labels.withColumnRenamed("g", "own"), "own", "left")
         hits = hits.join(met.select("own", F.coalesce("label", "own").alias("g"), "b"), ["g", "b"]).select(F.col("own").alias("g"), "b", "p")
@@ -452,45 +452,78 @@ def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return hits.join(members.select("lid", "g"), "g").join(right_rows, "b").select(F.col("lid").alias(left_id), F.col("rid").alias(right_id), F.round("p", 6).alias("confidence")).distinct()
 
 
+SIZES = STEPS + 2
+
+
+def _cell_no() -> Column:
+    """The number of a cell, below 22 * 12 * 6 * 3."""
+    no = F.lit(0)
+    for c, size in zip(CELL, SIZES.tolist()):
+        no = no * size + F.col(c) + 1
+    return no
+
+
+def _cells_of(numbers: np.ndarray) -> np.ndarray:
+    return np.stack(np.unravel_index(numbers, SIZES), axis=1) - 1
+
+
+def _gathered(kinds: DataFrame) -> DataFrame:
+    """(g, b, cells, both): the kinds (g, b, c, n, both) of pairs between a group and a partner as one array, of bounded length."""
+    return kinds.groupBy("g", "b").agg(F.array_sort(F.collect_list(F.struct("c", "n"))).alias("cells"), F.max("both").alias("both"))
+
+
+def _summed(of: Callable[[Column], Column]) -> Column:
+    """The sum of `of` over all pairs in an array of cells."""
+    return F.aggregate("cells", F.lit(0.0), lambda total, x: total + x["n"] * of(x))
+
+
 def _fitted(pairs: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """(judged, labels) of pairs (g, b, cell, n, both): the constrained posterior p per (g, b), and the groups that were linked.
+    """(judged, labels) of pairs (g, b, cells, both): the constrained posterior p per (g, b), and the groups that were linked.
 
     Expectation: the log odds of all pairs between a group and a partner have one mean, from which
     all get one posterior; it is 0 where both name authors but in no pair of records any is alike.
-    Groups that surely match one partner are linked: they become one group,
-    under the smallest label, for the next round. Maximisation is over the counts of cells, of which
-    there are at most 22 * 12 * 6 * 3. It goes on until the fit rests and no group is linked.
+    Maximisation is over the counts of cells. Rounds work on the distinct arrays of cells. Once the
+    fit rests, groups that surely match one partner are linked: they become one group, under the
+    smallest label, and the rounds go on until the fit rests and no group is linked.
     """
-    counted = pairs.groupBy(*CELL).agg(F.sum("n").alias("n")).orderBy(*CELL).collect()
-    if not counted:
-        return None, None
-    spark = pairs.sparkSession
-    cells, weight = np.array([[x[c] for c in CELL] for x in counted]), np.array([float(x["n"]) for x in counted])
-    gamma, pooled = start_of(cells), pooled_variance(cells, weight)
-    labels = judged = None
-    rounds = 0
+    labels, gamma, seen = None, None, {}
+    # the grid's strides tell whether a cell knows title and authors
+    per_title, per_author = int(SIZES[1:].prod()), int(SIZES[2:].prod())
+    author = lambda c: F.floor(c / per_author) % int(SIZES[1])
+    alike = F.exists("cells", lambda x: author(x["c"]) > 0)
     while True:
-        rounds += 1
-        alone = expect(cells, maximise(cells, weight, gamma, pooled))
-        odds = np.log(np.clip(alone, 1e-4, 1 - 1e-4)) - np.log(1 - np.clip(alone, 1e-4, 1 - 1e-4))
-        table = spark.createDataFrame([(*map(int, c), float(o)) for c, o in zip(cells.tolist(), odds)], "title int, author int, year int, doi int, odds double")
-        w = W.partitionBy("g", "b")
-        mean = F.sum(F.col("n") * F.col("odds")).over(w) / F.sum("n").over(w)
-        strange = F.max("both").over(w) & (F.max("author").over(w) < 0)
-        judged = materialize(pairs.join(F.broadcast(table), CELL).select("g", "b", *CELL, "n", F.when(strange, 0.0).otherwise(1 / (1 + F.exp(-mean))).alias("p")), *([judged] if judged is not None else []))
-        got = {tuple(x[c] for c in CELL): x["p"] for x in judged.groupBy(*CELL).agg((F.sum(F.col("p") * F.col("n")) / F.sum("n")).alias("p")).collect()}
-        new = np.array([got[tuple(c)] for c in cells.tolist()])
-        still = np.abs(new - gamma).max() < STILL or rounds >= ROUNDS
-        gamma = new
+        kinds = materialize(pairs.groupBy("cells", "both").agg(F.count("*").alias("m")))
+        counted = kinds.select("m", F.explode("cells").alias("x")).groupBy("x.c").agg(F.sum(F.col("m") * F.col("x.n")).alias("w")).orderBy("c").collect()
+        if not counted:
+            return None, None
+        numbers, weight = np.array([r["c"] for r in counted]), np.array([float(r["w"]) for r in counted])
+        cells = _cells_of(numbers)
+        pooled = pooled_variance(cells, weight)
+        gamma = start_of(cells) if gamma is None else np.array([seen[k] for k in numbers.tolist()])
+        for _ in range(ROUNDS):
+            alone = np.clip(expect(cells, maximise(cells, weight, gamma, pooled)), 1e-4, 1 - 1e-4)
+            odds = np.zeros(int(SIZES.prod()))
+            odds[numbers] = np.round(np.log(alone / (1 - alone)), 6)
+            known = F.from_json(F.lit("[" + ",".join(f"{x:g}" for x in odds) + "]"), "array<double>")
+            total, n = _summed(lambda x, known=known: known[x["c"]]), _summed(lambda x: F.lit(1.0))
+            p = F.when(F.col("both") & ~alike, 0.0).otherwise(1 / (1 + F.exp(-total / n))).alias("p")
+            share = F.col("m") * F.col("x.n")
+            got = kinds.select("m", p, F.explode("cells").alias("x")).groupBy("x.c").agg((F.sum(share * F.col("p")) / F.sum(share)).alias("p")).collect()
+            seen = {r["c"]: r["p"] for r in got}
+            new = np.array([seen[k] for k in numbers.tolist()])
+            still, gamma = np.abs(new - gamma).max() < STILL, new
+            if still:
+                break
+        judged = pairs.select("g", "b", "cells", p)
         # a pair that lacks title or authors on a side may be a match but links no others: works may share a title
-        sure = judged.where((F.col("p") >= SURE) & (F.col("title") >= 0) & (F.col("author") >= 0)).select("g", "b").distinct()
+        sure = judged.where((F.col("p") >= SURE) & F.exists("cells", lambda x: (x["c"] >= per_title) & (author(x["c"]) > 0))).select("g", "b")
         shared = sure.groupBy("b").agg(F.min("g").alias("label"), F.max("g").alias("last")).where("label < last").drop("last")
         moves = materialize(sure.join(shared, "b").groupBy("g").agg(F.min("label").alias("to")).where("to < g"))
         if moves.isEmpty():
-            if still:
-                return judged, labels
-            continue
-        pairs = materialize(pairs.join(moves, "g", "left").groupBy(F.coalesce("to", "g").alias("g"), "b", *CELL).agg(F.sum("n").alias("n"), F.max("both").alias("both")), *([pairs] if labels is not None else []))
+            return judged, labels
+        kinds = pairs.join(sized(moves), "g", "left").select(F.coalesce("to", "g").alias("g"), "b", "both", F.explode("cells").alias("x"))
+        kinds = kinds.groupBy("g", "b", F.col("x.c").alias("c")).agg(F.sum("x.n").alias("n"), F.max("both").alias("both"))
+        pairs = materialize(_gathered(kinds), *([pairs] if labels is not None else []))
         own = moves.select("g", F.col("to").alias("label"))
         if labels is not None:
             m = moves.withColumnRenamed("g", "label")

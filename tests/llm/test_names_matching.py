@@ -166,9 +166,10 @@ def test_every_pair_of_alike_names_shares_a_near_form():
 
 def test_records_linked_through_a_partner_share_their_posterior(spark):
     """Two groups surely match one answer; another answer, weak against the first group alone, follows the second."""
-    row = lambda g, b, t, a, y, n=1: (g, b, t, a, y, -1, n, True)
+    no = lambda t, a, y: int(matching.np.ravel_multi_index((t + 1, a + 1, y + 1, 0), matching.SIZES))
+    row = lambda g, b, t, a, y, n=1: (g, b, [(no(t, a, y), n)], True)
     rows = [row(1, 10, 20, 10, 4), row(2, 10, 20, 10, 4), row(1, 11, 15, 6, 0), row(2, 11, 20, 10, 4, 3)] + [row(100 + k, 200 + k, 20, 10, 4) for k in range(50)] + [row(300 + k, 400 + k, 8, 2, 0) for k in range(50)]
-    pairs = spark.createDataFrame(rows, "g bigint, b bigint, title int, author int, year int, doi int, n bigint, both boolean")
+    pairs = spark.createDataFrame(rows, "g bigint, b bigint, cells array<struct<c:int,n:bigint>>, both boolean")
     judged, labels = matching._fitted(pairs)
     assert {(x.g, x.label) for x in labels.collect()} == {(2, 1)}
     p = {(x.g, x.b): x.p for x in judged.collect()}
