@@ -30,7 +30,7 @@ from litmill.llm.fusion import MISSING
 from litmill.llm.names import acronym, plain, readings, slips
 from litmill.session import distinct_names, materialize, sized
 
-#: A title with fewer words than this is a block key as a whole, not with one word left out.
+#: A title with fewer words than this is no block key by itself where both sides name authors.
 LEAST_WORDS = 4
 #: A block with more profiles than this on both sides is divided; the division changes no result.
 HOT_BLOCK = 150
@@ -143,17 +143,25 @@ def _hash(kind: str, text: str) -> int:
 _HALF = 1 << 63
 
 
-def block_keys(p: Profile) -> tuple[list[int], list[int]]:
-    """(keys of the title, keys with a family name or DOI).
+def block_keys(p: Profile, right: bool = False) -> list[int]:
+    """Keys of the title, which are even, and keys with a name or DOI, which are odd.
+
+    Short titles are borne by many works, so with authors on both sides they are keys only together
+    with a near form of a name; a record without authors meets all of the other side's.
 
     A set of words is keyed by the sum of the words' hashes, so leaving one out is a subtraction.
     """
     hs = [_hash("w", w) for w in p.words.split()]
     fam = [_hash("f", f) for f in _families(p)]
     title = []
-    if len(hs) > 1:
-        total = sum(hs) + _hash("part", p.part)
-        title = [(total & _M64) - _HALF, *[((total - h) & _M64) - _HALF for h in hs if len(hs) >= LEAST_WORDS]]
+    total = sum(hs) + _hash("part", p.part)
+    short = []
+    if len(hs) >= LEAST_WORDS:
+        title = [(total & _M64) - _HALF, *[((total - h) & _M64) - _HALF for h in hs]]
+    elif hs:
+        # unnamed on the left with any on the right, named on the left with unnamed on the right
+        kinds = [_hash("any", "")] * (right or not p.authors) + [_hash("unnamed", "")] * (right != bool(p.authors))
+        short = [((total + k) & _M64) - _HALF for k in (*kinds, *(near_forms(p.authors) if p.authors else ()))]
     left = sum([_hash("l", w) for w in p.left.split()])
     sure = [((left + f) & _M64) - _HALF for f in fam] if p.left else []
     if " " in p.right:
@@ -162,7 +170,7 @@ def block_keys(p: Profile) -> tuple[list[int], list[int]]:
     if p.doi:
         d = _hash("d", p.doi)
         sure += [*[((d + f) & _M64) - _HALF for f in fam], ((d + left) & _M64) - _HALF]
-    return title, sure
+    return list({k & -2 for k in title} | {k | 1 for k in (*sure, *short)})
 
 
 def near_forms(authors: str) -> set[int]:
@@ -181,23 +189,22 @@ def near_forms(authors: str) -> set[int]:
 
 _PROFILE = [
     ("id", pa.int64()), ("left", pa.string()), ("right", pa.string()), ("part", pa.string()), ("authors", pa.string()), ("year", pa.int32()), ("doi", pa.string()),
-    ("title_keys", pa.list_(pa.int64())), ("sure_keys", pa.list_(pa.int64())),
+    ("keys", pa.list_(pa.int64())),
 ]
 COMPARED = ["left", "right", "part", "authors", "year", "doi"]
 
 
-def prepare(df: DataFrame, row_id: str) -> DataFrame:
+def prepare(df: DataFrame, row_id: str, right: bool = False) -> DataFrame:
     """The Profile of each record with its block keys; id is the same for records with the same profile."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ps = [profile(*x) for x in zip(*(b.column(k).to_pylist() for k in range(1, 5)))]
-            keys = [block_keys(p) for p in ps]
             ids = [xxhash.xxh64_intdigest("\x1f".join(str(getattr(p, n)) for n in COMPARED)) - _HALF for p in ps]
-            cols = [b.column(0), pa.array(ids, pa.int64()), *(pa.array([getattr(p, n) for p in ps], t) for n, t in _PROFILE[1:7]), *(pa.array([k[j] for k in keys], pa.list_(pa.int64())) for j in range(2))]
+            cols = [b.column(0), pa.array(ids, pa.int64()), *(pa.array([getattr(p, n) for p in ps], t) for n, t in _PROFILE[1:7]), pa.array([block_keys(p, right) for p in ps], pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays(cols, names=["pid", *(n for n, _ in _PROFILE)])
 
-    schema = "pid bigint, id bigint, left string, right string, part string, authors string, year int, doi string, title_keys array<bigint>, sure_keys array<bigint>"
+    schema = "pid bigint, id bigint, left string, right string, part string, authors string, year int, doi string, keys array<bigint>"
     return df.select(F.col(row_id).alias("pid"), "title", "authors", "published", "doi").mapInArrow(each, schema)
 
 
@@ -209,18 +216,19 @@ def candidates(a: DataFrame, b: DataFrame, hot_block: int = HOT_BLOCK) -> DataFr
     which every pair with a name alike has; profiles without authors meet all others of the block,
     in tiles of bounded size. Nothing is lost by it, so the result does not depend on hot_block.
     """
-    keyed = lambda p: p.select("id", F.explode("title_keys").alias("key"), F.lit(True).alias("title")).unionByName(p.select("id", F.explode("sure_keys").alias("key"), F.lit(False).alias("title")))
-    x, y = keyed(a), keyed(b)
-    on = ["key", "title"]
+    x, y = (p.select("id", F.explode("keys").alias("key")) for p in (a, b))
     # counted on the second side first: only the few keys that are frequent there are counted on the first
-    often = lambda df: df.groupBy(*on).agg(F.count("*").alias("n")).where(F.col("n") > hot_block).select(*on)
-    hot = materialize(often(x.join(often(y), on, "left_semi")))
+    often = lambda df: materialize(df.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot_block).select("key"))
+    hot = often(y)
+    if not hot.isEmpty():
+        hot = often(x.join(sized(hot), "key", "left_semi"))
     if hot.isEmpty():
-        return _pairs(x, y, on).distinct()
-    xh, yh = (df.join(hot, on, "left_semi").distinct() for df in (x, y))
-    cold = _pairs(x.join(hot, on, "left_anti"), y.join(hot, on, "left_anti"), on)
-    sure = _tiled(xh.where("not title").select("id", "key"), yh.where("not title").select("id", "key"))
-    (xn, xu), (yn, yu) = (_by_authors(h.where("title").select("id", "key"), p) for h, p in ((xh, a), (yh, b)))
+        return _pairs(x, y, ["key"]).distinct()
+    xh, yh = (df.join(sized(hot), "key", "left_semi").distinct() for df in (x, y))
+    cold = _pairs(x.join(sized(hot), "key", "left_anti"), y.join(sized(hot), "key", "left_anti"), ["key"])
+    title = F.col("key") % 2 == 0
+    sure = _tiled(xh.where(~title), yh.where(~title))
+    (xn, xu), (yn, yu) = (_by_authors(h.where(title), p) for h, p in ((xh, a), (yh, b)))
     named = _tiled(_formed(xn), _formed(yn))
     xn, yn = xn.drop("authors"), yn.drop("authors")
     unnamed = _tiled(xu, yu.unionByName(yn)).unionByName(_tiled(xn, yu))
@@ -434,7 +442,7 @@ def match_records(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     l = distinct_names(left, left_id, *fields, *([same] if same else [])).withColumn("pid", profile)
     r = distinct_names(right, right_id, *fields).withColumn("pid", profile)
     one = lambda df: df.groupBy("pid").agg(*[F.first(c).alias(c) for c in fields])
-    a, b = materialize(prepare(one(l), "pid")), materialize(prepare(one(r), "pid"))
+    a, b = materialize(prepare(one(l), "pid")), materialize(prepare(one(r), "pid", right=True))
     group = F.when(F.col(same).isNotNull(), F.xxhash64(F.lit("same"), F.col(same))).otherwise(F.col("id")) if same else F.col("id")
     members = materialize(l.join(a.select("pid", "id", (F.col("authors") != "").alias("has")), "pid").select("id", F.col(left_id).alias("lid"), group.alias("g"), "has"))
     scored = _scored(candidates(a, b, hot_block), a, b)
