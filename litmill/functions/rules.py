@@ -241,3 +241,12 @@ STARTER_WORDS = (
 # Words that count as true, and statuses of tasks in display order.
 TRUE_WORDS = ("1", "true", "yes", "y", "on")
 STATUSES = ("pending", "running", "completed", "failed", "cancelled")
+
+
+#: Words of lines that are no title, and what ends the search for one.
+TITLE_JUNK = (
+    "arxiv", "issn", "vol.", "no.", "downloaded", "http", "pii:", "copyright", "available at", "elsevier", "sciencedirect", "www.", "doi:", "received", "accepted", "published", "online", "open access",
+    "working paper", "discussion paper", "series", "journal", "reproduction", "rights reserved", "commercial re-use", "permissions", "original unedited manuscript", "downloaded from", "https://",
+    "university", "universite", "universit", "department", "school ", "institute", "laborator",
+)
+TITLE_STOPS = ("abstract", "introduction")

@@ -108,11 +108,15 @@ def combined(cit: DataFrame, coc: DataFrame, cou: DataFrame) -> DataFrame:
     both = _with_hubs(pairs, hubs.select(F.col("a").alias("node"), F.col("b").alias("hub")))
     common = F.array_intersect("hubs_a", "hubs_b")
     for mark in marks:
-        n = F.size(F.filter(common, lambda h, mark=mark: h.startswith(f"{mark}:")))
+        n = F.size(F.filter(common, _marked(mark)))
         both = both.withColumn("w", F.col("w") + F.when((n > 0) & ~F.array_contains("marks", mark), soft_weight(F.lit(mark), n)).otherwise(0.0))
     return both.select(F.lit("pair").alias("kind"), "a", "b", F.round("w", 6).alias("weight")).unionByName(hubs.select(F.lit("hub").alias("kind"), "a", "b", "weight"))
 
 
+def _marked(mark: str) -> Callable[[Column], Column]:
+    return lambda hub: hub.startswith(f"{mark}:")
+
+
 def soft_weight(mark: Column, count: Column) -> Column:
     return F.when(mark == "cocitation", 0.8 + F.least(F.lit(2.0), count * 0.15)).otherwise(0.7 + F.least(F.lit(2.0), count * 0.12))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from litmill.plans import catalog, core_queries, dedupe_queries, graph_queries, library_queries, pattern_queries, retrieval_queries, text_queries, work_queries  # noqa: F401 - they register their queries
+from litmill.plans import catalog, core_queries, dedupe_queries, graph_queries, library_queries, maintenance_queries, pattern_queries, retrieval_queries, text_queries, work_queries  # noqa: F401 - they register their queries
 
 
 def queries() -> dict[str, catalog.Query]:

@@ -99,6 +99,15 @@ def test_degrees_do_not_depend_on_what_counts_as_a_hub(spark, links):
     assert rows(1) == rows(3) == rows(100) == {r.node: r.degree for r in graph(2).collect()}
 
 
+def test_weights_count_the_hubs_that_only_one_relation_has(spark):
+    papers = spark.createDataFrame([(f"p{k}",) for k in range(6)], "paper_id string")
+    cit = spark.createDataFrame([("p0", "p1")], "src string, dst string")
+    e = spark.createDataFrame([(f"p{k}", "hub") for k in range(5)], "src string, dst string")
+    rows = lambda hub: {(r.kind, r.a, r.b): r.weight for r in gr.combined(cit, gr.cocitation(cit, papers, hub), gr.coupling(e, papers, hub)).collect()}
+    assert rows(4)["pair", "p0", "p1"] == rows(10)["pair", "p0", "p1"] == 1.82
+    assert ("hub", "p4", "coupling:hub") in rows(4) and len(rows(4)) == 6
+
+
 def test_search_results_dedupe(spark):
     rows = [(1, "A", "10.1/X", "2020", "", None), (2, "a", "10.1/x ", "Unknown", "s" * 300, "u"), (3, "T!", None, None, None, None), (4, "t", "", "2020", None, None), (5, "t", "", "2021", None, None)]
     r = dd.dedupe_results(spark.createDataFrame(rows, "ord int, title string, doi string, published string, summary string, pdf_url string"), "ord").collect()
