@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from litmill.session import checkpoint, distinct_names, materialize
+from litmill.session import checkpoint, distinct_names, materialize, sized
 
 RADIUS = 2
 #: Cells of the metric space: this many times the cube root of the number of registry keys.
@@ -288,7 +288,8 @@ def radius_join(left: DataFrame, right: DataFrame, radius: int = RADIUS) -> Data
 
     kept = F.flatten(F.flatten(F.transform(F.sequence(n - radius, n + radius), lambda size: F.transform(no, lambda i: places(size, i)))))
     a = a.select(F.col("s").alias("l"), "cell", F.explode(F.array_distinct(kept)).alias("k"))
-    met = a.join(b, ["cell", "k"]).where(F.levenshtein("l", "r", radius) >= 0)
+    # both sides are far larger here than the tables they come from, by whose size a broadcast would be chosen
+    met = a.hint("merge").join(b, ["cell", "k"]).where(F.levenshtein("l", "r", radius) >= 0)
     return met.select("l", "r").distinct()
 
 
@@ -346,7 +347,8 @@ def link_names(spellings: DataFrame, registry: DataFrame) -> DataFrame:
     judged = materialize(judged.where(F.col("cost") <= MAX_COST).groupBy("name", "entity_no").agg(F.min("cost").alias("cost")))
     best = judged.groupBy("name").agg(F.min(F.struct("cost", "entity_no")).alias("first"), F.max(F.struct((-F.col("cost")).alias("gain"), F.col("entity_no"))).alias("last"))
     best = best.select("name", F.col("first.cost").alias("cost"), (F.col("first.entity_no") != F.col("last.entity_no")).alias("tied"))
-    return judged.join(best, ["name", "cost"]).join(entities, "entity_no").select("name", "entity_no", "entity_name", "cost", "tied")
+    out = judged.join(sized(best, judged), ["name", "cost"]).join(entities, "entity_no").select("name", "entity_no", "entity_name", "cost", "tied")
+    return sized(out, judged)
 
 
 def variant_spellings(papers: DataFrame, registry: DataFrame) -> DataFrame:
