@@ -269,9 +269,10 @@ def best_per_paper(hits: DataFrame, n: int) -> DataFrame:
 def excerpts_per_paper(hits: DataFrame, n: int, most: int = 500, each: int = 2) -> DataFrame:
     """(query_id, title, similarity, excerpts): of the first n titles the first hit's similarity and two excerpts."""
     cut = F.when(F.length("text") > most, F.concat(F.substring("text", 1, most), F.lit("..."))).otherwise(F.col("text"))
-    g = hits.withColumn("x", F.struct("rank", cut.alias("t"))).groupBy("query_id", "title").agg(
-        F.min_by(F.round(1 / (1 + F.col("distance")), 6), "rank").alias("similarity"), F.min("rank").alias("first"),
-        F.slice(F.array_sort(F.collect_list("x")), 1, each).alias("xs"),
+    # ranked before they are gathered, so no list is longer than `each`
+    first = hits.withColumn("_no", F.row_number().over(W.partitionBy("query_id", "title").orderBy("rank"))).where(F.col("_no") <= each)
+    g = first.withColumn("x", F.struct("rank", cut.alias("t"))).groupBy("query_id", "title").agg(
+        F.min_by(F.round(1 / (1 + F.col("distance")), 6), "rank").alias("similarity"), F.min("rank").alias("first"), F.array_sort(F.collect_list("x")).alias("xs"),
     )
     return top_n(g, n, F.asc("first")).select("query_id", "title", "similarity", F.array_join(F.col("xs.t"), "\n\n").alias("excerpts"))
 
