@@ -25,3 +25,11 @@ def test_similar_titles_meet_without_a_shuffle(spark, monkeypatch):
     assert "Exchange" not in plan_of(got)
     all_pairs = q.withColumnRenamed("text", "a").crossJoin(t.withColumnRenamed("text", "b")).where(titles_similar(F.col("a"), F.col("b"))).select("query_id", "title_id")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, all_pairs.collect()))
+
+
+def test_titles_are_resolved_without_joining_the_hits(spark):
+    w = spark.createDataFrame([(1, "reef fishes halo"), (2, "nothing alike")], "query_id int, query string")
+    found = spark.createDataFrame([(5, "s", "Reef Fishes", ["A"], "d5", 1), (6, "s", "reef fishes halo", [], "d6", -2), (7, "s", "reef fishes halo", [], "d7", -2)], "ord int, source string, title string, authors array<string>, doi string, priority int")
+    got = rs.resolve_titles(w, found)
+    assert [tuple(r) for r in got.collect()] == [(1, "s", "reef fishes halo", "d6")]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
