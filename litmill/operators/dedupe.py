@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litmill.functions.text import extract_year, is_unknown, jaccard, last_names, normalize_title, parse_tags, strip, to_flag, tokens
-from litmill.session import materialize, union_all
+from litmill.session import materialize
 
 
 def dedupe_results(results: DataFrame, ord_: str) -> DataFrame:
@@ -76,15 +79,86 @@ def representatives(keys: DataFrame) -> DataFrame:
 TITLE, AUTHORS, YEAR, SAME_DOI, SAME_ID = 0.65, 0.25, 0.10, 0.25, 0.30
 
 
-def rarest(keys: DataFrame, sets: str, least: float) -> DataFrame:
-    """(ord, rare_<sets>): of each set so many of its rarest members that two sets with that Jaccard similarity share one.
+#: Buckets of words by hash whose counts give the order of rarity; the counts go to the driver.
+BUCKETS = 1 << 14
+
+
+def rarity(keys: DataFrame, sets: str) -> Callable[[Column], Column]:
+    """How often the bucket of a member of these sets is met; with the member itself a total order."""
+    count = keys.select(F.explode(sets).alias("x")).groupBy(F.pmod(F.xxhash64("x"), F.lit(BUCKETS)).alias("k")).agg(F.count("*").alias("n")).collect()
+    met = {r["k"]: r["n"] for r in count}
+    known = F.from_json(F.lit(json.dumps([met.get(k, 0) for k in range(BUCKETS)])), "array<bigint>")
+    return lambda x: F.get(known, F.pmod(F.xxhash64(x), F.lit(BUCKETS)).cast("int"))
+
+
+def rarest(sets: str, often: Callable[[Column], Column], least: float) -> Column:
+    """Of each set so many of its rarest members that two sets with that Jaccard similarity share one.
 
     Two sets with a similarity of t share one of the first n - ceil(t n) + 1 in any common order.
     """
-    df = keys.select(F.explode(sets).alias("x")).groupBy("x").agg(F.count("*").alias("df"))
-    ranked = keys.select("ord", F.explode(sets).alias("x")).join(df, "x").groupBy("ord").agg(F.array_sort(F.collect_list(F.struct("df", "x"))).alias("r"))
-    n = F.size("r")
-    return ranked.select("ord", F.transform(F.slice("r", F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int")), lambda x: x["x"]).alias(f"rare_{sets}"))
+    r, n = F.array_sort(F.transform(sets, lambda x: F.struct(often(x).alias("df"), x.alias("x")))), F.size(sets)
+    return F.transform(F.slice(r, F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int")), lambda x: x["x"])
+
+
+def _least_shares(least: float) -> tuple[float, float]:
+    """Least shares of common title words and family names in a pair that no boost lifts to a score."""
+    title, alike = ((least - 5e-5 - rest) / of - 1e-9 for rest, of in ((AUTHORS + YEAR, TITLE), (TITLE + YEAR, AUTHORS)))
+    return max(0.01, title), alike
+
+
+def _by_rarity(sets: str, often: Callable[[Column], Column]) -> Column:
+    """The members of a set as hashes, the rarest first."""
+    return F.transform(F.array_sort(F.transform(sets, lambda x: F.struct(often(x).alias("df"), F.xxhash64(x).alias("x")))), lambda x: x["x"])
+
+
+def _first(sets: Column, least: float) -> Column:
+    n = F.size(sets)
+    return F.slice(sets, F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int"))
+
+
+def blocked(keys: DataFrame, library: DataFrame, least: float, prefix: Column) -> DataFrame:
+    """keys with a row for each block: one of a rare title word and a rare family name, by their rarity in the library, of a DOI or of an id.
+
+    All that is compared goes with them as hashes of 64 bits: words and names the rarest first, so the
+    blocks that two records share can be told from either.
+    """
+    title, alike = _least_shares(least)
+    k = keys.select(
+        "ord", "year", _by_rarity("toks", rarity(library, "toks")).alias("toks"), _by_rarity("names", rarity(library, "names")).alias("names"),
+        F.xxhash64(prefix).alias("at"), F.xxhash64(doi_block()).alias("doi"), doi_block().isNotNull().alias("has_doi"), F.xxhash64("cid").alias("cid"), (F.col("cid") != "").alias("has_cid"),
+    )
+    rows = lambda df, *cols: df.select(*cols, "ord", "year", "toks", "names", F.when(F.col("has_doi"), F.col("doi")).alias("doi"), F.when(F.col("has_cid"), F.col("cid")).alias("cid"), "at")
+    none = F.lit(0).cast("bigint")
+    some = F.transform(_first(F.col("names"), alike), lambda x: x) if alike > 0 else F.array(none)
+    pairs = F.flatten(F.transform(_first(F.col("toks"), title), lambda t: F.transform(some, lambda x: F.struct(t.alias("word"), x.alias("name")))))
+    boosts = F.filter(F.array(F.struct(F.when(F.col("has_doi"), F.col("doi")).alias("word"), F.lit(1).cast("bigint").alias("name")), F.struct(F.when(F.col("has_cid"), F.xxhash64("at", "cid")).alias("word"), F.lit(2).cast("bigint").alias("name"))), lambda x: x["word"].isNotNull())
+    words = rows(k.withColumn("b", F.explode(pairs)), F.xxhash64("at", "b.word", "b.name").alias("block"), F.col("b.word").alias("word"), F.col("b.name").alias("name"))
+    sure = rows(k.withColumn("b", F.explode(boosts)), F.xxhash64("b.word", "b.name").alias("block"), F.lit(None).cast("bigint").alias("word"), F.col("b.name").alias("name"))
+    return words.unionByName(sure)
+
+
+def met(a: DataFrame, b: DataFrame, least: float) -> DataFrame:
+    """Pairs of `blocked` rows that can reach that combined score by the words of their titles, each made once: where both first meet.
+
+    Nothing is shuffled after the join; columns are as in pairs of keys, words and names as hashes.
+    """
+    title, alike = _least_shares(least)
+    side = lambda df, s: df.select("block", *[F.col(c).alias(f"{c}_{s}") for c in df.columns if c != "block"])
+    j = side(a, "a").join(side(b, "b"), "block").where("ord_a <> ord_b and word_a <=> word_b and name_a = name_b")
+    same_doi, same_cid = F.coalesce(F.col("doi_a") == F.col("doi_b"), F.lit(False)), F.coalesce(F.col("cid_a") == F.col("cid_b"), F.lit(False))
+    # a pair with the same DOI is made there, one with the same first character and id there, all others by words
+    by_id = same_cid & (F.col("at_a") == F.col("at_b"))
+    by_words = ~same_doi & ~by_id
+    words, names = jaccard(F.col("toks_a"), F.col("toks_b")), jaccard(F.col("names_a"), F.col("names_b"))
+    boost = F.when(same_cid, SAME_ID).otherwise(0.0)
+    reach = TITLE * words + AUTHORS * names + YEAR * year_similarity(F.col("year_a"), F.col("year_b")) + boost >= least - 6e-5
+    shared = lambda c, share: F.get(F.array_intersect(_first(F.col(f"{c}_a"), share), _first(F.col(f"{c}_b"), share)), F.lit(0))
+    once = F.col("word_a") == shared("toks", title)
+    if alike > 0:
+        once &= F.col("name_a") == shared("names", alike)
+    by = F.when(F.col("word_a").isNotNull(), by_words & reach & once).when(F.col("name_a") == 1, same_doi).otherwise(by_id & ~same_doi)
+    some = lambda c, s: F.coalesce(F.col(f"{c}_{s}").cast("string"), F.lit("")).alias(f"{c}_{s}")
+    return j.where(by).select(*[x for s in "ab" for x in (f"ord_{s}", f"toks_{s}", f"names_{s}", f"year_{s}", some("doi", s), some("cid", s))])
 
 
 def candidate_pairs(keys: DataFrame, least: float = 0.0) -> DataFrame:
@@ -95,24 +169,16 @@ def candidate_pairs(keys: DataFrame, least: float = 0.0) -> DataFrame:
     and id; and pairs with the same first character whose titles and names are similar enough. The
     last share one of the rarest words of both titles and, as title and year alone do not reach
     0.75, one of the rarest family names of both (prefix filters), so blocks are as fine as a rare
-    word with a rare name, where the plain blocks are as coarse as the alphabet.
+    word with a rare name. Their words, names, DOI and id are hashes of 64 bits, equal where those are.
     """
     first = F.substring("norm", 1, 1)
-    doi = doi_block()
     if least <= 0:
-        blocks = [keys.withColumn("block", F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), first), doi))))]
-    else:
-        title, alike = ((least - 5e-5 - rest) / of - 1e-9 for rest, of in ((AUTHORS + YEAR, TITLE), (TITLE + YEAR, AUTHORS)))
-        words = keys.join(rarest(keys, "toks", max(0.01, title)), "ord")
-        if alike > 0:
-            words = words.join(rarest(keys, "names", alike), "ord").withColumn("block", F.explode(F.flatten(F.transform("rare_toks", lambda t: F.transform("rare_names", lambda x: F.concat_ws(":", F.lit("t"), first, t, x))))))
-        else:
-            words = words.withColumn("block", F.explode(F.transform("rare_toks", lambda t: F.concat_ws(":", F.lit("t"), first, t))))
-        same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
-        blocks = [words.select(*keys.columns, "block"), keys.withColumn("block", F.explode(F.array_compact(F.array(doi, same))))]
-    b = union_all(blocks)
-    side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in keys.columns])
-    return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
+        b = keys.withColumn("block", F.explode(F.array_compact(F.array(F.concat(F.lit("c:"), first), doi_block()))))
+        side = lambda s: b.select("block", *[F.col(c).alias(f"{c}_{s}") for c in keys.columns])
+        return side("a").join(side("b"), "block").where("ord_a < ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
+    keys = materialize(keys)
+    b = blocked(keys, keys, least, first)
+    return met(b, b, least).where("ord_a < ord_b")
 
 
 @F.arrow_udf(T.BooleanType())
@@ -136,7 +202,8 @@ def full_pairs(keys: DataFrame, least: float) -> DataFrame:
     if alike <= 0:
         return candidate_pairs(keys)
     first = F.substring("norm", 1, 1)
-    named = keys.join(rarest(keys, "names", alike), "ord").withColumnRenamed("rare_names", "rare").withColumn("block", F.explode(F.transform("rare", lambda x: F.concat(first, x))))
+    keys = materialize(keys)
+    named = keys.withColumn("rare", rarest("names", rarity(keys, "names"), alike)).withColumn("block", F.explode(F.transform("rare", lambda x: F.concat(first, x))))
     same = F.when(F.col("cid") != "", F.concat(F.lit("i:"), first, F.col("cid")))
 
     def joined(b: DataFrame) -> DataFrame:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from litmill.functions.rules import TITLE_JUNK, TITLE_STOPS
 from litmill.functions.text import canonical_id, is_unknown, normalize_doi, strip, title_in_text
-from litmill.operators.dedupe import doi_block, merge_groups, score_pairs
+from litmill.operators.dedupe import blocked, doi_block, merge_groups, met, score_pairs
 from litmill.operators.library import authors_unknown, needs_fix
 from litmill.operators.ordering import numbered
+from litmill.session import materialize
 
 
 def title_key(c: Column) -> Column:
@@ -58,13 +59,20 @@ def one_against_all(seeds: DataFrame, keys: DataFrame, least: float = 0.84, sequ
     """Scored pairs (paper_a a seed, paper_b any other record) with at least that combined score.
 
     seeds and keys are as `dedupe.pair_keys` gives them. Above 0.75 a pair shares a family name, the
-    DOI or the id, so seeds meet the library there and nowhere else; no record is left out.
+    DOI or the id, so seeds meet the library there and nowhere else;
+    without the sequence ratio, at one of the rarest title words with one of the rarest family names
+    of both. No record is left out.
     """
     if least <= 0.75:
         raise ValueError("a score of 0.75 needs no shared name, DOI or id")
-    blocks = F.array_compact(F.concat(F.transform("names", lambda n: F.concat(F.lit("n:"), n)), F.array(doi_block(), F.when(F.col("cid") != "", F.concat(F.lit("i:"), F.col("cid"))))))
-    side = lambda df, s: df.select(F.explode(F.array_distinct(blocks)).alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in df.columns])
-    pairs = side(seeds, "a").join(side(keys, "b"), "block").where("ord_a <> ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
+    if sequence:
+        blocks = F.array_compact(F.concat(F.transform("names", lambda n: F.concat(F.lit("n:"), n)), F.array(doi_block(), F.when(F.col("cid") != "", F.concat(F.lit("i:"), F.col("cid"))))))
+        side = lambda df, s: df.select(F.explode(F.array_distinct(blocks)).alias("block"), *[F.col(c).alias(f"{c}_{s}") for c in df.columns])
+        pairs = side(seeds, "a").join(side(keys, "b"), "block").where("ord_a <> ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
+    else:
+        keys = materialize(keys)
+        of = lambda df: blocked(df, keys, least, F.lit(""))
+        pairs = met(of(seeds), of(keys), least)
     return score_pairs(pairs, sequence).where(F.col("combined_score") >= least)
 
 

@@ -5,6 +5,8 @@ import random
 from pyspark.sql import functions as F
 
 from litmill.functions.text import titles_similar
+from litmill.operators import dedupe as dd
+from litmill.operators import maintenance as mt
 from litmill.sources import responses as rs
 
 
@@ -33,3 +35,27 @@ def test_titles_are_resolved_without_joining_the_hits(spark):
     got = rs.resolve_titles(w, found)
     assert [tuple(r) for r in got.collect()] == [(1, "s", "reef fishes halo", "d6")]
     assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def random_keys(spark, n, seed):
+    r = random.Random(seed)
+    words, names = ["reef", "fishes", "halo", "gene", "shock", "waves", "orbit"], ["Ng", "Lee", "Roe", "Poe"]
+    rows = [(f"p{k:04}", " ".join(r.choices(words, k=r.randint(1, 5))), [f"A. {x}" for x in r.choices(names, k=r.randint(0, 3))], r.choice(["2001", "2002", ""]), r.choice(["10.1/a", "10.1/b", "unknown", "", None]), r.choice(["c1", "c2", "", None])) for k in range(n)]
+    return dd.pair_keys(spark.createDataFrame(rows, "paper_id string, title string, authors array<string>, published string, doi string, canonical_id string"), "paper_id")
+
+
+def scores(pairs):
+    return sorted(map(tuple, dd.score_pairs(pairs, sequence=False).where("combined_score >= 0.84").collect()))
+
+
+def exchanges(df):
+    return sum("Exchange " in x and "Reused" not in x for x in plan_of(df).splitlines())
+
+
+def test_one_against_all_shuffles_no_pairs(spark):
+    keys = random_keys(spark, 90, 5)
+    seeds = keys.where("ord like '%0'")
+    side = lambda df, s: df.select(*[F.col(c).alias(f"{c}_{s}") for c in df.columns])
+    got = mt.one_against_all(seeds, keys, sequence=False)
+    assert exchanges(got) <= 2  # one for each side of the join
+    assert sorted(map(tuple, got.collect())) == scores(side(seeds, "a").crossJoin(side(keys, "b")).where("ord_a <> ord_b"))
