@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions.text import titles_similar
 from litmill.operators import dedupe as dd
+from litmill.operators import graph as gr
 from litmill.operators import maintenance as mt
 from litmill.sources import responses as rs
 
@@ -66,3 +67,21 @@ def test_candidate_pairs_shuffle_no_pairs(spark):
     got = dd.candidate_pairs(keys, 0.84)
     assert exchanges(got) <= 2
     assert scores(got) == scores(dd.candidate_pairs(keys)) != []
+
+
+def test_degrees_by_hubs_make_no_pairs_of_kinds(spark):
+    r = random.Random(3)
+    links = {(k, "all") for k in range(300)} | {(k, f"h{r.randrange(40)}") for k in range(400) for _ in range(3)}
+    hubs = spark.createDataFrame(sorted(links), "node int, hub string")
+    pairs = spark.createDataFrame([(0, 1), (390, 391), (500, 501)], "a int, b int")
+    of = {}
+    for n, h in links:
+        of.setdefault(h, set()).add(n)
+    near = {n: set() for n, _ in links} | {500: {501}, 501: {500}}
+    for n, h in links:
+        near[n] |= of[h] - {n}
+    near[390].add(391), near[391].add(390)
+    for span in (64, 1 << 18):
+        got = gr.linked(pairs, hubs, span)
+        assert {x.node: x.degree for x in got.collect()} == {n: len(x) for n, x in near.items() if x}
+        assert "CoGroupsInArrow" in plan_of(got)
