@@ -85,3 +85,12 @@ def test_degrees_by_hubs_make_no_pairs_of_kinds(spark):
         got = gr.linked(pairs, hubs, span)
         assert {x.node: x.degree for x in got.collect()} == {n: len(x) for n, x in near.items() if x}
         assert "CoGroupsInArrow" in plan_of(got)
+
+
+def test_stated_order_runs_no_fit(spark, sf, monkeypatch):
+    from litmill.llm import fusion, queries
+
+    fitted = fusion.paper_fusion(spark.read.parquet(f"{sf}/papers.parquet"), spark.read.parquet(f"{sf}/paper_sources.parquet")).survivors(keep=0.0).drop("posterior")
+    want = sorted(map(tuple, fitted.collect()))
+    monkeypatch.setattr(fusion.Fusion, "resolve", None)
+    assert sorted(map(tuple, queries.p1_found(spark, sf).collect())) == want
