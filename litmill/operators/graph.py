@@ -127,6 +127,17 @@ def coupling(edges: DataFrame, papers: DataFrame, hub: int = HUB) -> DataFrame:
     return _pairs(e, "src", "dst", hub)
 
 
+def cocited_at(cit: DataFrame) -> DataFrame:
+    """(node, at): what links nodes by co-citation, the paper that cites them."""
+    return cit.select(F.col("dst").alias("node"), F.col("src").alias("at"))
+
+
+def coupled_at(edges: DataFrame, papers: DataFrame) -> DataFrame:
+    """(node, at): what links nodes by coupling, the work that they cite."""
+    e = citations(edges).join(papers.select(F.col("paper_id").alias("src")).distinct(), "src", "left_semi")
+    return e.select(F.col("src").alias("node"), F.col("dst").alias("at"))
+
+
 def coauthors(papers: DataFrame, hub: int = HUB) -> DataFrame:
     """(kind, a, b, weight): pairs of names on the same paper, and on how many."""
     names = papers.select("paper_id", F.explode("authors").alias("name")).where("name is not null and trim(name) <> ''").distinct()
@@ -174,15 +185,63 @@ def degree(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return pairs.select(F.col(a).alias("node")).unionAll(pairs.select(F.col(b).alias("node"))).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def unread(papers: DataFrame, cit: DataFrame, coc: DataFrame, cou: DataFrame, k: int = 10) -> DataFrame:
-    """The k papers outside the reading list with the most links."""
-    named = lambda df, name: df.withColumnsRenamed({"node": "paper_id", "degree": name})
-    p = papers.where(~F.coalesce("in_reading_list", F.lit(False))).select("paper_id", "title")
-    for x in (named(degree(cit, "src", "dst"), "citation_links"), named(degrees(coc), "cocitation_links"), named(degrees(cou), "coupling_links")):
-        p = p.join(x, "paper_id", "left")
-    p = p.fillna(0, ["citation_links", "cocitation_links", "coupling_links"])
-    score = F.round(2.0 * F.col("citation_links") + 1.2 * F.col("cocitation_links") + 1.0 * F.col("coupling_links"), 3)
-    return p.withColumn("score", score).orderBy(F.desc("score"), "paper_id").limit(k)
+#: Papers whose links are counted at once in the first, second and later rounds of `unread`, in words of 64.
+ROUNDS = (1, 16, 64)
+
+
+def unread(papers: DataFrame, cit: DataFrame, coc: DataFrame, cou: DataFrame, k: int = 10, rounds: tuple[int, ...] = ROUNDS) -> DataFrame:
+    """The k papers outside the reading list with the most links.
+
+    cit: citations (src, dst). coc, cou: distinct links (node, at); two nodes at the same place are
+    linked. A paper has no more links than its places have other nodes, one by one; papers are
+    counted in the order of that bound until none that is left can come among the k. No pair is made.
+    """
+    places = [materialize(x.select("node", "at")) for x in (coc, cou)]
+    p = papers.where(~F.coalesce("in_reading_list", F.lit(False)))
+    own = p.select("paper_id").distinct().join(degree(cit, "src", "dst").withColumnsRenamed({"node": "paper_id", "degree": "cit"}), "paper_id", "left")
+    for name, links in zip(("coc", "cou"), places):
+        others = links.join(links.groupBy("at").agg((F.count("*") - 1).alias("n")), "at").groupBy(F.col("node").alias("paper_id")).agg(F.sum("n").alias(name))
+        own = own.join(others, "paper_id", "left")
+    own = own.fillna(0, ["cit", "coc", "cou"])
+    bound = materialize(own.select("paper_id", "cit", F.round(2.0 * F.col("cit") + 1.2 * F.col("coc") + 1.0 * F.col("cou"), 3).alias("bound")))
+    best: list[tuple] = []
+    order = lambda r: (-r[-1], r[0] is not None, r[0])
+    rest, turn = bound, 0
+    while True:
+        n = 64 * rounds[min(turn, len(rounds) - 1)]
+        batch = rest.orderBy(F.desc("bound"), "paper_id").limit(n).collect()
+        if turn and len(best) == k:  # those behind the last of the k are neither counted nor in the result
+            batch = [r for r in batch if order((r["paper_id"], r["bound"])) < order(best[-1])]
+        counted = [_others([r["paper_id"] for r in batch], links) for links in places] if batch else []
+        scored = [(r["paper_id"], r["cit"], x, y, round(2.0 * r["cit"] + 1.2 * x + 1.0 * y, 3)) for r, x, y in zip(batch, *counted)] if batch else []
+        best = sorted(best + scored, key=order)[:k]
+        if len(batch) < n:
+            break
+        last, turn = batch[-1], turn + 1
+        after = F.col("paper_id").isNotNull() if last["paper_id"] is None else F.col("paper_id") > last["paper_id"]
+        rest = bound.where((F.col("bound") < last["bound"]) | ((F.col("bound") == last["bound"]) & after))
+    top = p.sparkSession.createDataFrame(best, f"top_id {dict(p.dtypes)['paper_id']}, citation_links bigint, cocitation_links bigint, coupling_links bigint, score double")
+    j = p.select("paper_id", "title").join(F.broadcast(top), F.col("paper_id").eqNullSafe(F.col("top_id")))  # k rows
+    return j.drop("top_id").orderBy(F.desc("score"), "paper_id").limit(k)
+
+
+def _others(nodes: list, links: DataFrame) -> list[int]:
+    """For each of these nodes how many others have a place (node, at) in common with it, by one bit a node."""
+    asked = links.sparkSession.createDataFrame([(x, i // 64, (1 << i % 64) - (1 << 64 if i % 64 == 63 else 0)) for i, x in enumerate(nodes)], f"node {dict(links.dtypes)['node']}, word int, bit bigint")
+    words = range(-(-len(nodes) // 64))
+    bits = [F.bit_or(F.when(F.col("word") == j, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"m{j}") for j in words]
+    at = links.join(F.broadcast(asked), "node").groupBy("at").agg(*bits)
+    met = links.join(at, "at").groupBy("node").agg(*[F.bit_or(f"m{j}").alias(f"m{j}") for j in words]).drop("node")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(64 * len(words), np.int64)
+        for batch in batches:
+            for j, x in enumerate(batch.columns):
+                n[64 * j : 64 * j + 64] += np.unpackbits(x.to_numpy(zero_copy_only=False).astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n))), pa.array(n)], names=["i", "n"])
+
+    n = {r["i"]: r["n"] for r in met.mapInArrow(count, "i bigint, n bigint").groupBy("i").agg(F.sum("n").alias("n")).collect()}
+    return [max(0, n.get(i, 0) - 1) for i in range(len(nodes))]
 
 
 def missing(external: DataFrame, info: DataFrame, papers: DataFrame, k: int = 12) -> DataFrame:

@@ -94,3 +94,23 @@ def test_stated_order_runs_no_fit(spark, sf, monkeypatch):
     want = sorted(map(tuple, fitted.collect()))
     monkeypatch.setattr(fusion.Fusion, "resolve", None)
     assert sorted(map(tuple, queries.p1_found(spark, sf).collect())) == want
+
+
+def test_unread_papers_make_no_pairs(spark, monkeypatch):
+    r = random.Random(8)
+    ids = [f"p{k:03}" for k in range(200)]
+    e = {(x, "hub") for x in ids[:150]} | {(r.choice(ids), r.choice(ids[:40] + ["x", "y", "z"])) for _ in range(500)} | {("out", "p001"), ("p002", "p002")}
+    papers = spark.createDataFrame([(x, f"T{x}", r.choice([True, False, None])) for x in ids] + [(None, "no id", None)], "paper_id string, title string, in_reading_list boolean")
+    edges = spark.createDataFrame(sorted(e) + [(None, "p003"), ("p003", None)], "src string, dst string")
+    cit = {x for x in e if {*x} <= {*ids}}
+    near = lambda links: {x: {y for y, b in links for z, a in links if z == x and a == b} - {x} for x in ids}
+    coc, cou = near({(b, a) for a, b in cit}), near({x for x in e if x[0] in ids})
+    score = lambda x: round(2.0 * sum((a == x) + (b == x) for a, b in cit) + 1.2 * len(coc[x]) + len(cou[x]), 3)
+    outside = [x.paper_id for x in papers.where("paper_id is not null and in_reading_list is not true").collect()]
+    want = sorted(((x, score(x)) for x in outside), key=lambda x: (-x[1], x[0]))
+    monkeypatch.setattr(gr, "_pairs", None)
+    c = gr.in_library(edges, papers)
+    got = gr.unread(papers, c, gr.cocited_at(c), gr.coupled_at(edges, papers), k=70, rounds=(1,))
+    assert [(x.paper_id, x.score) for x in got.collect()] == want[:70]
+    every = gr.unread(papers, c, gr.cocited_at(c), gr.coupled_at(edges, papers), k=300).collect()
+    assert sorted(x.paper_id or "" for x in every) == ["", *outside]
