@@ -114,3 +114,13 @@ def test_unread_papers_make_no_pairs(spark, monkeypatch):
     assert [(x.paper_id, x.score) for x in got.collect()] == want[:70]
     every = gr.unread(papers, c, gr.cocited_at(c), gr.coupled_at(edges, papers), k=300).collect()
     assert sorted(x.paper_id or "" for x in every) == ["", *outside]
+
+
+def test_each_task_gives_one_title_to_a_query(spark, monkeypatch):
+    monkeypatch.setattr(rs, "QUERY_BLOCK", 7)
+    q, t = titles_of(spark, 20, "query_id", 1), titles_of(spark, 60, "n", 4).repartition(3)
+    t = t.select(F.struct((F.col("n") % 3 - 1).alias("priority"), F.col("n").alias("ord")).alias("title_id"), "text")
+    every, first = rs.similar_titles(q, t), rs.similar_titles(q, t, first=True)
+    least = lambda df: sorted(map(tuple, df.groupBy("query_id").agg(F.min("title_id")).collect()))
+    assert least(first) == least(every) != []
+    assert first.count() <= 3 * 21 < every.count()
