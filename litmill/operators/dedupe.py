@@ -118,11 +118,24 @@ def _first(sets: Column, least: float) -> Column:
     return F.slice(sets, F.lit(1), (n - F.ceil(n * F.lit(least)) + 1).cast("int"))
 
 
-def blocked(keys: DataFrame, library: DataFrame, least: float, prefix: Column) -> DataFrame:
+#: Words of 64 bits in which `sieve` marks what is there; they go to the driver and out with the plan.
+SIEVE = 1 << 16
+
+
+def sieve(rows: DataFrame, hashed: str) -> Callable[[Column], Column]:
+    """Whether a hash of 64 bits may be in that column of rows: all that are there pass, and few others unless they are very many."""
+    word, bit = f"pmod({hashed}, {SIEVE})", f"shiftleft(1L, cast(pmod(shiftright({hashed}, 32), 64) as int))"
+    marked = rows.where(F.col(hashed).isNotNull()).groupBy(F.expr(word).alias("k")).agg(F.expr(f"bit_or({bit})").alias("bits")).collect()
+    bits = {r["k"]: r["bits"] for r in marked}
+    known = F.from_json(F.lit(json.dumps([bits.get(k, 0) for k in range(SIEVE)])), "array<bigint>")
+    return lambda x: F.bit_get(F.get(known, F.pmod(x, F.lit(SIEVE)).cast("int")), F.pmod(F.shiftright(x, 32), F.lit(64)).cast("int")) == 1
+
+
+def blocked(keys: DataFrame, library: DataFrame, least: float, prefix: Column, among: Callable[[Column], Column] | None = None) -> DataFrame:
     """keys with a row for each block: one of a rare title word and a rare family name, by their rarity in the library, of a DOI or of an id.
 
     All that is compared goes with them as hashes of 64 bits: words and names the rarest first, so the
-    blocks that two records share can be told from either.
+    blocks that two records share can be told from either. With `among` only the blocks that pass it.
     """
     title, alike = _least_shares(least)
     k = keys.select(
@@ -136,7 +149,8 @@ def blocked(keys: DataFrame, library: DataFrame, least: float, prefix: Column) -
     boosts = F.filter(F.array(F.struct(F.when(F.col("has_doi"), F.col("doi")).alias("word"), F.lit(1).cast("bigint").alias("name")), F.struct(F.when(F.col("has_cid"), F.xxhash64("at", "cid")).alias("word"), F.lit(2).cast("bigint").alias("name"))), lambda x: x["word"].isNotNull())
     words = rows(k.withColumn("b", F.explode(pairs)), F.xxhash64("at", "b.word", "b.name").alias("block"), F.col("b.word").alias("word"), F.col("b.name").alias("name"))
     sure = rows(k.withColumn("b", F.explode(boosts)), F.xxhash64("b.word", "b.name").alias("block"), F.lit(None).cast("bigint").alias("word"), F.col("b.name").alias("name"))
-    return words.unionByName(sure)
+    rows = words.unionByName(sure)
+    return rows.where(among(F.col("block"))) if among else rows
 
 
 def met(a: DataFrame, b: DataFrame, least: float) -> DataFrame:

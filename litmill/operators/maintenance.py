@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from litmill.functions.rules import TITLE_JUNK, TITLE_STOPS
 from litmill.functions.text import canonical_id, is_unknown, normalize_doi, strip, title_in_text
-from litmill.operators.dedupe import blocked, doi_block, merge_groups, met, score_pairs
+from litmill.operators.dedupe import blocked, doi_block, merge_groups, met, score_pairs, sieve
 from litmill.operators.library import authors_unknown, needs_fix
 from litmill.operators.ordering import numbered
 from litmill.session import materialize
@@ -71,8 +71,9 @@ def one_against_all(seeds: DataFrame, keys: DataFrame, least: float = 0.84, sequ
         pairs = side(seeds, "a").join(side(keys, "b"), "block").where("ord_a <> ord_b").drop("block").dropDuplicates(["ord_a", "ord_b"])
     else:
         keys = materialize(keys)
-        of = lambda df: blocked(df, keys, least, F.lit(""))
-        pairs = met(of(seeds), of(keys), least)
+        mine = materialize(blocked(seeds, keys, least, F.lit("")))
+        # of the library only the rows of blocks that a seed may be in are sent
+        pairs = met(mine, blocked(keys, keys, least, F.lit(""), sieve(mine, "block")), least)
     return score_pairs(pairs, sequence).where(F.col("combined_score") >= least)
 
 

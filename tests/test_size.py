@@ -139,3 +139,13 @@ def test_full_pairs_are_made_only_if_they_can_reach_the_score(spark):
         assert full(got) == want != []
     n = keys.where("doi = '10.'").count()
     assert got.where("doi_a = '10.' and doi_b = '10.'").count() < n * (n - 1) // 2
+
+
+def test_the_library_is_sifted_by_the_blocks_of_the_seeds(spark):
+    keys = dd.pair_keys(spark.createDataFrame([(f"p{k:03}", f"title{k} word{k % 50}", [f"A. Name{k % 40}"], "2001", f"10.1/{k % 60}", f"c{k}") for k in range(200)], "paper_id string, title string, authors array<string>, published string, doi string, canonical_id string"), "paper_id")
+    seeds = keys.where("ord = 'p007'")
+    mine, every = dd.blocked(seeds, keys, 0.84, F.lit("")), dd.blocked(keys, keys, 0.84, F.lit(""))
+    passed = dd.blocked(keys, keys, 0.84, F.lit(""), dd.sieve(mine, "block"))
+    assert passed.count() < every.count() / 10
+    met = lambda df: sorted(x.ord_b for x in dd.met(mine, df, 0.84).collect())
+    assert met(passed) == met(every) == ["p067", "p127", "p187"]
