@@ -180,3 +180,44 @@ def test_very_long_fields(spark):
     p, r = sources(spark)
     long = spark.createDataFrame([("long", "c9", "word " * 20_000, ["x" * 50_000], "9" * 50_000, "10.1/" + "y" * 50_000, 1, "a")], p.schema)
     assert matching.match_papers(p.unionByName(long), r).count() == 13
+
+
+def test_records_with_half_a_title_and_a_name_in_common_make_no_pairs(spark):
+    """Forty subtitles by one name on either side: alike in half a title only, so they are no candidates, and are sifted in the block."""
+    import random
+
+    rnd = random.Random(4)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrtuvwxyz", k=8)) for _ in range(40)]
+    title = lambda k, n: f"{words[k % 40].title()} {words[k * 7 % 40]} {words[(k * 3 + n) % 40]} growth: beyond Rakstad"
+    schema = f"id bigint, {FIELDS}"
+    p, r = ([(k, title(k + n, n), ["Ines Skotov"], None, None) for k in range(40)] for n in (0, 11))
+    r += [(100 + k, p[k][1].replace("growth", "grwoth").replace("Beyond", "Beyod").replace("a ", "ae ", 1), ["Ines Skotov"], None, None) for k in range(40)]
+    sides = [matching.prepare(spark.createDataFrame(x, schema), "id", right=n == 1) for n, x in enumerate((p, r))]
+    profiles = [{x.id: matching.Profile(*[x[c] for c in matching.COMPARED]) for x in s.collect()} for s in sides]
+    kept = lambda rows: {x for x in rows if matching.vector(profiles[0][x[0]], profiles[1][x[1]]) != (-1,) * 4}
+    pairs = lambda n: {(x.a, x.b) for x in matching.candidates(*sides, hot_block=n).collect()}
+    sifted, every = pairs(matching.HOT_BLOCK), {(x, y) for x in profiles[0] for y in profiles[1]}
+    assert kept(sifted) == kept(every) and len(kept(sifted)) >= 40
+    assert len(sifted) < len(every) / 4
+
+
+def test_the_sieve_refuses_only_what_the_vector_refuses():
+    import random
+
+    rnd = random.Random(5)
+    words, names = ["search", "look", "pricing", "tax", "microbial", "of", "Seasonal", "Rakstad", "II", "étude"], ["Wang, Wei", "Ines Skotov", "Li, X", "Institute for Market Studies", "IMS", "J. Köhler", "Fitzgerald"]
+
+    def damaged(x):
+        k = rnd.randrange(len(x) - 1)
+        return rnd.choice([x, x[:k] + x[k + 1 :], x[:k] + rnd.choice("aeé") + x[k + 1 :], x[:k] + x[k + 1] + x[k] + x[k + 2 :]])
+
+    def some():
+        title = " ".join(damaged(w) for w in rnd.choices(words, k=rnd.randint(1, 6)))
+        return matching.profile(rnd.choice([title, None, f"{title}: {' '.join(rnd.choices(words, k=3))}", title * 30]), [damaged(x) for x in rnd.sample(names, rnd.randint(0, 3))], None, rnd.choice([None, None, "10.1000/a", "10.1000/b"]))
+
+    x, y = [some() for _ in range(3000)], [some() for _ in range(3000)]
+    signs = lambda ps: matching._signs(matching.pa.array([matching.sign(p).tobytes() for p in ps], matching.pa.binary()))
+    passed = matching.sift(signs(x), signs(y))
+    refused = [matching.vector(p, q) == (-1,) * 4 for p, q in zip(x, y)]
+    assert not any(r is False and not ok for r, ok in zip(refused, passed.tolist()))
+    assert 0 < sum(passed) < len(x)
