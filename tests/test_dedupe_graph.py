@@ -1,6 +1,8 @@
 import random
+from types import SimpleNamespace
 
 import networkx_free as nx
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -70,6 +72,35 @@ def test_a_large_component_is_measured_like_a_small_one(spark):
     assert [r.node for r in gr.bridges(g, largest=2).collect()] == [r.node for r in gr.bridges(g).collect()]
 
 
+def test_paths_of_one_length_are_equal_whatever_their_size():
+    rows = [("n0", "n1", 100000.1), ("n1", "n3", 200000.2), ("n0", "n2", 100000.2), ("n2", "n3", 200000.1), ("n3", "n4", 0.000001), ("n4", "n5", 70.7), ("n3", "n5", 70.700001)]
+    at = lambda c: np.array([int(r[c][1:]) for r in rows], np.int32)
+    got = gr._betweenness(gr._Links(6, at(0), at(1), np.array([r[2] for r in rows])), range(6)) / 20
+    want = nx.betweenness([(*r[:2], round(r[2] * 1e6)) for r in rows])
+    assert {f"n{k}": round(x, 9) for k, x in enumerate(got)} == pytest.approx(want)
+
+
+@settings(max_examples=20, deadline=None)
+@given(st.sets(st.tuples(st.integers(0, 6), st.integers(0, 6)).filter(lambda e: e[0] < e[1]), min_size=1, max_size=10), st.sampled_from([(0.82, 0.94, 1.64), (0.1234567891, 0.7, 1.4), (1.0, 3000.0, 20000.0), (0.000001, 9000.0)]))
+def test_betweenness_of_any_tiles_and_lengths_by_brute_force(ends, lengths):
+    ends = sorted(ends | {(k, k + 1) for k in range(6)})  # one component
+    rows = [(f"n{a}", f"n{b}", lengths[(3 * a + b) % len(lengths)]) for a, b in ends]
+    a, b, w = (np.array(x) for x in zip(*[(*e, r[2]) for e, r in zip(ends, rows)]))
+    with pytest.MonkeyPatch.context() as m:
+        for name, value in (("TILE", 3), ("HEAVY", 3), ("AT_ONCE", 5), ("RUN", 4)):
+            m.setattr(gr, name, value)
+        got = gr._betweenness(gr._Links(7, a, b, w), range(7)) / 30
+    want = nx.betweenness([(*r[:2], round(r[2] * 1e10)) for r in rows])
+    assert {f"n{k}": round(x, 9) for k, x in enumerate(got)} == pytest.approx(want)
+
+
+def test_a_block_of_sources_looks_for_no_cut_vertices(monkeypatch):
+    monkeypatch.setattr(gr, "cut_vertices", None)  # they are found once, not once a block
+    ends = [np.array(x, np.int32).tobytes() for x in ([0, 1], [1, 2])]
+    r = SimpleNamespace(group_id="g", size=3, a=ends[0], b=ends[1], weight=np.array([1.0, 1.0]).tobytes(), first=0, after=1)
+    assert gr._measure_block(r)[["pos", "betweenness"]].values.tolist() == [[1, 1.0]]
+
+
 def test_missing_papers(spark):
     ext = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "src string, dst string")
     info = spark.createDataFrame([("x", "Missing X", 2022, 120), ("y", "Y", 2021, 45)], "ref_id string, title string, pub_year int, citation_count int")
