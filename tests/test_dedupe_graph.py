@@ -101,6 +101,52 @@ def test_a_block_of_sources_looks_for_no_cut_vertices(monkeypatch):
     assert gr._measure_block(r)[["pos", "betweenness"]].values.tolist() == [[1, 1.0]]
 
 
+def test_bridges_do_not_depend_on_what_counts_as_a_hub(spark):
+    rnd = random.Random(5)
+    ids = [f"p{k:02}" for k in range(40)]
+    ends = {(x, "hub") for x in ids[:12]} | {(x, "hub2") for x in ids[8:16]} | {("p30", x) for x in ids[14:22]} | {(rnd.choice(ids), rnd.choice(ids + ["x", "y"])) for _ in range(25)} | {("p38", "p39"), ("p39", "p37")}
+    e, papers = spark.createDataFrame(sorted(ends), "src string, dst string"), spark.createDataFrame([(x,) for x in ids], "paper_id string")
+
+    def rows(hub, **at):
+        g = gr.combined(gr.in_library(e, papers), gr.cocitation(e, papers, hub), gr.coupling(e, papers, hub))
+        return {r.node: (pytest.approx(r.betweenness, abs=1e-9), r.degree, r.is_articulation, r.path) for r in gr.centrality(g, **at).collect()}, gr.bridges(g, **{k: x for k, x in at.items() if k == "largest"}).collect()
+
+    whole, best = rows(100)
+    for hub, at in ((2, {}), (6, {}), (6, {"largest": 2, "block": 7})):
+        got, top = rows(hub, **at)
+        assert {k: (v[0].expected, *v[1:]) for k, v in got.items()} == whole
+        assert top == best
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sets(st.integers(0, 6), min_size=2), st.booleans()), min_size=1, max_size=4), st.dictionaries(st.tuples(st.integers(0, 6), st.integers(0, 6)).filter(lambda e: e[0] < e[1]), st.sampled_from([12, 82, 100]), max_size=10), st.sampled_from([gr.SURE, 0]))
+def test_links_by_hubs_count_as_if_each_were_made(hubs, own, sure):
+    made = {}
+    for a, b in ((a, b) for b in range(7) for a in range(b)):
+        n = [sum({a, b} <= x for x, coupled in hubs if coupled is mark) for mark in (False, True)]
+        by_hubs = sum(round(100 * base + min(200, 100 * k * each)) for k, (base, each) in zip(n, gr.SOFT.values()) if k)
+        if by_hubs or (a, b) in own or a + 1 == b:
+            made[a, b] = by_hubs + own.get((a, b), 0 if by_hubs else 100)
+    given_ = [e for e in made if e in own or not any(set(e) <= x for x, _ in hubs)]
+    links = lambda ends, *more: gr._Links(7, *np.array(ends, np.int32).reshape(-1, 2).T, np.array([made[e] / 100 for e in ends]), *more)
+    members = [(v, k) for k, (x, _) in enumerate(hubs) for v in x]
+    some = links(given_, (*np.array(members, np.int32).T, np.array([coupled for _, coupled in hubs])))
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(gr, "SURE", sure)
+        got = gr._betweenness(some, range(7)) / 30
+    want = nx.betweenness([(f"n{a}", f"n{b}", w) for (a, b), w in made.items()])
+    assert {f"n{k}": round(x, 9) for k, x in enumerate(got)} == pytest.approx(want)
+    assert gr._joints(some).equals(gr._joints(links(list(made))))
+
+
+def test_a_member_with_links_of_its_own_to_all_waits_for_other_members():
+    # n0 is linked to n1 and n2, dearer than by the hub: no path to it has the hub's length
+    a, b, w = np.array([0, 0], np.int32), np.array([1, 2], np.int32), np.array([1.82, 1.82])
+    hubs = np.array([0, 1, 2], np.int32), np.zeros(3, np.int32), np.array([True])
+    paths = gr._Paths(gr._Links(3, a, b, w, hubs))
+    assert paths.distances(np.array([1]))[paths.row].ravel().tolist() == [91, 0, 41]
+
+
 def test_missing_papers(spark):
     ext = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y")], "src string, dst string")
     info = spark.createDataFrame([("x", "Missing X", 2022, 120), ("y", "Y", 2021, 45)], "ref_id string, title string, pub_year int, citation_count int")
